@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from weftlake.llm import exact_dedup, quality, secrets, sharding
+from weftlake.llm import bpe, exact_dedup, language, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
     "op4_secret_scan": secrets.op4,
+    "op5_bpe": bpe.op5,
     "op6_sharding": sharding.op6,
     "op7_quality": quality.op7,
+    "op9_packing": packing.op9,
+    "op10_language": language.op10,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
