@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weftlake.llm import bpe, exact_dedup, language, packing, quality, secrets, sharding
+from weftlake.llm import bpe, exact_dedup, language, near_dedup, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
+    "op3_near_dedup": near_dedup.op3,
     "op4_secret_scan": secrets.op4,
     "op5_bpe": bpe.op5,
     "op6_sharding": sharding.op6,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op3_near_dedup": near_dedup.OP3_SQL,
     "op4_secret_scan": secrets.OP4_SQL,
     "op7_quality": quality.OP7_SQL,
 }
