@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from weftlake.llm import bpe, exact_dedup, language, near_dedup, packing, quality, secrets, sharding
+from weftlake.llm import bpe, exact_dedup, language, licenses, lm, near_dedup, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
+    "op2_licenses": licenses.op2,
     "op3_near_dedup": near_dedup.op3,
     "op4_secret_scan": secrets.op4,
     "op5_bpe": bpe.op5,
     "op6_sharding": sharding.op6,
     "op7_quality": quality.op7,
+    "op8_lm": lm.op8,
     "op9_packing": packing.op9,
     "op10_language": language.op10,
 }
