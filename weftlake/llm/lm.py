@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -93,26 +94,26 @@ class Codes:
         self.n, self.tail = len(head), tail
 
 
-_codes: dict[int, Codes] = {}
+_codes: dict[str, Codes] = {}
 
 
-def _held(shared, make):
-    """One object a worker and broadcast."""
-    key = shared.id if hasattr(shared, "id") else id(shared)
+def _held(key: str, shared) -> Codes:
+    """One dictionary a worker and call: a worker serves one job after the other, so the key is the call's own."""
     if key not in _codes:
         _codes.clear()
-        _codes[key] = make(shared.value)
+        _codes[key] = Codes(*shared.value)
     return _codes[key]
 
 
 def coded(docs: DataFrame, shared, train_mod=(7, 2)) -> DataFrame:
     """Each row as codes: rid (its place), doc_id, held_out, codes, n_tokens, head_log, tail words with their counts."""
     mod, held = train_mod
+    key = uuid.uuid4().hex
     rows = docs.select("doc_id", (crc_mod(mod) == held).alias("held_out"), text_or_empty().alias("text"))
     names = ["rid", "doc_id", "held_out", "codes", "n_tokens", "n_head", "head_log", "tail"]
 
     def run(batches):
-        c = _held(shared, lambda v: Codes(*v))
+        c = _held(key, shared)
         rid = TaskContext.get().partitionId() << 40
         get, log = c.code.get, c.log
         for batch in batches:
