@@ -66,8 +66,9 @@ def reader_url(original: Column, doi: Column, fallback: Column) -> Column:
 
 def compact_count(n: Column) -> Column:
     """80000 as 80k, 1500000 as 1.5M; one decimal, without a trailing zero."""
-    short = lambda x, unit: F.concat(F.regexp_replace(F.format_string("%.1f", x), r"\.0$", ""), F.lit(unit))
-    return F.when(n >= 1_000_000, short(n / 1e6, "M")).when(n >= 1000, short(n / 1e3, "k")).otherwise(n.cast("string"))
+    tenths = lambda unit: F.floor((n * 10 + unit // 2) / unit)  # noqa: E731  half up, in whole tenths
+    text = lambda t, mark: F.concat(F.floor(t / 10).cast("string"), F.when(t % 10 == 0, "").otherwise(F.concat(F.lit("."), (t % 10).cast("string"))), F.lit(mark))
+    return F.when(n >= 1_000_000, text(tenths(1_000_000), "M")).when(n >= 1000, text(tenths(1000), "k")).otherwise(n.cast("string"))
 
 
 def inverted_text(index: Column) -> Column:

@@ -393,7 +393,7 @@ def _(s, d):
     return trends.rank_emerging(cube(s, d), 2000)
 
 
-@query("rank_emerging_country", CUBE_SQL.replace("AS MATERIALIZED (", f"AS MATERIALIZED (SELECT * FROM (").rstrip(")") + f")) WHERE country = '{COUNTRY}')" + growth_sql("cube", "topic_id", "papers") + _NAMES + _RANK.replace("volume >= 20 AND last >= 5", "volume >= 2 AND last >= 1"))
+@query("rank_emerging_country", CUBE_SQL + f", own AS (SELECT * FROM cube WHERE country = '{COUNTRY}')" + growth_sql("own", "topic_id", "papers") + _NAMES.replace("FROM cube", "FROM own") + _RANK.replace("volume >= 20 AND last >= 5", "volume >= 2 AND last >= 1"))
 def _(s, d):
     return trends.rank_emerging(cube(s, d), 2000, country=COUNTRY, min_total=2, min_last=1)
 

@@ -294,7 +294,10 @@ def _(s, d):
     return t.select("conv_id", "turn", scalar.inverted_text(index).alias("text"))
 
 
-@query("compact_count", """SELECT o_orderkey, CASE WHEN v >= 1000000 THEN regexp_replace(printf('%.1f', v / 1e6), '\\.0$', '') || 'M' WHEN v >= 1000 THEN regexp_replace(printf('%.1f', v / 1e3), '\\.0$', '') || 'k' ELSE CAST(v AS VARCHAR) END AS label
+_TENTHS = "CASE WHEN t % 10 = 0 THEN CAST(t // 10 AS VARCHAR) ELSE (t // 10) || '.' || (t % 10) END"
+
+
+@query("compact_count", f"""SELECT o_orderkey, CASE WHEN v >= 1000000 THEN (SELECT {_TENTHS} FROM (SELECT (v * 10 + 500000) // 1000000 AS t)) || 'M' WHEN v >= 1000 THEN (SELECT {_TENTHS} FROM (SELECT (v * 10 + 500) // 1000 AS t)) || 'k' ELSE CAST(v AS VARCHAR) END AS label
   FROM (SELECT o_orderkey, CAST(o_orderkey * 100 AS BIGINT) AS v FROM orders)""", base=False)
 def _(s, d):
     return table(s, d, "orders").select("o_orderkey", scalar.compact_count((F.col("o_orderkey") * 100).cast("long")).alias("label"))
@@ -312,7 +315,7 @@ def _(s, d):
 
 
 @query("baskets_by_window", """WITH b AS (SELECT work_id, string_agg(DISTINCT topic, ' | ' ORDER BY topic) AS items FROM wt GROUP BY work_id HAVING count(*) >= 2)
-  SELECT w AS window_start, items, count(*) AS weight FROM b JOIN works USING (work_id), range(1995, 2000) r(w) WHERE pub_year BETWEEN w AND w + 2 GROUP BY ALL""")
+  SELECT CAST(w AS INTEGER) AS window_start, items, count(*) AS weight FROM b JOIN works USING (work_id), range(1995, 2000) r(w) WHERE pub_year BETWEEN w AND w + 2 GROUP BY ALL""")
 def _(s, d):
     b = mining.window_starts(mining.baskets(works(s, d), work_topics(s, d)), 1995, 2001)
     return mining.multiset(b, ["window_start"]).select("window_start", F.array_join("items", " | ").alias("items"), "weight")
