@@ -13,6 +13,7 @@ again gives the same rows, and sequence ids are unique by the task's partition.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -29,13 +31,23 @@ from weftlake.llm.common import documents, text_or_empty
 WINDOW = 2048
 END_ID = 1
 MAX_OPEN = 4096
-CACHED_WORDS = 250_000
+#: Fixed value: the pattern of the word-level vocabulary file.
+UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Marks that, at the end of a run and behind letters only, are one unit.
+MARKS = ".,;:!?"
+#: Entries of a worker's caches of runs and of units; beyond, a cache starts anew.
+CACHED_RUNS = 1_000_000
+CACHED_UNITS = 900_000
 ROWS_OUT = 20_000
 
 
 class CachedTokenizer:
-    """A tokenizers file behind a bounded cache of blank-separated runs. Its pattern drops white
-    space and no match crosses it, so a text's ids are those of its runs in order."""
+    """A tokenizers file behind bounded caches. Its pattern drops white space and no match crosses it,
+    so a text's ids are those of its blank-separated runs in order. A run of letters below U+0250
+    (where lower case and composition are the same everywhere) is split by the file's pattern,
+    and each new unit is encoded once, many to a call: every unit ends in the one id of it that
+    closes a word. Other runs, and any with a special token's bracket, go to the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,19 +56,70 @@ class CachedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.closes = {i for w, i in spec["model"]["vocab"].items() if w.endswith(suffix)}
+        self.split = regex.compile(UNITS)
         self.known: dict[str, bytes] = {"": b""}
+        self.units: dict[str, bytes] = {"": b""}
+
+    def _encode(self, units: list[str]) -> None:
+        """Encode new units, joined by blanks, into the cache."""
+        for i in range(0, len(units), 512):
+            part = units[i : i + 512]
+            (e,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            found, ids = [], []
+            for t in e.ids:
+                ids.append(t)
+                if t in self.closes:
+                    found.append(ids)
+                    ids = []
+            if len(found) != len(part) or ids:
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            for w, x in zip(part, found):
+                self.units[w] = array("I", x).tobytes()
+
+    def _units(self, run: str) -> list[str] | None:
+        """The units of a run in lower case, None if the library has to see it whole."""
+        if "<|" in run or not (run.isascii() or max(run) < "\u0250"):
+            return None
+        return self.split.findall(run.lower())
+
+    def learn(self, runs: list[str]) -> None:
+        """Add the ids of new runs to the cache. Most are letters with a mark or two at the end
+        (but U+0130 becomes two characters in lower case, the second no letter)."""
+        words, others, rest = [], {}, []
+        for w in runs:
+            core = w.rstrip(MARKS)
+            if core.isalpha() and (core.isascii() or (max(core) < "\u0250" and "\u0130" not in core)):
+                words.append((w, core.lower(), w[len(core) :]))
+            elif (parts := self._units(w)) is not None:
+                others[w] = parts
+            else:
+                rest.append(w)
+        need = {x for _, x, _ in words}.union({x for _, _, x in words}, *others.values())
+        need.discard("")
+        new = list(need.difference(self.units))
+        if len(self.units) + len(new) > CACHED_UNITS:
+            self.units = {"": b""}
+            new = list(need)
+        self._encode(new)
+        known, ids_of = self.known, self.units.__getitem__
+        for w, core, tail in words:
+            known[w] = ids_of(core) + ids_of(tail) if tail else ids_of(core)
+        for w, parts in others.items():
+            known[w] = b"".join(map(ids_of, parts))
+        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+            known[w] = array("I", e.ids).tobytes()
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > CACHED_WORDS:
+        if len(self.known) + len(new) > CACHED_RUNS:
             self.known = {"": b""}
             new = list(set().union(*split) - {""})
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[w] = array("I", e.ids).tobytes()
+        self.learn(new)
         ids_of = self.known.__getitem__
         for words in split:
             yield b"".join(map(ids_of, words))
