@@ -64,8 +64,10 @@ def paper(raw: DataFrame) -> DataFrame:
     names = F.filter(F.transform("authorships", lambda a: a["author"]["display_name"]), lambda x: x.isNotNull())
     codes = F.flatten(F.transform("authorships", lambda a: F.concat(F.coalesce(a["countries"], F.array().cast("array<string>")), F.coalesce(F.transform(a["institutions"], lambda i: i["country_code"]), F.array().cast("array<string>")))))
     countries = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(codes, "countries"), lambda c: F.upper(F.trim(c))), lambda c: c.isNotNull() & (c != ""))))
-    refs = topic_refs(F.col("topics"))
-    return raw.filter("_corrupt_record IS NULL AND id IS NOT NULL").select(
+    # A column of its own: below, "topics" may also mean the alias of the flat names.
+    refs = F.col("_w_refs")
+    usable = raw.filter("_corrupt_record IS NULL AND id IS NOT NULL").withColumns({"_w_refs": topic_refs(F.col("topics")), "_w_countries": countries})
+    return usable.select(
         short_id("id").alias("id"),
         F.coalesce("display_name", "title", F.lit("")).alias("title"),
         F.coalesce("publication_year", "year", F.substring(F.coalesce("publication_date", "date"), 1, 4).try_cast("int")).alias("year"),
@@ -75,7 +77,7 @@ def paper(raw: DataFrame) -> DataFrame:
         F.coalesce(F.when(F.size("abstract_inverted_index") > 0, inverted_text(F.col("abstract_inverted_index"))), "abstract").alias("abstract"),
         F.coalesce("open_access.oa_url", "primary_location.landing_page_url").alias("original_url"),
         F.coalesce(names, F.array().cast("array<string>")).alias("authors"),
-        F.coalesce(countries, F.array().cast("array<string>")).alias("countries"),
+        F.coalesce("_w_countries", F.array().cast("array<string>")).alias("countries"),
         F.array_distinct(F.transform(refs, lambda r: r["name"])).alias("topics"),
         refs.alias("topic_refs"),
     )
