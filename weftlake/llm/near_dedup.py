@@ -22,7 +22,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftlake.llm.bpe import chunks
@@ -38,11 +38,10 @@ SIG = HASHES * BITS // 64
 SEED = 1_303
 #: A bucket of at most so many classes gives all its pairs at once.
 SMALL = 8
-#: Members drawn as leaders from those outside a large bucket's main component: FIRST_DRAW, then four times as many each round.
-FIRST_DRAW = 16
-#: Candidates of one class confirmed in one round; the others follow while it is unconnected.
-PER_ROUND = 4
-CACHED_WORDS = 300_000
+#: Members drawn as leaders from those outside a large bucket's main component: FIRST_DRAW, then
+#: DRAW_GROWTH times as many each round.
+FIRST_DRAW, DRAW_GROWTH = 64, 8
+CACHED_WORDS = 200_000
 
 _rng = np.random.default_rng(SEED)
 _A = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,6 +144,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             cols = [batch.column("doc_id"), pa.array(n_shingles, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             cols += [pa.array([int(s[i]) for s in sigs], pa.int64()) for i in range(SIG)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "class", "bands", *[f"s{i}" for i in range(SIG)]])
+        _words.clear()  # an idle worker holds nothing
 
     sig = ", ".join(f"s{i} long" for i in range(SIG))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, class binary, bands array<long>, {sig}")
@@ -164,6 +164,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 flat = pa.array(np.concatenate(sets).view(np.int64))
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "shingles"])
                 at += len(texts)
+        _words.clear()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
 
@@ -197,14 +198,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = scratch.write(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = scratch.write(both.groupBy(F.col("a").alias("v")).agg(F.min(F.least("a", "b")).alias("c")), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["v"]).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("c"))
-        least = labels.union(near).groupBy("v").agg(F.min("c").alias("c"), F.max("c").alias("old"))
+        near = both.join(labels, both["b"] == labels["v"]).select(F.col("a").alias("v"), "c", F.lit(None).cast(labels.schema["c"].dataType).alias("old"))
+        least = labels.select("v", "c", F.col("c").alias("old")).union(near).groupBy("v").agg(F.min("c").alias("c"), F.max("old").alias("old"))
         own = least.select(F.col("v").alias("c"), F.col("c").alias("c2"))
-        new = scratch.write(least.join(own, "c").select("v", F.col("c2").alias("c")), "labels")
-        changed = new.join(labels.withColumnRenamed("c", "before"), "v").filter("c <> before").limit(1).count()
+        new = scratch.write(least.join(own, "c").select("v", F.col("c2").alias("c"), (F.col("c2") != F.col("old")).alias("moved")), "labels")
         scratch.drop(labels)
-        labels = new
-        if not changed:
+        labels = new.select("v", "c")
+        labels._weftlake_path = new._weftlake_path
+        if new.filter("moved").isEmpty():
             scratch.drop(both)
             return labels
 
@@ -224,7 +225,7 @@ def _candidates(alive: DataFrame, round_no: int) -> DataFrame:
         chosen = (F.col("m") <= SMALL) | (F.col("rep") == F.col("lead"))
     else:
         outside = alive.join(stats, "key").filter("comp <> main").groupBy("key").agg(F.count("*").alias("out"))
-        draw = FIRST_DRAW * 4 ** (round_no - 1)
+        draw = FIRST_DRAW * DRAW_GROWTH ** (round_no - 1)
         part = F.pmod(F.xxhash64("rep", "key", F.lit(-round_no)), F.greatest(F.lit(1), F.floor(F.col("out") / draw)))
         members = members.join(outside, "key", "left")
         chosen = (F.col("m") <= SMALL) | (F.col("rep") == F.col("lead")) | ((F.col("comp") != F.col("main")) & (part == 0))
@@ -254,55 +255,37 @@ def near_groups(docs: DataFrame) -> DataFrame:
     first = [F.first(c).alias(c) for c in ["bands", "n_shingles", *sig]]
     reps = scratch.write(linked.groupBy("class").agg(F.min("doc_id").alias("rep"), *first), "classes")
 
-    keyed = reps.select("rep", *sig, F.explode("bands").alias("key"))
+    keyed = reps.select("rep", F.explode("bands").alias("key"))
     # Buckets with the same members, as most bands of a group of copies give, count once.
     same = ["m", F.col("x"), F.col("y")]
     buckets = keyed.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(SEED))).alias("y")).filter("m > 1")
     wanted = buckets.groupBy(*same).agg(F.min("key").alias("key")).select("key")
     members = scratch.write(keyed.join(wanted, "key", "left_semi"), "buckets")
-    members = members.withColumn("comp", F.col("rep"))
+    # Signatures join the members of shared buckets only, a small part of all classes.
+    members = scratch.write(members.join(reps.select("rep", *sig), "rep"), "members").withColumn("comp", F.col("rep"))
 
     taking_part = scratch.write(members.select(F.col("rep").alias("doc_id")).distinct(), "taking_part")
     small = taking_part.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", "text").join(F.broadcast(taking_part) if small else taking_part, "doc_id", "left_semi")
     sets = scratch.write(full_sets(texts), "sets")
 
-    tested, comp, round_no, stage = None, None, 0, 0
+    tested, comp, stage = None, None, 0
     while True:
         alive = members
         if comp is not None:
             alive = members.drop("comp").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        pairs = _candidates(alive, stage)
+        pairs = _candidates(alive, stage).select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        order = Window.partitionBy("member").orderBy(F.desc("est"), "a", "b")
-        pairs = pairs.distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PER_ROUND)
-        pairs = scratch.write(pairs.select("a", "b").distinct(), "pairs")
-        if pairs.isEmpty():
-            if stage and FIRST_DRAW * 4 ** (stage - 1) > _largest(alive):
-                break
-            if not _open(alive):
-                break
-            stage += 1
-            continue
-        sized = lambda k: sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"{k}_set"))
-        both = pairs.join(sized("a"), "a").join(sized("b"), "b")
-        common = F.size(F.array_intersect("a_set", "b_set"))
-        union = F.size("a_set") + F.size("b_set") - F.col("common")
-        links = scratch.write(both.withColumn("common", common).filter(LINK[0] * F.col("common") >= LINK[1] * union).select("a", "b"), "links")
+        pairs = scratch.write(pairs, "pairs")
+        links = scratch.write(_confirmed(pairs, sets), "links")
         tested = pairs if tested is None else tested.union(pairs)
         if not links.isEmpty():
-            if comp is None:
-                comp = components(links, scratch).select(F.col("v").alias("rep"), F.col("c").alias("comp"))
-            else:
-                to = lambda k: comp.select(F.col("rep").alias(k), F.col("comp").alias(f"{k}_c"))
-                ends = links.join(to("a"), "a", "left").join(to("b"), "b", "left")
-                ends = ends.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"), F.col("a").alias("u"), F.col("b").alias("w"))
-                ends = scratch.write(ends, "ends")
-                joined = components(ends.select("a", "b"), scratch).select(F.col("v").alias("comp"), F.col("c").alias("to"))
-                every = comp.union(ends.select(F.col("u").alias("rep"), F.col("a").alias("comp"))).union(ends.select("w", "b")).distinct()
-                comp = scratch.write(every.join(joined, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), "components")
-        round_no += 1
+            comp = _joined(comp, links, scratch)
+        largest = _largest(members, comp)
+        if not largest or stage and FIRST_DRAW * DRAW_GROWTH ** (stage - 1) >= largest:
+            break  # connected, or the last draw took every member outside its bucket's main component
+        stage += 1
 
     out = sk.select("doc_id", "n_shingles", "class").join(reps.select("class", "rep"), "class", "left")
     if comp is not None:
@@ -313,17 +296,34 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"))
 
 
-def _open_buckets(alive: DataFrame) -> DataFrame:
-    return alive.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(f"m > {SMALL} AND lo <> hi")
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked by their full sets."""
+    sized = lambda k: sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"{k}_set"))
+    both = pairs.join(sized("a"), "a").join(sized("b"), "b").withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
+    union = F.size("a_set") + F.size("b_set") - F.col("common")
+    return both.filter(LINK[0] * F.col("common") >= LINK[1] * union).select("a", "b")
 
 
-def _open(alive: DataFrame) -> bool:
-    """Whether a large bucket still holds more than one component."""
-    return not _open_buckets(alive).isEmpty()
+def _joined(comp: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rep, comp) after more links; classes without a link have no row."""
+    if comp is None:
+        return components(links, scratch).select(F.col("v").alias("rep"), F.col("c").alias("comp"))
+    to = lambda k: comp.select(F.col("rep").alias(k), F.col("comp").alias(f"{k}_c"))
+    ends = links.join(to("a"), "a", "left").join(to("b"), "b", "left")
+    ends = ends.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"), F.col("a").alias("u"), F.col("b").alias("w"))
+    ends = scratch.write(ends, "ends")
+    merged = components(ends.select("a", "b"), scratch).select(F.col("v").alias("comp"), F.col("c").alias("to"))
+    every = comp.union(ends.select(F.col("u").alias("rep"), F.col("a").alias("comp"))).union(ends.select("w", "b")).distinct()
+    return scratch.write(every.join(merged, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), "components")
 
 
-def _largest(alive: DataFrame) -> int:
-    return _open_buckets(alive).agg(F.max("m")).first()[0] or 0
+def _largest(members: DataFrame, comp: DataFrame | None) -> int:
+    """The most members of a large bucket that still holds more than one component; 0 if there is none."""
+    alive = members.select("key", "rep")
+    if comp is not None:
+        alive = alive.join(comp, "rep", "left").select("key", F.coalesce("comp", "rep").alias("rep"))
+    by = alive.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    return by.filter(f"m > {SMALL} AND lo <> hi").agg(F.max("m")).first()[0] or 0
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
