@@ -6,6 +6,8 @@
 3. Classes that share a band key are candidates. The bits that two signatures share estimate
    their similarity, corrected for chance agreement of two bits; candidates below the
    threshold less five standard deviations are no link.
+   An odd sketch (a parity bit for each of 512 hash values) then rules out pairs that differ in
+   more shingles than a link allows, without ever ruling out a link.
 4. Remaining candidates are confirmed on their full shingle sets.
 
 Buckets hold no limit. A small bucket gives all its pairs. A large one gives pairs with one
@@ -35,6 +37,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BITS = 2
 SIG = HASHES * BITS // 64
+#: Longs of the odd sketch: a bit for each of 64 * ODD hash values, the parity of the shingles that fall on it.
+ODD = 8
 SEED = 1_303
 #: A bucket of at most so many classes gives all its pairs at once.
 SMALL = 8
@@ -43,6 +47,8 @@ SMALL = 8
 FIRST_DRAW, DRAW_GROWTH = 64, 8
 CACHED_WORDS = 200_000
 
+SIGNATURE = [*[f"s{i}" for i in range(SIG)], *[f"o{i}" for i in range(ODD)]]
+
 _rng = np.random.default_rng(SEED)
 _A = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -123,8 +129,17 @@ def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), sig.view(np.int64)
 
 
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Odd sketches (n x ODD) as signed longs. Two sets' sketches differ in at most as many bits as
+    the sets differ in elements, as each such element flips one bit."""
+    bits = np.empty((len(sets), 64 * ODD), dtype=np.uint8)
+    for i, s in enumerate(sets):
+        bits[i] = np.bincount(((s >> np.uint64(40)) % np.uint64(64 * ODD)).astype(np.int64), minlength=64 * ODD) & 1
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (a 128-bit digest of the words), bands and s0..s3 of every row."""
+    """doc_id, n_shingles, class (a 128-bit digest of the words), bands, s0..s3 and o0..o7 of every row."""
     rows = docs.select("doc_id", text_or_empty().alias("text"))
 
     def run(batches):
@@ -134,19 +149,19 @@ def sketch(docs: DataFrame) -> DataFrame:
                 words = [words_of(t) for t in texts]
                 sets = shingle_sets(words)
                 some = [s for s in sets if len(s)]
-                found = iter(zip(*sketches(some))) if some else iter(())
+                found = iter(zip(*sketches(some), odd_sketches(some))) if some else iter(())
                 for w, s in zip(words, sets):
                     n_shingles.append(len(s))
                     classes.append(hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None)
-                    keys, sig = next(found) if len(s) else (None, [0] * SIG)
+                    keys, sig, odd = next(found) if len(s) else (None, [0] * SIG, [0] * ODD)
                     bands.append(keys)
-                    sigs.append(sig)
+                    sigs.append([*sig, *odd])
             cols = [batch.column("doc_id"), pa.array(n_shingles, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            cols += [pa.array([int(s[i]) for s in sigs], pa.int64()) for i in range(SIG)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "class", "bands", *[f"s{i}" for i in range(SIG)]])
+            cols += [pa.array([int(s[i]) for s in sigs], pa.int64()) for i in range(SIG + ODD)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "class", "bands", *SIGNATURE])
         _words.clear()  # an idle worker holds nothing
 
-    sig = ", ".join(f"s{i} long" for i in range(SIG))
+    sig = ", ".join(f"{c} long" for c in SIGNATURE)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, class binary, bands array<long>, {sig}")
 
 
@@ -181,6 +196,16 @@ def estimate(a: str, b: str) -> Column:
     return ((HASHES - differ) / float(HASHES) - chance) / (1 - chance)
 
 
+def near_enough(a: str, b: str) -> Column:
+    """Whether the odd sketches allow a link. Linked sets differ in at most (n_a + n_b) (1 - J) / (1 + J)
+    elements, and the sketches show no more bits than that: a link is never ruled out."""
+    differ = None
+    for i in range(ODD):
+        bits = F.bit_count(F.col(f"{a}.o{i}").bitwiseXOR(F.col(f"{b}.o{i}")))
+        differ = bits if differ is None else differ + bits
+    return (LINK[0] + LINK[1]) * differ <= (LINK[0] - LINK[1]) * (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles"))
+
+
 def least_estimate() -> float:
     """The threshold less five standard deviations of the estimate of a pair at the threshold."""
     j, chance = LINK[1] / LINK[0], 1.0 / (1 << BITS)
@@ -229,9 +254,9 @@ def _candidates(alive: DataFrame, round_no: int) -> DataFrame:
         part = F.pmod(F.xxhash64("rep", "key", F.lit(-round_no)), F.greatest(F.lit(1), F.floor(F.col("out") / draw)))
         members = members.join(outside, "key", "left")
         chosen = (F.col("m") <= SMALL) | (F.col("rep") == F.col("lead")) | ((F.col("comp") != F.col("main")) & (part == 0))
-    sig = [f"s{i}" for i in range(SIG)]
+    sig = ["n_shingles", *SIGNATURE]
     leaders = members.filter(chosen).select("key", "rep", "comp", *sig).alias("l")
-    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & (estimate("l", "r") >= least_estimate())
+    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & (estimate("l", "r") >= least_estimate()) & near_enough("l", "r")
     # The other side of a small bucket's pair is a leader too; it is kept once.
     pairs = leaders.join(members.select("key", "rep", "comp", *sig).alias("r"), met)
     return pairs.select(
@@ -249,7 +274,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near_dedup")
-    sig = [f"s{i}" for i in range(SIG)]
+    sig = SIGNATURE
     sk = scratch.write(sketch(docs), "sketch")
     linked = sk.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     first = [F.first(c).alias(c) for c in ["bands", "n_shingles", *sig]]
@@ -262,7 +287,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     wanted = buckets.groupBy(*same).agg(F.min("key").alias("key")).select("key")
     members = scratch.write(keyed.join(wanted, "key", "left_semi"), "buckets")
     # Signatures join the members of shared buckets only, a small part of all classes.
-    members = scratch.write(members.join(reps.select("rep", *sig), "rep"), "members").withColumn("comp", F.col("rep"))
+    members = scratch.write(members.join(reps.select("rep", "n_shingles", *sig), "rep"), "members").withColumn("comp", F.col("rep"))
 
     taking_part = scratch.write(members.select(F.col("rep").alias("doc_id")).distinct(), "taking_part")
     small = taking_part.count() <= BROADCAST_IDS
