@@ -7,11 +7,8 @@ from conftest import same_rows
 
 from weftlake.plans.registry import ORACLE_SQL, QUERIES
 
-SOME = """orphan_check corpus_summary_country topic_distribution cooccurrence_matrix coauthor_edges grouping_sets_counts tcy_filter
-valid_cube_rows reader_url inverted_index_text mine_windows fp_constrained association_rules mine_countries emerging_patterns born_died
-incremental_equals_full compare_patterns country_growth country_share location_quotient country_chart rank_emerging find_gaps
-publications_by_year link_heuristics auc_rank largest_component bfs_distance vector_topk semantic_gaps hash_embed ndcg_at_10
-waterfill_quotas stratified_sample""".split()
+SOME = """orphan_check corpus_summary_country topic_distribution coauthor_edges grouping_sets_counts valid_cube_rows mine_windows
+association_rules incremental_equals_full country_growth rank_emerging link_heuristics vector_topk ndcg_at_10 waterfill_quotas""".split()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL) if os.environ.get("WEFT_ORACLES") == "all" else SOME)
