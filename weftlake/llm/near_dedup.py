@@ -14,7 +14,8 @@ Buckets hold no limit. A small bucket gives all its pairs. A large one gives pai
 leader (drawn anew in every band), then pairs of those not yet connected with the rest, in
 growing draws, until its members are connected or every pair across its components was
 looked at. So a group of n near copies costs a few times n pairs, and none is left out.
-A pair of similarity 0.85 shares no band with probability (1 - 0.85^4)^32 < 1e-10.
+A pair of similarity 0.85 shares no band with probability (1 - 0.85^4)^32 < 1e-10, one of 0.8
+with (1 - 0.8^4)^32 < 5e-8.
 """
 
 from __future__ import annotations
@@ -31,8 +32,11 @@ from weftlake.llm.bpe import chunks
 from weftlake.llm.common import BROADCAST_IDS, Scratch, documents, drop_ids, text_or_empty
 
 WORDS = 5
-#: Documents are linked if LINK[0] * intersection >= LINK[1] * union.
-LINK = (100, 85)
+#: Documents are linked if link[0] * intersection >= link[1] * union. LINK is the contract's of
+#: operator 3, STAGE_LINK that of stages without a contract.
+LINK, STAGE_LINK = (100, 85), (100, 80)
+#: Highest probability that a linked pair shares no band; lower links are refused.
+MOST_MISSED = 1e-6
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BITS = 2
@@ -196,19 +200,19 @@ def estimate(a: str, b: str) -> Column:
     return ((HASHES - differ) / float(HASHES) - chance) / (1 - chance)
 
 
-def near_enough(a: str, b: str) -> Column:
+def near_enough(a: str, b: str, link: tuple[int, int] = LINK) -> Column:
     """Whether the odd sketches allow a link. Linked sets differ in at most (n_a + n_b) (1 - J) / (1 + J)
     elements, and the sketches show no more bits than that: a link is never ruled out."""
     differ = None
     for i in range(ODD):
         bits = F.bit_count(F.col(f"{a}.o{i}").bitwiseXOR(F.col(f"{b}.o{i}")))
         differ = bits if differ is None else differ + bits
-    return (LINK[0] + LINK[1]) * differ <= (LINK[0] - LINK[1]) * (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles"))
+    return (link[0] + link[1]) * differ <= (link[0] - link[1]) * (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles"))
 
 
-def least_estimate() -> float:
+def least_estimate(link: tuple[int, int] = LINK) -> float:
     """The threshold less five standard deviations of the estimate of a pair at the threshold."""
-    j, chance = LINK[1] / LINK[0], 1.0 / (1 << BITS)
+    j, chance = link[1] / link[0], 1.0 / (1 << BITS)
     p = chance + (1 - chance) * j
     return j - 5 * (p * (1 - p) / HASHES) ** 0.5 / (1 - chance)
 
@@ -235,7 +239,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def _candidates(alive: DataFrame, round_no: int) -> DataFrame:
+def _candidates(alive: DataFrame, round_no: int, link: tuple[int, int]) -> DataFrame:
     """Pairs (a, b, est) of members of a bucket in different components.
 
     alive: key, rep, comp, s0..s3. A bucket whose members are connected gives none.
@@ -256,7 +260,7 @@ def _candidates(alive: DataFrame, round_no: int) -> DataFrame:
         chosen = (F.col("m") <= SMALL) | (F.col("rep") == F.col("lead")) | ((F.col("comp") != F.col("main")) & (part == 0))
     sig = ["n_shingles", *SIGNATURE]
     leaders = members.filter(chosen).select("key", "rep", "comp", *sig).alias("l")
-    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & (estimate("l", "r") >= least_estimate()) & near_enough("l", "r")
+    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & (estimate("l", "r") >= least_estimate(link)) & near_enough("l", "r", link)
     # The other side of a small bucket's pair is a leader too; it is kept once.
     pairs = leaders.join(members.select("key", "rep", "comp", *sig).alias("r"), met)
     return pairs.select(
@@ -264,14 +268,18 @@ def _candidates(alive: DataFrame, round_no: int) -> DataFrame:
     )
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, class_id.
 
+    Documents are linked if link[0] * intersection >= link[1] * union of their shingles.
+
     docs needs doc_id and text; other columns are ignored, whatever their names. Texts without
     words (null, empty, blank) have n_shingles 0 and are linked with nothing. doc_id is a key:
     repeated rows of a doc_id share its component. A row with a null doc_id is linked with
     nothing: component_id is null and it is kept. An empty table gives an empty result.
     """
+    if not 0 < link[1] <= link[0] or (1 - (link[1] / link[0]) ** ROWS) ** BANDS > MOST_MISSED:
+        raise ValueError(f"the bands would miss linked pairs at {link[1]}/{link[0]}")
     spark = docs.sparkSession
     scratch = Scratch(spark, "near_dedup")
     sig = SIGNATURE
@@ -299,11 +307,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
         alive = members
         if comp is not None:
             alive = members.drop("comp").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        pairs = _candidates(alive, stage).select("a", "b").distinct()
+        pairs = _candidates(alive, stage, link).select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs, "pairs")
-        links = scratch.write(_confirmed(pairs, sets), "links")
+        links = scratch.write(_confirmed(pairs, sets, link), "links")
         tested = pairs if tested is None else tested.union(pairs)
         if not links.isEmpty():
             comp = _joined(comp, links, scratch)
@@ -321,12 +329,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, link: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) that are linked by their full sets."""
     sized = lambda k: sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"{k}_set"))
     both = pairs.join(sized("a"), "a").join(sized("b"), "b").withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
     union = F.size("a_set") + F.size("b_set") - F.col("common")
-    return both.filter(LINK[0] * F.col("common") >= LINK[1] * union).select("a", "b")
+    return both.filter(link[0] * F.col("common") >= link[1] * union).select("a", "b")
 
 
 def _joined(comp: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -351,13 +359,13 @@ def _largest(members: DataFrame, comp: DataFrame | None) -> int:
     return by.filter(f"m > {SMALL} AND lo <> hi").agg(F.max("m")).first()[0] or 0
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, link: tuple[int, int] = STAGE_LINK) -> DataFrame:
     """docs, all columns, with one document of each group of near copies."""
-    return drop_ids(docs, near_groups(docs).filter("NOT kept").select("doc_id").distinct())
+    return drop_ids(docs, near_groups(docs, link).filter("NOT kept").select("doc_id").distinct())
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    return near_groups(documents(spark, sf_dir))
+    return near_groups(documents(spark, sf_dir), LINK)
 
 
 OP3_SQL = r"""
