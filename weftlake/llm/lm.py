@@ -1,39 +1,39 @@
 """Hidden Markov language model scores (operator 8).
 
 1. Count every training token (all partitions; words and one end a document).
-2. Words are split at a count so that at most HEAD of them, the most frequent, have an
-   emission of their own. The others fall in TAIL classes by a hash; a state emits the class,
-   and the class its words by their exact smoothed counts. So parameters stay bounded while
-   every word of the corpus is counted, and the log-likelihood of the rare words adds up by a
-   join on the word.
-3. Every document is coded once (two bytes a token) and written to the shared folder.
-4. Baum-Welch: each task runs scaled forward-backward over its training documents, cut in
-   segments, and gives expected counts; Spark sums them and the driver normalises them
-   (bounded by states x classes).
+2. Every document is coded once by the words of its block, a run of documents of one task with
+   at most about BLOCK_WORDS distinct words, and written to the shared folder.
+3. Every word of the training documents has an emission of its own. The expected counts by word and
+   state are a distributed table with a row part for each block that holds the word, so what is
+   learned grows with the corpus, and memory is bounded by a block.
+4. Baum-Welch: each block runs scaled forward-backward over its training documents, cut in
+   segments, with its words' emissions. Counts of words that several blocks share are summed by
+   ranges of words and dealt back to the blocks; those of the other words stay. The driver
+   normalises by state totals only.
 5. The scaled forward recursion over whole documents gives the exact log-likelihood.
 """
 
 from __future__ import annotations
 
+import gc
 import math
-import uuid
-import zlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlake.llm.common import Scratch, crc_mod, documents, text_or_empty
-from weftlake.llm.near_dedup import words_of
+from weftlake.llm.near_dedup import _mixed, words_of
 
 STATES = 12
 ROUNDS = 5
-#: Most words with an emission of their own, and classes of the others; together they fit two bytes.
-HEAD, TAIL = 60_000, 4_096
+#: A block ends with the document that brings it to so many distinct words or tokens.
+BLOCK_WORDS, BLOCK_TOKENS = 400_000, 8_000_000
+#: Pairs of a word and a block in a range of words, about.
+RANGE_PAIRS = 500_000
 SEGMENT = 256
 SEED = 88
 #: Chance of staying in a state at the start, and the weight of the corpus' own distribution in each state.
@@ -69,71 +69,40 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def head_level(vocab: DataFrame, head: int) -> int:
-    """The least step of the (logarithmic) count scale at which at most `head` words are left."""
-    steps = sorted(vocab.groupBy(_step().alias("step")).count().collect(), reverse=True)  # 64 x 16 rows at most
-    total, level = 0, (steps[0]["step"] + 1) if steps else 0
-    for r in steps:
-        total += r["count"]
-        if total > head:
-            break
-        level = r["step"]
-    return level
-
-
-def _step():
-    return F.floor(F.log2("c") * 16).cast("int")
-
-
-class Codes:
-    """Word to code. Head words come first, then the classes of the others."""
-
-    def __init__(self, head: list[bytes], counts: list[int], tail: int):
-        self.code = {w: i for i, w in enumerate(head)}
-        self.log = np.log10(np.array([*counts, *[0] * tail], dtype=np.float64) + 1)  # 0 for a class
-        self.n, self.tail = len(head), tail
-
-
-_codes: dict[str, Codes] = {}
-
-
-def _held(key: str, shared) -> Codes:
-    """One dictionary a worker and call: a worker serves one job after the other, so the key is the call's own."""
-    if key not in _codes:
-        _codes.clear()
-        _codes[key] = Codes(*shared.value)
-    return _codes[key]
-
-
-def coded(docs: DataFrame, shared, train_mod=(7, 2)) -> DataFrame:
-    """Each row as codes: rid (its place), doc_id, held_out, codes, n_tokens, head_log, tail words with their counts."""
+def coded(docs: DataFrame, train_mod=(7, 2), block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Each row as codes: rid (its place), doc_id, held_out, block, codes. A row without rid has the block's words in the order of their codes."""
     mod, held = train_mod
-    key = uuid.uuid4().hex
     rows = docs.select("doc_id", (crc_mod(mod) == held).alias("held_out"), text_or_empty().alias("text"))
-    names = ["rid", "doc_id", "held_out", "codes", "n_tokens", "n_head", "head_log", "tail"]
+    id_kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        c = _held(key, shared)
-        rid = TaskContext.get().partitionId() << 40
-        get, log = c.code.get, c.log
+        rid = block = TaskContext.get().partitionId() << 40
+        code: dict[bytes, int] = {}
+        tokens, ids_type = 0, None
+
+        def dictionary():
+            cols = [pa.nulls(1, pa.int64()), pa.nulls(1, ids_type), pa.nulls(1, pa.bool_()), pa.array([block]), pa.nulls(1, pa.binary()), pa.array([list(code)], pa.list_(pa.binary()))]
+            return pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "held_out", "block", "codes", "words"])
+
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            ids_type, n = batch.column("doc_id").type, batch.num_rows
+            blocks, codes, full = [], [], []
             for text in batch.column("text").to_pylist():
-                words = tokens_of(text)
-                ids = [get(w, -1) for w in words]
-                rare = Counter(w for w, i in zip(words, ids) if i < 0) if -1 in ids else {}
-                if rare:
-                    ids = [i if i >= 0 else c.n + zlib.crc32(w) % c.tail for w, i in zip(words, ids)]
-                a = np.array(ids, dtype=np.uint16)
-                for x, v in zip(out, (a.tobytes(), len(ids), len(ids) - sum(rare.values()), float(log[a].sum()), [{"word": w, "k": k} for w, k in rare.items()])):
-                    x.append(v)
-            n = batch.num_rows
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + n)), batch.column("doc_id"), batch.column("held_out"), *[pa.array(x, k) for x, k in zip(out, kinds)]], names)
+                a = np.array([code.setdefault(w, len(code)) for w in tokens_of(text)], dtype=np.int32)
+                blocks.append(block)
+                codes.append(a.tobytes())
+                tokens += len(a)
+                if len(code) >= block_words or tokens >= BLOCK_TOKENS:
+                    full.append(dictionary())
+                    code, tokens, block = {}, 0, block + 1
+            cols = [pa.array(np.arange(rid, rid + n)), batch.column("doc_id"), batch.column("held_out"), pa.array(blocks, pa.int64()), pa.array(codes, pa.binary()), pa.nulls(n, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "held_out", "block", "codes", "words"])
+            yield from full
             rid += n
+        if code:
+            yield dictionary()
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"rid long, doc_id {kind}, held_out boolean, codes binary, n_tokens long, n_head long, head_log double, tail array<struct<word: binary, k: long>>")
+    return rows.mapInArrow(run, f"rid long, doc_id {id_kind}, held_out boolean, block long, codes binary, words array<binary>")
 
 
 class Hmm:
@@ -227,116 +196,201 @@ def expected_counts(params: tuple, seqs: list[np.ndarray], first: list[bool], em
     return float(np.log10(scale, dtype=np.float64).sum())
 
 
-def _sequences(column: pa.Array) -> Iterator[np.ndarray]:
-    for b in column.to_pylist():
-        yield np.frombuffer(b, dtype=np.uint16)
+def noise(hashes: np.ndarray, states: int, seed: int = SEED) -> np.ndarray:
+    """Factors (words x states) that shake a word's emission at the start, by the word's hash."""
+    h = hashes.astype(np.int64).view(np.uint64)
+    out = np.empty((len(h), states))
+    with np.errstate(over="ignore"):
+        for k in range(states):
+            a = _mixed(h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(seed + k + 1))
+            b = _mixed(a ^ np.uint64(seed))
+            u, v = ((x >> np.uint64(11)).astype(np.float64) / (1 << 53) for x in (a, b))
+            out[:, k] = np.exp(0.5 * np.sqrt(-2 * np.log(1 - u)) * np.cos(2 * np.pi * v))
+    return out
 
 
-def baum_welch_round(train: DataFrame, model: Hmm, class_counts: np.ndarray) -> tuple[Hmm, float]:
-    """One round over all coded training documents: the next model, and the log10 likelihood before it."""
-    k, m = len(model.start), len(model.emit)
-    shared = train.sparkSession.sparkContext.broadcast(model.arrays())
+def first_totals(vocab: DataFrame, states: int) -> np.ndarray:
+    """Of each state, the sum of all words' weights at the start."""
 
     def run(batches):
-        params = shared.value
-        emit, move, start, log = np.zeros((m, k)), np.zeros((k, k)), np.zeros(k), 0.0
-        seqs: list[np.ndarray] = []
-        first: list[bool] = []
-        held = 0
+        total = np.zeros(states)
         for batch in batches:
-            for s in _sequences(batch.column("codes")):
-                for i in range(0, len(s), SEGMENT):
-                    seqs.append(s[i : i + SEGMENT])
-                    first.append(i == 0)
-                    held += len(seqs[-1])
-                    if held >= 500_000:
-                        log += expected_counts(params, seqs, first, emit, move, start)
-                        seqs, first, held = [], [], 0
-        if seqs:
-            log += expected_counts(params, seqs, first, emit, move, start)
-        some = np.flatnonzero(emit.any(axis=1))
-        index = np.concatenate([some, m + np.arange(k), [m + k, m + k + 1]])
-        values = np.vstack([emit[some], move, start, np.full(k, log)])
-        for i in range(0, len(index), 10_000):
-            part = values[i : i + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(index[i : i + 10_000]), *[pa.array(part[:, j].astype(np.float32 if i + 10_000 < len(index) else np.float64), pa.float64()) for j in range(k)]], ["i", *[f"x{j}" for j in range(k)]])
-
-    sums = train.select("codes").mapInArrow(run, "i long, " + ", ".join(f"x{j} double" for j in range(k)))
-    sums = sums.groupBy("i").agg(*[F.sum(f"x{j}").alias(f"x{j}") for j in range(k)])
-    table = sums.toPandas().sort_values("i")  # m + k + 2 rows at most
-    values = np.zeros((m + k + 2, k))
-    if len(table):
-        values[table["i"].to_numpy()] = table[[f"x{j}" for j in range(k)]].to_numpy()
-    shared.unpersist()
-    own = (class_counts + 0.5) / (class_counts + 0.5).sum()
-    emit = values[:m] + PRIOR * own[:, None]
-    move = values[m : m + k] + 1.0
-    start = values[m + k] + 1.0
-    return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)), float(values[m + k + 1, 0])
-
-
-def forward_scores(rows: DataFrame, model: Hmm, tail_norm: np.ndarray) -> DataFrame:
-    """rid and hmm_log: the forward log10 likelihood of the codes, less the tail classes' norms."""
-    n_head = len(model.emit) - len(tail_norm)
-    shared = rows.sparkSession.sparkContext.broadcast((model.arrays(), np.concatenate([np.zeros(n_head), tail_norm])))
-    names = ["rid", "doc_id", "held_out", "n_tokens", "n_head", "head_log"]
+            total += ((batch.column("c").to_numpy() + 0.5)[:, None] * noise(batch.column("h").to_numpy(), states)).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], [f"x{k}" for k in range(states)])
 
-    def run(batches):
-        params, norm = shared.value
-        for batch in batches:
-            seqs = list(_sequences(batch.column("codes")))
-            logs = forward_log10(params, seqs) - np.array([norm[s].sum() for s in seqs])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(logs, pa.float64())], [*names, "hmm_log"])
+    sums = vocab.select("c", F.xxhash64("word").alias("h")).mapInArrow(run, ", ".join(f"x{k} double" for k in range(states)))
+    found = np.array([x or 0.0 for x in sums.agg(*[F.sum(f"x{k}") for k in range(states)]).first()])
+    return np.where(found > 0, found, 1.0)
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select(*names, "codes").mapInArrow(run, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_head long, head_log double, hmm_log double")
 
+_STATE = "block long, at binary, wid binary, c binary, x binary"
+_ROUND = f"range int, {_STATE}, stats array<double>"
 
-def lm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head: int = HEAD, tail: int = TAIL) -> DataFrame:
+
+def first_state(rows: DataFrame, vocab: DataFrame, states: int) -> DataFrame:
+    """A row for each block: its words' codes (at), ids (wid; -1 where no other block has the word), training counts (c) and weights (x)."""
+    pairs = rows.filter("rid IS NULL").select("block", F.posexplode("words").alias("at", "word")).join(vocab, "word", "left")
+    blocks = F.count("*").over(Window.partitionBy("word"))
+    wid = F.when((blocks > 1) & F.col("wid").isNotNull(), F.col("wid")).otherwise(F.lit(-1)).cast("long")
+    pairs = pairs.select("block", F.col("at").cast("long").alias("at"), wid.alias("wid"), F.coalesce("c", F.lit(0)).cast("long").alias("c"), F.xxhash64("word").alias("h"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        at, wid, c, h = (t.column(x).to_numpy() for x in ("at", "wid", "c", "h"))
+        x = ((c + 0.5)[:, None] * noise(h, states)).astype(np.float32)
+        return pa.table({"block": [t.column("block")[0].as_py()], "at": [at.astype(np.int32).tobytes()], "wid": [wid.tobytes()], "c": [c.tobytes()], "x": [x.tobytes()]}, pa.schema([("block", pa.int64()), *[(n, pa.binary()) for n in ("at", "wid", "c", "x")]]))
+
+    return pairs.groupBy("block").applyInArrow(pack, _STATE)
+
+
+def _unpacked(state: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """wid, c and x of a block's words in the order of their codes."""
+    joined = lambda n, kind: np.frombuffer(b"".join(state.column(n).to_pylist()), dtype=kind)
+    order = np.argsort(joined("at", np.int32))
+    return joined("wid", np.int64)[order], joined("c", np.int64)[order], joined("x", np.float32).reshape(-1, states)[order]
+
+
+def _emissions(c: np.ndarray, x: np.ndarray, prior: float, norm: np.ndarray) -> np.ndarray:
+    return ((x + prior * (c + 1)[:, None]) / norm).astype(np.float32)
+
+
+def _codes_of(column) -> list[np.ndarray]:
+    return [np.frombuffer(b, dtype=np.int32) for b in column.to_pylist()]
+
+
+def baum_welch_round(rows: DataFrame, state: DataFrame, model: Hmm, prior: float, norm: np.ndarray, ranges: int) -> DataFrame:
+    """Expected counts over all coded training documents: a row for each block and range of shared
+    words, one (range -1) for its other words and one (range -2) for its sums of moves, starts, states and log10 likelihood."""
+    k = len(model.start)
+    start_p, move_p, _ = model.arrays()
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        wid, c, x = _unpacked(words, k)
+        params = (start_p, move_p, _emissions(c, x, prior, norm))
+        emit, move, start, log = np.zeros((len(c), k)), np.zeros((k, k)), np.zeros(k), 0.0
+        seqs: list[np.ndarray] = []
+        first: list[bool] = []
+        held = 0
+        for s in _codes_of(docs.column("codes")):
+            for i in range(0, len(s), SEGMENT):
+                seqs.append(s[i : i + SEGMENT])
+                first.append(i == 0)
+                held += len(seqs[-1])
+            if held >= 500_000:
+                log += expected_counts(params, seqs, first, emit, move, start)
+                seqs, first, held = [], [], 0
+        if seqs:
+            log += expected_counts(params, seqs, first, emit, move, start)
+        block = docs.column("block")[0].as_py()
+        stats = [*move.ravel().tolist(), *start.tolist(), *emit.sum(axis=0).tolist(), log]
+        out = [{"range": -2, "block": block, "stats": stats}]
+        part = np.where(wid < 0, -1, wid % ranges)
+        order = np.argsort(part, kind="stable")
+        ends = np.flatnonzero(np.diff(part[order], append=np.iinfo(np.int64).max)) + 1
+        lo = 0
+        for hi in ends.tolist():
+            at = order[lo:hi]
+            out.append({"range": int(part[at[0]]), "block": block, "at": at.astype(np.int32).tobytes(), "wid": wid[at].tobytes(), "c": c[at].tobytes(), "x": emit[at].astype(np.float32).tobytes()})
+            lo = hi
+        kinds = [("range", pa.int32()), ("block", pa.int64()), *[(n, pa.binary()) for n in ("at", "wid", "c", "x")], ("stats", pa.list_(pa.float64()))]
+        return pa.Table.from_pylist(out, pa.schema(kinds))
+
+    # Blocks without a training document keep their words: their rows have no codes left to count.
+    docs = rows.filter("rid IS NOT NULL").select("block", F.when(F.col("held_out"), F.lit(b"")).otherwise(F.col("codes")).alias("codes"))
+    return docs.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(run, _ROUND)
+
+
+def next_state(counted: DataFrame, states: int) -> DataFrame:
+    """The blocks' words with their counts, summed over all blocks that share a word."""
+    names = ["block", "at", "wid", "c", "x"]
+
+    def run(t: pa.Table) -> pa.Table:
+        wid = np.frombuffer(b"".join(t.column("wid").to_pylist()), dtype=np.int64)
+        x = np.frombuffer(b"".join(t.column("x").to_pylist()), dtype=np.float32).reshape(-1, states)
+        order = np.argsort(wid, kind="stable")
+        new = np.diff(wid[order], prepend=-1) != 0
+        sums = np.add.reduceat(x[order].astype(np.float64), np.flatnonzero(new), axis=0).astype(np.float32)
+        total = np.empty_like(x)
+        total[order] = sums[np.cumsum(new) - 1]
+        sizes = [len(b) // 8 for b in t.column("wid").to_pylist()]
+        at = np.cumsum([0, *sizes])
+        xs = [total[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:])]
+        return pa.table([*[t.column(n) for n in names[:-1]], pa.array(xs, pa.binary())], names)
+
+    shared = counted.filter("range >= 0").select("range", *names)
+    return counted.filter("range = -1").select(*names).union(shared.groupBy("range").applyInArrow(run, _STATE))
+
+
+def forward_scores(rows: DataFrame, state: DataFrame, model: Hmm, prior: float, norm: np.ndarray) -> DataFrame:
+    """rid, n_tokens, n_known, base_log and hmm_log of every coded document."""
+    k = len(model.start)
+    start_p, move_p, _ = model.arrays()
+    names = ["rid", "doc_id", "held_out"]
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        _, c, x = _unpacked(words, k)
+        params = (start_p, move_p, _emissions(c, x, prior, norm))
+        base, known = np.log10(c + 1.0), c > 0
+        out: list[list] = [[], [], [], []]
+        codes = _codes_of(docs.column("codes"))
+        for lo in range(0, len(codes), 512):
+            seqs = codes[lo : lo + 512]
+            logs = forward_log10(params, seqs)
+            for s, log in zip(seqs, logs):
+                for col, v in zip(out, (len(s), int(known[s].sum()), float(base[s].sum()), float(log))):
+                    col.append(v)
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.table([*[docs.column(n) for n in names], *[pa.array(v, t) for v, t in zip(out, kinds)]], [*names, "n_tokens", "n_known", "base_log", "hmm_log"])
+
+    docs = rows.filter("rid IS NOT NULL").select("block", *names, "codes")
+    schema = f"rid long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_log double, hmm_log double"
+    return docs.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(run, schema)
+
+
+def lm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head: int | None = None, tail: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     docs needs doc_id and text; other columns are ignored, whatever their names. A null text
     counts as empty: its only token is the end. Repeated rows are counted and scored each.
-    With no training row every token is unknown: the base gives probability 1 to the one
-    unknown type, the model spreads over its classes. An empty table gives an empty result.
+    Every word of the training rows has its own emissions; all others are one unknown type, to
+    which each state gives the smoothed share. With no training row base and model give it
+    probability 1. An empty table gives an empty result. head and tail have no effect any more.
     """
-    if head + tail > 1 << 16:
-        raise ValueError("head and tail classes must fit two bytes")
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    vocab = scratch.write(word_counts(docs.filter(crc_mod(7) != 2)), "vocab")
+    vocab = scratch.write(word_counts(docs.filter(crc_mod(7) != 2)).withColumn("wid", F.monotonically_increasing_id()), "vocab")
     total = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"], total["v"]
-    level = head_level(vocab, head)
-    top = vocab.filter(_step() >= level).toPandas().sort_values(["c", "word"], ascending=[False, True])  # `head` rows at most
-    bucket = (F.crc32("word") % tail).cast("int")
-    rest = {r["b"]: (r["n"], r["v"]) for r in vocab.filter(_step() < level).groupBy(bucket.alias("b")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    tail_counts = np.array([rest.get(b, (0, 0))[0] for b in range(tail)], dtype=np.float64)
-    tail_norm = np.array([math.log10(rest[b][0] + rest[b][1] + 1) if b in rest else 0.0 for b in range(tail)])
-    class_counts = np.concatenate([top["c"].to_numpy(dtype=np.float64), tail_counts])
-
-    shared = spark.sparkContext.broadcast(([bytes(w) for w in top["word"]], top["c"].tolist(), tail))
-    rows = scratch.write(coded(docs, shared), "coded")
-    model = Hmm.first(class_counts, states)
-    for _ in range(rounds):
-        model, _log = baum_welch_round(rows.filter("NOT held_out"), model, class_counts)
+    rows = scratch.write(coded(docs, block_words=block_words), "coded")
+    pairs = rows.filter("rid IS NULL").agg(F.sum(F.size("words"))).first()[0] or 0
+    ranges = 1 + pairs // RANGE_PAIRS
 
-    words = rows.filter(F.size("tail") > 0).select("rid", F.explode("tail").alias("t")).select("rid", F.col("t.word").alias("word"), F.col("t.k").alias("k"))
-    found = words.join(vocab.filter(_step() < level), "word", "left")
-    rare = found.groupBy("rid").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("tail_known"),
-        F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("tail_log"),
-    )
-    scored = forward_scores(rows, model, tail_norm).join(rare, "rid", "left")
-    tail_log = F.coalesce("tail_log", F.lit(0.0))
+    model, prior, norm = Hmm.first(np.zeros(0), states), 0.0, first_totals(vocab, states)
+    state = scratch.write(first_state(rows, vocab, states), "state")
+    scratch.drop(vocab)
+    for _ in range(rounds):
+        counted = scratch.write(baum_welch_round(rows, state, model, prior, norm, ranges), "counted")
+        scratch.drop(state)
+        sums = counted.filter("range = -2").select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+        values = np.zeros(states * states + 2 * states + 1)  # so many rows at most
+        for s in sums:
+            values[s["i"]] = s["x"]
+        move, start, occupied = values[: states * states].reshape(states, states) + 1.0, values[states * states :][:states] + 1.0, values[states * states + states :][:states]
+        model = Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), model.emit)
+        prior, norm = PRIOR / (n + v + 1), occupied + PRIOR
+        state = scratch.write(next_state(counted, states), "state")
+        scratch.drop(counted)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # lets the shuffle files of the round go
+
+    scored = forward_scores(rows, state, model, prior, norm)
     return scored.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_head") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("head_log") + tail_log - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
-        (F.col("hmm_log") + tail_log).alias("score"),
+        (F.col("base_log") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
+        F.col("hmm_log").alias("score"),
     )
 
 
