@@ -365,11 +365,13 @@ def lm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head:
     ranges = 1 + pairs // RANGE_PAIRS
 
     model, prior, norm = Hmm.first(np.zeros(0), states), 0.0, first_totals(vocab, states)
-    state = scratch.write(first_state(rows, vocab, states), "state")
+    state = held = scratch.write(first_state(rows, vocab, states), "state")
     scratch.drop(vocab)
     for _ in range(rounds):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # lets the shuffle files of the steps before go
         counted = scratch.write(baum_welch_round(rows, state, model, prior, norm, ranges), "counted")
-        scratch.drop(state)
+        scratch.drop(held)
         sums = counted.filter("range = -2").select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
         values = np.zeros(states * states + 2 * states + 1)  # so many rows at most
         for s in sums:
@@ -377,10 +379,7 @@ def lm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head:
         move, start, occupied = values[: states * states].reshape(states, states) + 1.0, values[states * states :][:states] + 1.0, values[states * states + states :][:states]
         model = Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), model.emit)
         prior, norm = PRIOR / (n + v + 1), occupied + PRIOR
-        state = scratch.write(next_state(counted, states), "state")
-        scratch.drop(counted)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # lets the shuffle files of the round go
+        state, held = next_state(counted, states), counted
 
     scored = forward_scores(rows, state, model, prior, norm)
     return scored.select(
