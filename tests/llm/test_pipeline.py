@@ -1,6 +1,6 @@
 """The pipeline's stages on a small table, against the operators' brute-force versions."""
 
-from test_operators import ROWS, SCHEMA, TEXTS, brute_near, brute_secrets
+from test_llm_operators import ROWS, SCHEMA, TEXTS, brute_near, brute_secrets
 
 import corpus_pipeline
 
