@@ -6,7 +6,7 @@ stand before t, and two tokens may stand together exactly if merging their joine
 them back. The distinct words of a batch are sorted, which is the order in which a depth-first
 walk of their trie visits them; the walk keeps the last token of each byte of the current path,
 so a prefix that many words share is encoded once. Encodings of words are kept between
-batches in a bounded cache. Texts are split, encoded and decoded whole, in Arrow batches.
+the batches of a task in a cache bounded by bytes. Texts are split, encoded and decoded whole, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -20,16 +20,20 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from weftlake.llm.common import documents, text_or_empty
+from weftlake.llm.common import documents, idle, text_or_empty, text_runs
 
 #: White space as the tokenizer's pattern sees it (Unicode White_Space).
 _S = r"\t-\r \x85\xa0  -     　"
 #: The public splitting pattern of byte-level BPE, with white space spelled out.
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
-#: Entries of a worker's word cache and of its cache of token pairs; beyond, the cache starts anew.
-CACHED_WORDS = 250_000
-CACHED_PAIRS = 500_000
+#: Bytes of a worker's word cache and entries of its cache of token pairs, about; beyond, a cache starts anew.
+#: Words longer than KEPT_CHARS are encoded each time.
+CACHED_BYTES = 48_000_000
+CACHED_PAIRS = 250_000
+KEPT_CHARS = 64
+#: Bytes of a cache entry besides its strings, about.
+ENTRY = 200
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -62,6 +66,13 @@ class TrieBpe:
         self.by_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        """Empty the caches, as a task does at its end: an idle worker holds the vocabulary alone."""
+        self.pairs.clear()
+        self.words.clear()
+        self.held = 0
 
     def merged(self, data: bytes) -> list[int]:
         """Plain BPE: the lowest-ranked merge, leftmost first, until none is left."""
@@ -119,16 +130,20 @@ class TrieBpe:
             for i, part in enumerate(self._parts(text)):
                 words += [part] if i % 2 else SPLIT.findall(part)
             split.append(words)
+        if self.held > CACHED_BYTES:
+            self.words.clear()
+            self.held = 0
         for s, i in self.special.items():
             self.words[s] = array("I", [i]).tobytes()
         new = set().union(*split).difference(self.words)
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words = {s: self.words[s] for s in self.special}
-            new = set().union(*split).difference(self.words)
         self.learn(new)
+        self.held += sum(map(len, new)) * 2 + ENTRY * len(new)
         ids_of = self.words.__getitem__
         for words in split:
             yield b"".join(map(ids_of, words))
+        for w in [w for w in new if len(w) > KEPT_CHARS and w not in self.special]:
+            del self.words[w]
+            self.held -= 2 * len(w) + ENTRY
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, array("I", ids))).decode("utf-8", "replace")
@@ -144,20 +159,6 @@ def loaded(path: str) -> TrieBpe:
     return _loaded[path]
 
 
-def chunks(texts: list[str], chars: int = 4_000_000, rows: int = 512) -> Iterator[list[str]]:
-    """Runs of whole texts, of bounded total length where no single text is longer."""
-    run: list[str] = []
-    held = 0
-    for t in texts:
-        if run and (held + len(t) > chars or len(run) >= rows):
-            yield run
-            run, held = [], 0
-        run.append(t)
-        held += len(t)
-    if run:
-        yield run
-
-
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file, the same on the driver and every executor."""
     import public_tokenizers
@@ -170,7 +171,8 @@ def encode_decode(docs: DataFrame, vocab_path: str | None = None) -> DataFrame:
 
     docs needs doc_id and text; other columns are ignored, whatever their names. A null text
     counts as empty: no token, the digests of nothing. Strings of special tokens in a text
-    become those tokens. vocab_path is a vocabulary file that every executor has.
+    become those tokens. Texts of any length are encoded whole; repeated rows are encoded each.
+    An empty table gives an empty result. vocab_path is a vocabulary file that every executor has.
     """
     path = vocab_path or vocabulary("byte_bpe_50k.json")
 
@@ -178,7 +180,7 @@ def encode_decode(docs: DataFrame, vocab_path: str | None = None) -> DataFrame:
         bpe = loaded(path)
         for batch in batches:
             out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "n_bytes": []}
-            for texts in chunks(batch.column("text").to_pylist()):
+            for _, texts in text_runs(batch):
                 for ids in bpe.encode_batch(texts):
                     decoded = bpe.decode(ids).encode()
                     out["n_tokens"].append(len(ids) // 4)
@@ -189,6 +191,8 @@ def encode_decode(docs: DataFrame, vocab_path: str | None = None) -> DataFrame:
                 [batch.column("doc_id"), pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string()), pa.array(out["n_bytes"], pa.int64())],
                 ["doc_id", *out],
             )
+        bpe.forget()
+        idle()
 
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +23,12 @@ BROADCAST_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is configured (tests)."""
+    """The folder that all executors share. Only a local master may do without one (tests): it gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='weftlake-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -30,7 +38,8 @@ class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor costs no recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.held = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+        self.n = 0
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
@@ -38,6 +47,7 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._weftlake_path = path
+        self.held[path] = out
         return out
 
     def drop(self, df: DataFrame | None) -> None:
@@ -47,6 +57,15 @@ class Scratch:
             jvm = self.spark._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self.held.pop(path, None)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """df as a written table; all others are removed."""
+        out = self.write(df, "result")
+        for held in list(self.held.values()):
+            if held is not out:
+                self.drop(held)
+        return out
 
 
 def text_or_empty() -> Column:
@@ -63,8 +82,36 @@ def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     The ids are counted: a bounded set is broadcast and the texts are not shuffled, a larger
     one is joined through a shuffle on doc_id. Rows with a null doc_id stay.
     """
-    small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti")
+    return docs.join(counted(ids), "doc_id", "left_anti")
+
+
+def counted(df: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
+    """df marked for broadcast if it was counted and holds at most bound rows, else as it is."""
+    return F.broadcast(df) if df.count() <= bound else df
+
+
+def text_runs(batch: pa.RecordBatch, column: str = "text", chars: int = 2_000_000, rows: int = 256) -> Iterator[tuple[int, list[str]]]:
+    """(first row, whole texts) of runs of an Arrow batch, of bounded total length where no single text is longer.
+    Only one run at a time is turned into Python strings."""
+    col = batch.column(column)
+    at = held = 0
+    for i, size in enumerate(pc.binary_length(col).to_pylist()):
+        if i > at and (held + size > chars or i - at >= rows):
+            yield at, col.slice(at, i - at).to_pylist()
+            at, held = i, 0
+        held += size
+    if at < len(col):
+        yield at, col.slice(at).to_pylist()
+
+
+def idle() -> None:
+    """Give back what a Python worker no longer holds; it stays alive between tasks, beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def partitions(spark: SparkSession) -> int:

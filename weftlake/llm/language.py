@@ -1,179 +1,184 @@
 """Language identification with hyperdimensional profiles (operator 10).
 
-Each letter (and the blank) has a fixed random vector of +1 and -1. An n-gram is bound by
-permuting its letters' vectors by their place and multiplying them; a document's vector is
-the bundle (sum) of its n-grams, a language's prototype the bundle of its training documents'
-unit vectors, and a document gets the language of the closest prototype by cosine.
-
-A batch is counted first: its distinct n-grams are bound once, and one matrix product bundles
-all its documents. Prototypes are fitted on a bounded, documented sample of labelled rows;
-every text is scored whole.
+Each letter has a random vector of +1 and -1 of its own, drawn by a seeded hash of its code
+point. An n-gram is bound by permuting its letters' vectors by their place and multiplying
+them; a document's vector is the bundle (sum) of its n-grams, a language's prototype the bundle
+of its training documents' unit vectors, and a document gets the language of the closest
+prototype by cosine.
+
+A run of texts is counted first: its distinct n-grams are bound once, and a matrix product by
+blocks of n-grams bundles all its documents. Nothing is kept between runs. Prototypes are
+fitted on a bounded, documented sample of labelled rows; every text is scored whole.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from weftlake.llm.common import crc_mod, documents
+from weftlake.llm.common import BROADCAST_IDS, crc_mod, documents, idle, partitions, text_runs
 
 DIM = 512
 GRAM = 3
 SEED = 20_011
-#: Letters are told apart by their code point modulo this number less one; 0 is the blank.
-SYMBOLS = 256
-#: The documented bound of the training sample: rows of each language, chosen by a hash, and languages.
+#: The code point that stands for everything but letters.
+BLANK = 32
+#: The documented bound of the training sample: rows of each language, chosen by a hash.
 TRAIN_ROWS = 4000
-MAX_LANGS = 500
-#: Bound n-grams that a worker keeps; beyond, it starts anew.
-KEPT_GRAMS = 60_000
+#: Texts and characters bundled at a time, and n-grams of a block of the matrix product.
+RUN_ROWS, RUN_CHARS, BLOCK_GRAMS = 128, 400_000, 4096
+#: Largest range of numbers that is ranked by a table (5 bytes each) instead of a sort.
+TABLE = 2_000_000
 UNKNOWN = "und"
 
 
-class Space:
-    """The vectors, and bundles of documents."""
-
-    def __init__(self):
-        rng = np.random.default_rng(SEED)
-        letters = rng.integers(0, 2, (SYMBOLS, DIM), dtype=np.int8) * 2 - 1
-        self.by_place = [np.roll(letters, GRAM - 1 - p, axis=1) for p in range(GRAM)]
-        alpha = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
-        symbol = np.where(alpha, np.arange(0x110000) % (SYMBOLS - 1) + 1, 0)
-        self.symbol = symbol.astype(np.int32)
-        self.slot = np.full(SYMBOLS**GRAM, -1, dtype=np.int32)
-        self.vectors = np.zeros((0, DIM), dtype=np.int8)
-        self.used = 0
-
-    def bind(self, grams: np.ndarray) -> np.ndarray:
-        out = self.by_place[GRAM - 1][grams % SYMBOLS]
-        for p in range(GRAM - 2, -1, -1):
-            grams = grams // SYMBOLS
-            out = out * self.by_place[p][grams % SYMBOLS]
-        return out
-
-    def grams(self, text: str) -> np.ndarray:
-        """The n-grams of the letters, with one blank before, between and after words."""
-        codes = self.symbol[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), dtype=np.uint32)]
-        blank = codes == 0
-        keep = np.ones(len(codes), dtype=bool)
-        keep[1:] = ~(blank[1:] & blank[:-1])
-        codes = codes[keep]
-        if len(codes) < GRAM:
-            return codes[:0]
-        out = codes[: len(codes) - GRAM + 1]
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """The vectors (n x DIM, +1 and -1) of code points, by a seeded hash of each."""
+    with np.errstate(over="ignore"):
+        x = points.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, DIM // 64 + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(SEED)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return np.unpackbits(x.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
+
+
+def _letters(points: np.ndarray) -> np.ndarray:
+    """Which of some distinct code points are letters."""
+    return np.fromiter((unicodedata.category(chr(p))[0] == "L" for p in points.tolist()), dtype=bool, count=len(points))
+
+
+def ranked(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values (all below size) in order and each value's place among them."""
+    if size > TABLE:
+        return np.unique(values, return_inverse=True)
+    there = np.zeros(size, dtype=bool)
+    there[values] = True
+    distinct = np.flatnonzero(there)
+    place = np.empty(size, dtype=np.int32)
+    place[distinct] = np.arange(len(distinct), dtype=np.int32)
+    return distinct, place[values].astype(np.int64)
+
+
+def gram_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct code points of the texts (letters and BLANK), the n-grams of all texts in the number
+    system of these points, and each text's number of n-grams. Texts are in lower case, with one
+    blank before, between and after words."""
+    raw = [f" {t.lower()} ".encode("utf-32-le", "replace") for t in texts]
+    points = np.frombuffer(b"".join(raw), dtype=np.uint32)
+    known, codes = ranked(points, 0x110000)
+    letters = _letters(known)
+    known = np.concatenate([[BLANK], known[letters]])
+    codes = np.where(letters, np.cumsum(letters), 0)[codes]
+    grams, sizes, at = [], [], 0
+    for r in raw:
+        c = codes[at : at + len(r) // 4]
+        at += len(r) // 4
+        blank = c == 0
+        c = c[np.concatenate([[True], ~(blank[1:] & blank[:-1])])]
+        n = max(0, len(c) - GRAM + 1)
+        out = c[:n].astype(np.int64)
         for p in range(1, GRAM):
-            out = out * SYMBOLS + codes[p : len(codes) - GRAM + 1 + p]
-        return out
-
-    def bundles(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A vector for each text, and whether it has a letter."""
-        each = [self.grams(t) for t in texts]
-        sizes = np.array([len(g) for g in each])
-        if not sizes.sum():
-            return np.zeros((len(texts), DIM), dtype=np.float32), sizes > 0
-        grams = np.concatenate(each)
-        slots = self.slot[grams]
-        new = np.unique(grams[slots < 0])
-        if self.used + len(new) > KEPT_GRAMS:
-            self.slot[:] = -1
-            self.used, self.vectors = 0, self.vectors[:0]
-            new = np.unique(grams)
-        if len(new):
-            self.slot[new] = np.arange(self.used, self.used + len(new), dtype=np.int32)
-            self.vectors = np.concatenate([self.vectors[: self.used], self.bind(new)])
-            self.used += len(new)
-            slots = self.slot[grams]
-        present = np.bincount(slots, minlength=self.used) > 0
-        column = np.cumsum(present) - 1
-        width = int(present.sum())
+            out = out * len(known) + c[p : n + p]
+        grams.append(out)
+        sizes.append(n)
+    return known, np.concatenate(grams), np.array(sizes)
+
+
+def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A vector for each text, and whether it has a letter."""
+    known, grams, sizes = gram_ids(texts)
+    out = np.zeros((len(texts), DIM), dtype=np.float32)
+    if len(grams):
+        letters = letter_vectors(known)
+        by_place = [np.roll(letters, GRAM - 1 - p, axis=1) for p in range(GRAM)]
+        distinct, which = ranked(grams, len(known) ** GRAM)
         row = np.repeat(np.arange(len(texts)), sizes)
-        counts = np.bincount(row * width + column[slots], minlength=len(texts) * width)
-        counts = counts.reshape(len(texts), width).astype(np.float32)
-        vectors = self.vectors[: self.used][present]
-        out = np.zeros((len(texts), DIM), dtype=np.float32)
-        for i in range(0, width, 8192):
-            out += counts[:, i : i + 8192] @ vectors[i : i + 8192].astype(np.float32)
-        return out, sizes > 0
-
-
-_space: list[Space] = []
-
-
-def space() -> Space:
-    if not _space:
-        _space.append(Space())
-    return _space[0]
+        blocks = -(-len(distinct) // BLOCK_GRAMS)
+        order = np.argsort(which // BLOCK_GRAMS, kind="stable") if blocks > 1 else slice(None)
+        row, which = row[order], which[order]
+        ends = np.searchsorted(which // BLOCK_GRAMS, np.arange(blocks), side="right")
+        lo = 0
+        for b, hi in enumerate(ends.tolist()):
+            rest = distinct[b * BLOCK_GRAMS : (b + 1) * BLOCK_GRAMS]
+            width = len(rest)
+            vectors = by_place[GRAM - 1][rest % len(known)]
+            for p in range(GRAM - 2, -1, -1):
+                rest = rest // len(known)
+                vectors = vectors * by_place[p][rest % len(known)]
+            counts = np.bincount(row[lo:hi] * width + which[lo:hi] - b * BLOCK_GRAMS, minlength=len(texts) * width)
+            out += counts.reshape(len(texts), width).astype(np.float32) @ vectors.astype(np.float32)
+            lo = hi
+    return out, sizes > 0
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def _runs(texts: list, chars: int = 1_500_000, rows: int = 256) -> Iterator[tuple[int, list[str]]]:
-    at = 0
-    while at < len(texts):
-        end, held = at, 0
-        while end < len(texts) and end - at < rows and (end == at or held + len(texts[end] or "") <= chars):
-            held += len(texts[end] or "")
-            end += 1
-        yield at, [t or "" for t in texts[at:end]]
-        at = end
-
-
 def training_sample(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS) -> DataFrame:
     """Labelled rows outside the held-out quarter, about rows_per_lang of each language at most."""
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(crc_mod(4) != 2)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    per = F.broadcast(counts.select("lang", (F.lit(float(rows_per_lang)) / F.col("count")).alias("share")))
+    # One row a language reaches the driver, as its prototype does later.
+    found = [(r["lang"], float(rows_per_lang) / r["count"]) for r in rows.groupBy("lang").count().collect()]
+    per = docs.sparkSession.createDataFrame(found, "lang string, share double")
+    per = F.broadcast(per) if len(found) <= BROADCAST_IDS else per
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) / float(1 << 20)
     return rows.select("doc_id", "lang", "text").join(per, "lang").filter(draw < F.col("share")).select("lang", "text")
 
 
 def fit(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS) -> dict[str, list[float]]:
-    """A unit prototype for each language, from a few partial sums of each."""
+    """A unit prototype for each language: sums by task, then by language."""
 
     def sums(batches):
         total: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            langs = pdf["lang"].tolist()
-            for at, texts in _runs(pdf["text"].tolist()):
-                for lang, v in zip(langs[at:], _unit(space().bundles(texts)[0])):
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            for at, texts in text_runs(batch, chars=RUN_CHARS, rows=RUN_ROWS):
+                for lang, v in zip(langs[at:], _unit(bundles(texts)[0])):
                     total[lang] = total.get(lang, 0) + v.astype(np.float64)
-        if total:
-            yield pd.DataFrame({"lang": list(total), "v": [v.tolist() for v in total.values()]})
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["lang", "v"])
+        idle()
+
+    def merged(t: pa.Table) -> pa.Table:
+        v = sum(np.frombuffer(b, dtype=np.float64) for b in t.column("v").to_pylist())
+        return pa.table({"lang": t.column("lang")[:1], "v": pa.array([(v / max(np.linalg.norm(v), 1e-9)).tobytes()], pa.binary())})
 
-    found: dict[str, np.ndarray] = {}
-    # 8 tasks: at most 8 x MAX_LANGS vectors of DIM numbers reach the driver.
-    for r in training_sample(docs, rows_per_lang).repartition(8).mapInPandas(sums, "lang string, v array<double>").collect():
-        found[r["lang"]] = found.get(r["lang"], 0) + np.array(r["v"])
-    return {k: (v / max(np.linalg.norm(v), 1e-9)).tolist() for k, v in sorted(found.items())}
+    sample = training_sample(docs, rows_per_lang)
+    parts = sample.repartition(partitions(docs.sparkSession)).mapInArrow(sums, "lang string, v binary")
+    # One vector of DIM numbers a language reaches the driver.
+    found = parts.groupBy("lang").applyInArrow(merged, "lang string, v binary").collect()
+    return {r["lang"]: np.frombuffer(r["v"], dtype=np.float64).tolist() for r in sorted(found, key=lambda r: r["lang"])}
 
 
 def predictor(prototypes: dict[str, list[float]]):
     """A column function: text -> struct<lang, score>. `und` and 0 for a null text, one without
-    a letter, or without any prototype. The score is the cosine, negative values as 0."""
+    a letter, or without any prototype. The score is the cosine, negative values as 0; of
+    languages with the same cosine the first in alphabetical order is given."""
     langs = np.array(list(prototypes), dtype=object)
     table = np.array(list(prototypes.values()), dtype=np.float32).reshape(len(langs), DIM)
     schema = StructType([StructField("lang", StringType()), StructField("score", DoubleType())])
 
-    @F.pandas_udf(schema)
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for series in batches:
-            lang = np.full(len(series), UNKNOWN, dtype=object)
-            score = np.zeros(len(series))
-            for at, texts in _runs(series.tolist()) if len(langs) else ():
-                vectors, letters = space().bundles(texts)
+    @F.arrow_udf(schema)
+    def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            lang = np.full(len(column), UNKNOWN, dtype=object)
+            score = np.zeros(len(column))
+            batch = pa.RecordBatch.from_arrays([column.fill_null("")], ["text"])
+            for at, texts in text_runs(batch, chars=RUN_CHARS, rows=RUN_ROWS) if len(langs) else ():
+                vectors, letters = bundles(texts)
                 cosine = _unit(vectors) @ table.T
                 best = cosine.argmax(axis=1)
                 top = np.clip(cosine[np.arange(len(best)), best], 0.0, 1.0)
                 lang[at : at + len(texts)] = np.where(letters, langs[best], UNKNOWN)
                 score[at : at + len(texts)] = np.where(letters, top, 0.0)
-            yield pd.DataFrame({"lang": lang, "score": score})
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
+        idle()
 
     return predict
 
@@ -182,8 +187,10 @@ def identify(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score.
 
     docs needs doc_id, text and lang; other columns are ignored, whatever their names. lang
-    serves training alone, never a prediction. Repeated rows get the same answer. Languages
-    beyond the MAX_LANGS most frequent are not learned. An empty table gives an empty result.
+    serves training alone, never a prediction; every value of it is learned. A null or empty
+    text, or one without a letter, is `und` with score 0. Repeated rows get the same answer;
+    of languages with equal cosines the alphabetically first is given. Texts of any length
+    are read whole. An empty table gives an empty result, one without a label `und` alone.
     """
     predict = predictor(fit(docs, rows_per_lang))
     rows = docs.select("doc_id", (crc_mod(4) == 2).alias("held_out"), predict("text").alias("p"))
@@ -191,11 +198,11 @@ def identify(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS) -> DataFrame:
-    """docs, same columns, without the documents whose language cannot be told."""
+    """docs, same columns and rows, without the documents whose language cannot be told: null and
+    empty texts and those without a letter (all, where no row has a label). Repeated rows stay or go
+    together, texts of any length are read whole, and no column is added, so none can clash."""
     predict = predictor(fit(docs, rows_per_lang))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*cols, predict("text").alias("_w_language"))
-    return rows.filter(F.col("_w_language.lang") != UNKNOWN).select(*cols)
+    return docs.filter(predict("text")["lang"] != UNKNOWN)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

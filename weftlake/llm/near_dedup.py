@@ -28,8 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlake.llm.bpe import chunks
-from weftlake.llm.common import BROADCAST_IDS, Scratch, documents, drop_ids, text_or_empty
+from weftlake.llm.common import Scratch, counted, documents, drop_ids, idle, text_or_empty, text_runs
 
 WORDS = 5
 #: Documents are linked if link[0] * intersection >= link[1] * union. LINK is the contract's of
@@ -149,7 +148,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             n_shingles, classes, bands, sigs = [], [], [], []
-            for texts in chunks(batch.column("text").to_pylist(), 2_000_000, 256):
+            for _, texts in text_runs(batch):
                 words = [words_of(t) for t in texts]
                 sets = shingle_sets(words)
                 some = [s for s in sets if len(s)]
@@ -163,7 +162,8 @@ def sketch(docs: DataFrame) -> DataFrame:
             cols = [batch.column("doc_id"), pa.array(n_shingles, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             cols += [pa.array([int(s[i]) for s in sigs], pa.int64()) for i in range(SIG + ODD)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "class", "bands", *SIGNATURE])
-        _words.clear()  # an idle worker holds nothing
+        _words.clear()
+        idle()
 
     sig = ", ".join(f"{c} long" for c in SIGNATURE)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, class binary, bands array<long>, {sig}")
@@ -176,14 +176,13 @@ def full_sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
-            at = 0
-            for texts in chunks(batch.column("text").to_pylist(), 2_000_000, 256):
+            for at, texts in text_runs(batch):
                 sets = shingle_sets([words_of(t) for t in texts])
                 ends = np.cumsum([0, *[len(s) for s in sets]]).astype(np.int32)
                 flat = pa.array(np.concatenate(sets).view(np.int64))
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "shingles"])
-                at += len(texts)
         _words.clear()
+        idle()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
 
@@ -276,7 +275,8 @@ def near_groups(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     docs needs doc_id and text; other columns are ignored, whatever their names. Texts without
     words (null, empty, blank) have n_shingles 0 and are linked with nothing. doc_id is a key:
     repeated rows of a doc_id share its component. A row with a null doc_id is linked with
-    nothing: component_id is null and it is kept. An empty table gives an empty result.
+    nothing: component_id is null and it is kept. Texts of any length give their whole set of
+    shingles. An empty table gives an empty result.
     """
     if not 0 < link[1] <= link[0] or (1 - (link[1] / link[0]) ** ROWS) ** BANDS > MOST_MISSED:
         raise ValueError(f"the bands would miss linked pairs at {link[1]}/{link[0]}")
@@ -298,8 +298,7 @@ def near_groups(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     members = scratch.write(members.join(reps.select("rep", "n_shingles", *sig), "rep"), "members").withColumn("comp", F.col("rep"))
 
     taking_part = scratch.write(members.select(F.col("rep").alias("doc_id")).distinct(), "taking_part")
-    small = taking_part.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(taking_part) if small else taking_part, "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(counted(taking_part), "doc_id", "left_semi")
     sets = scratch.write(full_sets(texts), "sets")
 
     tested, comp, stage = None, None, 0
@@ -326,7 +325,8 @@ def near_groups(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     else:
         out = out.withColumn("comp", F.lit(None).cast(docs.schema["doc_id"].dataType))
     cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"))
+    class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id")
+    return scratch.result(out.select("doc_id", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"), class_id))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, link: tuple[int, int]) -> DataFrame:
@@ -360,7 +360,12 @@ def _largest(members: DataFrame, comp: DataFrame | None) -> int:
 
 
 def drop_near_copies(docs: DataFrame, link: tuple[int, int] = STAGE_LINK) -> DataFrame:
-    """docs, all columns, with one document of each group of near copies."""
+    """docs, all columns, with one document of each group of near copies: the one with the smallest doc_id.
+
+    Texts without words (null, empty, blank) and rows with a null doc_id stay, and so do all rows of a
+    repeated doc_id that stays. Texts of any length are compared whole. An empty table stays
+    empty; no column is added, so names cannot clash.
+    """
     return drop_ids(docs, near_groups(docs, link).filter("NOT kept").select("doc_id").distinct())
 
 

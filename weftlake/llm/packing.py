@@ -3,9 +3,9 @@
 Each document's ids are cut into whole windows and a rest; each rest goes at once to the fill
 level that makes the sum, over levels, of (number of windows partly filled to that level)
 squared the least, or opens a window. The state is an array of counts by level and the open
-windows themselves, so it is bounded by the window size, not by the input. When a task ends,
-or more than MAX_OPEN windows are open, the emptiest open windows are cut up to top up the
-fullest: one window a task is padded.
+windows themselves. Only rests wait in open windows, so a task holds at most the ids of its
+own part of the input, and few where lengths vary; no window is closed early. When a task
+ends, the emptiest open windows are cut up to top up the fullest: one window a task is padded.
 
 Tokenizing and packing happen in the scan's tasks. Nothing is shuffled, a task that is run
 again gives the same rows, and sequence ids are unique by the task's partition.
@@ -25,19 +25,22 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from weftlake.llm.bpe import chunks, vocabulary
-from weftlake.llm.common import documents, text_or_empty
+from weftlake.llm.bpe import vocabulary
+from weftlake.llm.common import documents, idle, text_or_empty, text_runs
 
 WINDOW = 2048
 END_ID = 1
-MAX_OPEN = 4096
 #: Fixed value: the pattern of the word-level vocabulary file.
 UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Marks that, at the end of a run and behind letters only, are one unit.
 MARKS = ".,;:!?"
-#: Entries of a worker's caches of runs and of units; beyond, a cache starts anew.
-CACHED_RUNS = 1_000_000
-CACHED_UNITS = 900_000
+#: Bytes of a worker's caches of runs and of units, about; beyond, a cache starts anew. Runs and units
+#: longer than KEPT_CHARS are encoded each time.
+CACHED_RUNS = 72_000_000
+CACHED_UNITS = 48_000_000
+KEPT_CHARS = 64
+#: Bytes of a cache entry besides its strings, about.
+ENTRY = 200
 ROWS_OUT = 20_000
 
 
@@ -60,8 +63,13 @@ class CachedTokenizer:
         suffix = spec["model"]["end_of_word_suffix"]
         self.closes = {i for w, i in spec["model"]["vocab"].items() if w.endswith(suffix)}
         self.split = regex.compile(UNITS)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the caches, as a task does at its end: an idle worker holds the vocabulary alone."""
         self.known: dict[str, bytes] = {"": b""}
         self.units: dict[str, bytes] = {"": b""}
+        self.known_bytes = self.unit_bytes = 0
 
     def _encode(self, units: list[str]) -> None:
         """Encode new units, joined by blanks, into the cache."""
@@ -78,6 +86,7 @@ class CachedTokenizer:
                 found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             for w, x in zip(part, found):
                 self.units[w] = array("I", x).tobytes()
+                self.unit_bytes += 2 * len(w) + ENTRY
 
     def _units(self, run: str) -> list[str] | None:
         """The units of a run in lower case, None if the library has to see it whole."""
@@ -99,10 +108,9 @@ class CachedTokenizer:
                 rest.append(w)
         need = {x for _, x, _ in words}.union({x for _, _, x in words}, *others.values())
         need.discard("")
+        if self.unit_bytes > CACHED_UNITS:
+            self.units, self.unit_bytes = {"": b""}, 0
         new = list(need.difference(self.units))
-        if len(self.units) + len(new) > CACHED_UNITS:
-            self.units = {"": b""}
-            new = list(need)
         self._encode(new)
         known, ids_of = self.known, self.units.__getitem__
         for w, core, tail in words:
@@ -111,18 +119,24 @@ class CachedTokenizer:
             known[w] = b"".join(map(ids_of, parts))
         for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
             known[w] = array("I", e.ids).tobytes()
+        for w in [w for w in new if len(w) > KEPT_CHARS]:
+            del self.units[w]
+            self.unit_bytes -= 2 * len(w) + ENTRY
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
+        if self.known_bytes > CACHED_RUNS:
+            self.known, self.known_bytes = {"": b""}, 0
         new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > CACHED_RUNS:
-            self.known = {"": b""}
-            new = list(set().union(*split) - {""})
         self.learn(new)
+        self.known_bytes += 2 * sum(map(len, new)) + ENTRY * len(new)
         ids_of = self.known.__getitem__
         for words in split:
             yield b"".join(map(ids_of, words))
+        for w in [w for w in new if len(w) > KEPT_CHARS]:
+            del self.known[w]
+            self.known_bytes -= 2 * len(w) + ENTRY
 
 
 _loaded: dict[str, CachedTokenizer] = {}
@@ -137,8 +151,8 @@ def loaded(path: str) -> CachedTokenizer:
 class SumOfSquares:
     """Online packing. Finished rows are (doc_id, start, length, crc, doc_tokens, sequence, offset)."""
 
-    def __init__(self, window: int = WINDOW, first_sequence: int = 0, max_open: int = MAX_OPEN):
-        self.window, self.next, self.max_open = window, first_sequence, max_open
+    def __init__(self, window: int = WINDOW, first_sequence: int = 0):
+        self.window, self.next = window, first_sequence
         self.count = np.zeros(window + 1, dtype=np.int64)  # open windows by fill level
         self.open: list[list[list]] = [[] for _ in range(window)]  # the windows of each level
         self.rows: list[tuple] = []
@@ -178,8 +192,6 @@ class SumOfSquares:
             return
         self.open[level + size].append(held)
         self.count[level + size] += 1
-        if self.count.sum() > self.max_open:
-            self.flush()
 
     def _close(self, pieces: list[tuple]) -> None:
         offset = 0
@@ -236,7 +248,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocab_path: str | None = None, e
         for batch in batches:
             kind = batch.column("doc_id").type
             ids = iter(batch.column("doc_id").to_pylist())
-            for texts in chunks(batch.column("text").to_pylist()):
+            for _, texts in text_runs(batch, chars=4_000_000, rows=512):
                 for coded in tokens.encode_batch(texts):
                     packer.add(next(ids), coded + end)
                 if len(packer.rows) >= ROWS_OUT:
@@ -244,6 +256,9 @@ def pack(docs: DataFrame, window: int = WINDOW, vocab_path: str | None = None, e
         packer.flush()
         if packer.rows:
             yield out()
+        del packer
+        tokens.forget()
+        idle()
 
     schema = f"doc_id {id_type.simpleString()}, " + ", ".join(f"`{n}` long" for n in names[1:])
     return rows.mapInArrow(run, schema)

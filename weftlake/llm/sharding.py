@@ -41,18 +41,19 @@ def shard_stratified(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) ->
     docs needs doc_id, source and text; other columns are ignored. size is the UTF-8 length
     plus 1; a null text has length 0 and the checksum of the empty text. Rows with a null
     source form a stratum of their own. Equal rows are ranked by doc_id, then by checksum;
-    rows alike in all of these are interchangeable. Shard counts differ by one at most; fewer
+    rows alike in all of these are interchangeable. Texts of any length only give their size and checksum. Shard counts differ by one at most; fewer
     rows than shards leave shards empty. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
-    rows = docs.select(
+    # Written once: the sort below reads its input twice, for the bounds and to deal it out.
+    rows = scratch.write(docs.select(
         "doc_id",
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("stratum"),
         (F.octet_length(text_or_empty()) + 1).cast("long").alias("size"),
         F.crc32(text_or_empty().cast("binary")).alias("text_crc32"),
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("draw"),
-    )
+    ), "rows")
     by_source = _placed(rows, scratch, "by_source", "stratum", "draw", "doc_id", "text_crc32")
     # One row for each partition and each source in it: at most partitions + sources rows.
     runs = by_source.groupBy("part", "stratum").agg(F.count("*").alias("c"), F.min("idx").alias("first"))
@@ -78,7 +79,7 @@ def shard_stratified(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) ->
     offsets = spark.createDataFrame([(p, n) for (p, _), n in zip(counts, starts)], "part int, offset long")
     place = mixed.join(F.broadcast(offsets), "part").withColumn("place", F.col("idx") + F.col("offset"))
     place = place.withColumn("shard", F.expr(f"CAST(place * {shards} DIV {total} AS INT)"))
-    return place.select(
+    return scratch.result(place.select(
         "doc_id",
         "size",
         "text_crc32",
@@ -87,7 +88,7 @@ def shard_stratified(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) ->
         F.expr(f"place - (CAST(shard AS BIGINT) * {total} + {shards - 1}) DIV {shards}").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "stratum_rank",
-    )
+    ))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
