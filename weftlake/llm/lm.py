@@ -6,8 +6,9 @@
 3. Every word of the training documents has an emission of its own. The expected counts by word and
    state are a distributed table with a row part for each block that holds the word, so what is
    learned grows with the corpus, and memory is bounded by a block.
-4. Baum-Welch: each block runs scaled forward-backward over its training documents, cut in
-   segments, with its words' emissions. Counts of words that several blocks share are summed by
+4. Baum-Welch: each block runs scaled forward-backward over its whole training documents with its
+   words' emissions; of a batch that is too long, only the states at checkpoints are kept and the
+   steps between are run again backward. Counts of words that several blocks share are summed by
    ranges of words and dealt back to the blocks; those of the other words stay. The driver
    normalises by state totals only.
 5. The scaled forward recursion over whole documents gives the exact log-likelihood.
@@ -22,10 +23,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlake.llm.common import Scratch, crc_mod, documents, text_or_empty
+from weftlake.llm.common import Scratch, crc_mod, documents, idle, text_or_empty, text_runs
 from weftlake.llm.near_dedup import _mixed, words_of
 
 STATES = 12
@@ -34,7 +35,8 @@ ROUNDS = 5
 BLOCK_WORDS, BLOCK_TOKENS = 400_000, 8_000_000
 #: Pairs of a word and a block in a range of words, about.
 RANGE_PAIRS = 500_000
-SEGMENT = 256
+#: Tokens whose forward and backward variables are held at a time.
+HELD_TOKENS = 500_000
 SEED = 88
 #: Chance of staying in a state at the start, and the weight of the corpus' own distribution in each state.
 STAY, PRIOR = 0.9, 200.0
@@ -57,13 +59,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.update(tokens_of(text))
-                if len(held) >= HELD_WORDS:
-                    yield out()
-                    held.clear()
+            for _, texts in text_runs(batch):
+                for text in texts:
+                    held.update(tokens_of(text))
+                    if len(held) >= HELD_WORDS:
+                        yield out()
+                        held.clear()
         if held:
             yield out()
+        held.clear()
+        idle()
 
     rows = docs.select(text_or_empty().alias("text"))
     return rows.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -87,7 +92,7 @@ def coded(docs: DataFrame, train_mod=(7, 2), block_words: int = BLOCK_WORDS) ->
         for batch in batches:
             ids_type, n = batch.column("doc_id").type, batch.num_rows
             blocks, codes, full = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in (t for _, texts in text_runs(batch) for t in texts):
                 a = np.array([code.setdefault(w, len(code)) for w in tokens_of(text)], dtype=np.int32)
                 blocks.append(block)
                 codes.append(a.tobytes())
@@ -101,6 +106,8 @@ def coded(docs: DataFrame, train_mod=(7, 2), block_words: int = BLOCK_WORDS) ->
             rid += n
         if code:
             yield dictionary()
+        code = {}
+        idle()
 
     return rows.mapInArrow(run, f"rid long, doc_id {id_kind}, held_out boolean, block long, codes binary, words array<binary>")
 
@@ -158,42 +165,70 @@ def forward_log10(params: tuple, seqs: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def expected_counts(params: tuple, seqs: list[np.ndarray], first: list[bool], emit_sum: np.ndarray, move_sum: np.ndarray, start_sum: np.ndarray) -> float:
-    """Add the expected counts of the sequences; return their log10 likelihood. A sequence that is
-    not the first of its document starts from the chain's stationary distribution."""
+def batches_by_length(seqs: list[np.ndarray], tokens: int) -> list[np.ndarray]:
+    """Places of the sequences, longest first, in batches of at most so many tokens where no single one is longer:
+    sequences of like length advance together."""
+    order = np.argsort([-len(s) for s in seqs], kind="stable")
+    out, lo, held = [], 0, 0
+    for i, k in enumerate(order.tolist()):
+        if i > lo and held + len(seqs[k]) > tokens:
+            out.append(order[lo:i])
+            lo, held = i, 0
+        held += len(seqs[k])
+    return [*out, order[lo:]] if len(order) else []
+
+
+def expected_counts(params: tuple, seqs: list[np.ndarray], emit_sum: np.ndarray, move_sum: np.ndarray, start_sum: np.ndarray, held: int = HELD_TOKENS) -> float:
+    """Add the expected counts of whole sequences; return their log10 likelihood. Variables of about
+    held tokens are in memory: of longer runs of steps, only those at checkpoints, from which the
+    steps are run again on the way back."""
     start, move, emit = params
     order = np.argsort([-len(s) for s in seqs], kind="stable")
     flat, alive, at = _time_major([seqs[i] for i in order])
-    is_first = np.array(first)[order]
-    e = emit[flat]
-    alpha = np.empty_like(e)
-    scale = np.empty(len(flat), dtype=np.float32)
-    steady = np.linalg.matrix_power(move.astype(np.float64), 64)[0].astype(np.float32)
-    a = np.where(is_first[:, None], start, steady) * e[: alive[0]]
-    for t in range(len(alive)):
-        if t:
-            a = (a[: alive[t]] @ move) * e[at[t] : at[t + 1]]
-        c = a.sum(axis=1)
-        a = a / c[:, None]
-        scale[at[t] : at[t + 1]] = c
-        alpha[at[t] : at[t + 1]] = a
-    back = np.ones((alive[-1], len(start)), dtype=np.float32)
+    cuts = [0]
+    for t in range(1, len(alive)):
+        if at[t + 1] - at[cuts[-1]] > held:
+            cuts.append(t)
+
+    def forward(lo: int, hi: int, a: np.ndarray | None):
+        e = emit[flat[at[lo] : at[hi]]]
+        alpha, scale = np.empty_like(e), np.empty(len(e), dtype=np.float32)
+        for t in range(lo, hi):
+            here = slice(at[t] - at[lo], at[t + 1] - at[lo])
+            a = start * e[here] if a is None else (a[: alive[t]] @ move) * e[here]
+            c = a.sum(axis=1)
+            a = a / c[:, None]
+            scale[here], alpha[here] = c, a
+        return e, alpha, scale, a
+
+    runs = list(zip(cuts, [*cuts[1:], len(alive)]))
+    entering = [None]
+    for lo, hi in runs[:-1]:
+        entering.append(forward(lo, hi, entering[-1])[3])
     pairs = np.zeros_like(move, dtype=np.float64)
     moved = move.T.copy()
-    for t in range(len(alive) - 1, 0, -1):
-        here = slice(at[t], at[t + 1])
-        e_back = e[here] * back / scale[here, None]
-        alpha_before = alpha[at[t - 1] : at[t]]
-        pairs += alpha_before[: alive[t]].T @ e_back
-        alpha[here] *= back  # now the posterior of this step
-        back = np.ones((alive[t - 1], len(start)), dtype=np.float32)
-        back[: alive[t]] = e_back @ moved
-    alpha[: at[1]] *= back
+    log, back = 0.0, np.ones((alive[-1], len(start)), dtype=np.float32)
+    for (lo, hi), before in zip(runs[::-1], entering[::-1]):
+        e, alpha, scale, _ = forward(lo, hi, before)
+        log += float(np.log10(scale, dtype=np.float64).sum())
+        for t in range(hi - 1, lo - 1, -1):
+            here = slice(at[t] - at[lo], at[t + 1] - at[lo])
+            if t:
+                e_back = e[here] * back / scale[here, None]
+                earlier = alpha[at[t - 1] - at[lo] : at[t] - at[lo]] if t > lo else before
+                pairs += earlier[: alive[t]].T @ e_back
+            alpha[here] *= back  # now the posterior of this step
+            if t:
+                back = e_back @ moved
+                if alive[t - 1] > alive[t]:
+                    back = np.concatenate([back, np.ones((alive[t - 1] - alive[t], len(start)), dtype=np.float32)])
+        if not lo:
+            start_sum += alpha[: at[1]].sum(axis=0)
+        codes = flat[at[lo] : at[hi]]
+        for k in range(len(start)):
+            emit_sum[:, k] += np.bincount(codes, weights=alpha[:, k], minlength=len(emit))
     move_sum += pairs * move
-    start_sum += alpha[: at[1]][is_first].sum(axis=0)
-    for k in range(len(start)):
-        emit_sum[:, k] += np.bincount(flat, weights=alpha[:, k], minlength=len(emit))
-    return float(np.log10(scale, dtype=np.float64).sum())
+    return log
 
 
 def noise(hashes: np.ndarray, states: int, seed: int = SEED) -> np.ndarray:
@@ -229,9 +264,10 @@ _ROUND = f"range int, {_STATE}, stats array<double>"
 
 def first_state(rows: DataFrame, vocab: DataFrame, states: int) -> DataFrame:
     """A row for each block: its words' codes (at), ids (wid; -1 where no other block has the word), training counts (c) and weights (x)."""
-    pairs = rows.filter("rid IS NULL").select("block", F.posexplode("words").alias("at", "word")).join(vocab, "word", "left")
-    blocks = F.count("*").over(Window.partitionBy("word"))
-    wid = F.when((blocks > 1) & F.col("wid").isNotNull(), F.col("wid")).otherwise(F.lit(-1)).cast("long")
+    pairs = rows.filter("rid IS NULL").select("block", F.posexplode("words").alias("at", "word"))
+    blocks = pairs.groupBy("word").agg(F.count("*").alias("blocks"))
+    pairs = pairs.join(blocks.join(vocab, "word", "left"), "word")
+    wid = F.when((F.col("blocks") > 1) & F.col("wid").isNotNull(), F.col("wid")).otherwise(F.lit(-1)).cast("long")
     pairs = pairs.select("block", F.col("at").cast("long").alias("at"), wid.alias("wid"), F.coalesce("c", F.lit(0)).cast("long").alias("c"), F.xxhash64("word").alias("h"))
 
     def pack(t: pa.Table) -> pa.Table:
@@ -267,19 +303,9 @@ def baum_welch_round(rows: DataFrame, state: DataFrame, model: Hmm, prior: float
         wid, c, x = _unpacked(words, k)
         params = (start_p, move_p, _emissions(c, x, prior, norm))
         emit, move, start, log = np.zeros((len(c), k)), np.zeros((k, k)), np.zeros(k), 0.0
-        seqs: list[np.ndarray] = []
-        first: list[bool] = []
-        held = 0
-        for s in _codes_of(docs.column("codes")):
-            for i in range(0, len(s), SEGMENT):
-                seqs.append(s[i : i + SEGMENT])
-                first.append(i == 0)
-                held += len(seqs[-1])
-            if held >= 500_000:
-                log += expected_counts(params, seqs, first, emit, move, start)
-                seqs, first, held = [], [], 0
-        if seqs:
-            log += expected_counts(params, seqs, first, emit, move, start)
+        seqs = [s for s in _codes_of(docs.column("codes")) if len(s)]
+        for batch in batches_by_length(seqs, HELD_TOKENS):
+            log += expected_counts(params, [seqs[i] for i in batch], emit, move, start)
         block = docs.column("block")[0].as_py()
         stats = [*move.ravel().tolist(), *start.tolist(), *emit.sum(axis=0).tolist(), log]
         out = [{"range": -2, "block": block, "stats": stats}]
@@ -330,14 +356,11 @@ def forward_scores(rows: DataFrame, state: DataFrame, model: Hmm, prior: float,
         _, c, x = _unpacked(words, k)
         params = (start_p, move_p, _emissions(c, x, prior, norm))
         base, known = np.log10(c + 1.0), c > 0
-        out: list[list] = [[], [], [], []]
         codes = _codes_of(docs.column("codes"))
-        for lo in range(0, len(codes), 512):
-            seqs = codes[lo : lo + 512]
-            logs = forward_log10(params, seqs)
-            for s, log in zip(seqs, logs):
-                for col, v in zip(out, (len(s), int(known[s].sum()), float(base[s].sum()), float(log))):
-                    col.append(v)
+        logs = np.zeros(len(codes))
+        for batch in batches_by_length(codes, HELD_TOKENS):
+            logs[batch] = forward_log10(params, [codes[i] for i in batch])
+        out = [[len(s) for s in codes], [int(known[s].sum()) for s in codes], [float(base[s].sum()) for s in codes], logs]
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([*[docs.column(n) for n in names], *[pa.array(v, t) for v, t in zip(out, kinds)]], [*names, "n_tokens", "n_known", "base_log", "hmm_log"])
 
@@ -346,14 +369,15 @@ def forward_scores(rows: DataFrame, state: DataFrame, model: Hmm, prior: float,
     return docs.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(run, schema)
 
 
-def lm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head: int | None = None, tail: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     docs needs doc_id and text; other columns are ignored, whatever their names. A null text
     counts as empty: its only token is the end. Repeated rows are counted and scored each.
     Every word of the training rows has its own emissions; all others are one unknown type, to
-    which each state gives the smoothed share. With no training row base and model give it
-    probability 1. An empty table gives an empty result. head and tail have no effect any more.
+    which each state gives the smoothed share, so a state's emissions sum to 1. Documents of any
+    length are learned and scored whole. With no training row base and model give the unknown
+    type probability 1. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
@@ -382,7 +406,7 @@ def lm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head:
         state, held = next_state(counted, states), counted
 
     scored = forward_scores(rows, state, model, prior, norm)
-    return scored.select(
+    return scratch.result(scored.select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -390,7 +414,7 @@ def lm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head:
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base_log") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
         F.col("hmm_log").alias("score"),
-    )
+    ))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
