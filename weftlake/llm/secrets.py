@@ -1,11 +1,12 @@
-"""Secret scans driven by trigram queries (operator 4), DataFrame functions only.
+"""Secret scans driven by a trigram index (operator 4), DataFrame functions only.
 
 Each rule's regular expression is parsed on the driver into a Boolean query over the trigrams
 that any match must hold: literals in sequence are ANDed, alternatives ORed, optional or
-repeated classes demand nothing. The postings of these trigrams (and only these) are built
-in the scan, document-major: one bit per trigram and document. A rule's postings are
-intersected by evaluating its query on the bits, and its regex runs only on the documents
-that are left. Rules without a mandatory trigram scan every text. Nothing is shuffled.
+repeated classes demand nothing. One pass of the texts builds the inverted index of the
+queries' trigrams: postings (trigram, document), written to the shared folder. The lists are
+merged by document, where each rule's query intersects and unites them; a rule's regex
+then runs only on the documents that its query leaves. Rules without a mandatory trigram scan
+every text. Lists are merged map-side first, as all postings of a document come from one task.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlake.llm.common import documents, text_or_empty
+from weftlake.llm.common import Scratch, counted, documents, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -46,6 +47,8 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 ANY = ("any",)
+#: A set of candidates (their ids and rules, about 80 bytes each) is broadcast up to so many, else joined by a shuffle.
+BROADCAST_CANDIDATES = 250_000
 
 
 def _all(parts: list) -> tuple:
@@ -87,17 +90,32 @@ def trigrams(query: tuple) -> list[str]:
     return [query[1]] if query[0] == "tri" else [t for part in query[1:] for t in trigrams(part)]
 
 
-def _holds(query: tuple, bit: dict[str, int]) -> Column:
-    if query == ANY:
-        return F.lit(True)
+def _holds(query: tuple, number: dict[str, int]) -> Column:
+    """Whether a document's merged postings satisfy a query."""
     if query[0] == "tri":
-        return F.col("postings").bitwiseAND(F.lit(1 << bit[query[1]])) != 0
-    out = _holds(query[1], bit)
+        return F.array_contains("trigrams", F.lit(number[query[1]]))
+    out = _holds(query[1], number)
     for part in query[2:]:
-        out = (out & _holds(part, bit)) if query[0] == "and" else (out | _holds(part, bit))
+        out = (out & _holds(part, number)) if query[0] == "and" else (out | _holds(part, number))
     return out
 
 
+def postings(docs: DataFrame, wanted: list[str]) -> DataFrame:
+    """The inverted index: (trigram, _key), trigram being its number in wanted, for each of them that a text holds.
+    docs: _key and text."""
+    lower = docs.select("_key", F.lower("text").alias("lower"))
+    there = F.array_compact(F.array(*[F.when(F.contains("lower", F.lit(t)), F.lit(i)) for i, t in enumerate(wanted)]))
+    return lower.select(F.explode(there).alias("trigram"), "_key")
+
+
+def candidates(index: DataFrame, queries: list[tuple], wanted: list[str]) -> DataFrame:
+    """_key and the numbers of the rules whose queries the document's postings satisfy, where there are any."""
+    number = {t: i for i, t in enumerate(wanted)}
+    merged = index.groupBy("_key").agg(F.collect_set("trigram").alias("trigrams"))
+    rules = F.array_compact(F.array(*[F.when(_holds(q, number), F.lit(k)) for k, q in enumerate(queries) if q != ANY]))
+    return merged.select("_key", rules.alias("rules")).filter(F.size("rules") > 0)
+
+
 def _spans(order: int, hits: str, values: str, gaps: str, least: int) -> Column:
     """The kept matches as (start, order, end). The gaps between matches give the places."""
 
@@ -114,25 +132,30 @@ def _spans(order: int, hits: str, values: str, gaps: str, least: int) -> Column:
     return F.when(F.size(hits) > 0, some).otherwise(none)
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: str = "doc_id") -> DataFrame:
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: str = "doc_id", key: str = "doc_id") -> DataFrame:
     """One row per input row: the column `keep`, text and `found`, the spans in order of start, then rule.
 
-    docs needs text and keep; other columns are ignored, whatever their names. A null or
+    docs needs text, keep and key, by which the index knows a document; other columns are ignored,
+    whatever their names. Rows that share a key, or have none, are candidates together. A null or
     empty text has no span. Places count code points, ends are exclusive. Repeated rows are
-    scanned each. Texts of any length are scanned whole.
+    scanned each. Texts of any length are scanned whole. An empty table gives an empty result.
     """
     queries = [trigram_query(r.pattern) for r in rules]
-    bit = {t: i for i, t in enumerate(dict.fromkeys(t for q in queries for t in trigrams(q)))}
-    if len(bit) > 62:
-        raise ValueError(f"{len(bit)} trigrams; at most 62 fit the postings of one scan")
-    postings = F.lit(0).cast("long")
-    for t, i in bit.items():
-        postings = postings.bitwiseOR(F.when(F.contains("lower", F.lit(t)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    df = docs.select(keep, text_or_empty().alias("text")).withColumn("lower", F.lower("text"))
-    df = df.select(keep, "text", postings.alias("postings"))
+    wanted = list(dict.fromkeys(t for q in queries if q != ANY for t in trigrams(q)))
+    df = docs.select(F.col(keep).alias("_keep"), F.col(key).alias("_key"), text_or_empty().alias("text"))
+    if wanted:
+        scratch = Scratch(docs.sparkSession, "secrets")
+        index = scratch.write(postings(df.select("_key", "text"), wanted), "postings")
+        found = scratch.result(candidates(index, queries, wanted))
+        found = counted(found.select(F.col("_key").alias("_found"), "rules"), BROADCAST_CANDIDATES)
+        df = df.join(found, F.col("_key").eqNullSafe(F.col("_found")), "left")
+    else:
+        df = df.withColumn("rules", F.lit(None).cast("array<int>"))
+    df = df.select(F.col("_keep").alias(keep), "text", "rules")
+    chosen = [F.lit(True) if q == ANY else F.coalesce(F.array_contains("rules", F.lit(k)), F.lit(False)) for k, q in enumerate(queries)]
     none = F.array().cast("array<string>")
     pattern = [("(?i)" if r.ignore_case else "") + r.pattern for r in rules]
-    df = df.withColumns({f"h{k}": F.when(_holds(q, bit), F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none) for k, (q, p) in enumerate(zip(queries, pattern))})
+    df = df.withColumns({f"h{k}": F.when(c, F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none) for k, (c, p) in enumerate(zip(chosen, pattern))})
     more = {}
     for k, (r, p) in enumerate(zip(rules, pattern)):
         more[f"g{k}"] = F.when(F.size(f"h{k}") > 0, F.split("text", p, -1)).otherwise(none)
@@ -149,7 +172,7 @@ def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Counts of the base kinds, a digest of the base spans and all spans, one row per input row."""
+    """Counts of the base kinds, a digest of the base spans and all spans, one row per input row; odd input as `scan_secrets` has it."""
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("found", lambda s: s["kind"] < len(BASE_RULES))
     return scan_secrets(docs, rules).select(
@@ -163,11 +186,14 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """docs, same columns, with every span of the text replaced by mark; overlapping spans become one.
 
-    n_chars, where it is a column, is brought up to date. Rows without a span are unchanged.
+    docs needs doc_id and text. n_chars, where it is a column, is brought up to date. Rows without a
+    span, with a null or an empty text are unchanged; repeated rows are changed alike, texts of any length
+    whole. The input's columns travel in one struct, so their names cannot clash with inner ones.
+    An empty table stays empty.
     """
     cols = docs.columns
     rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_w_row"))
-    scanned = scan_secrets(rows, rules, "_w_row")
+    scanned = scan_secrets(rows, rules, "_w_row", "_w_row.doc_id")
 
     def step(acc, s):
         new = s["start"] >= acc["at"]
