@@ -20,6 +20,8 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: A set of ids is broadcast only when it was counted and holds at most this many
 #: (16 bytes each in the hash relation: 16 MB); larger sets go through a shuffle join.
 BROADCAST_IDS = 1_000_000
+#: A group with more than this share of all rows is hot: there are fewer than 1 / HOT of them.
+HOT = 0.001
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -90,6 +92,20 @@ def counted(df: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if df.count() <= bound else df
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of rows with one row for each group, whose column size counts the group's rows of total.
+
+    A counted, bounded set of groups is broadcast. Of a larger one only the hot groups are (more than HOT
+    of all rows each, so fewer than 1 / HOT of them); the rows of the others go through a shuffle join,
+    in which no key holds more than that share.
+    """
+    if groups.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(groups), on)
+    hot = groups.filter(F.col(size) > HOT * total)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(groups.filter(F.col(size) <= HOT * total), on))
+
+
 def text_runs(batch: pa.RecordBatch, column: str = "text", chars: int = 2_000_000, rows: int = 256) -> Iterator[tuple[int, list[str]]]:
     """(first row, whole texts) of runs of an Arrow batch, of bounded total length where no single text is longer.
     Only one run at a time is turned into Python strings."""

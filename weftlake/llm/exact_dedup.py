@@ -16,12 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlake.llm.common import SPACE, Scratch, counted, documents, drop_ids, text_or_empty
+from weftlake.llm.common import HOT, SPACE, Scratch, counted, documents, drop_ids, text_or_empty
 
 #: Code points of the normalised text that the second level hashes.
 PREFIX_CHARS = 64
-#: Groups of more than this share of the rows are broadcast: there are fewer than 1 / HOT of them.
-HOT = 0.001
 
 
 def _normalised() -> Column:

@@ -13,7 +13,8 @@
 Buckets hold no limit. A small bucket gives all its pairs. A large one gives pairs with one
 leader (drawn anew in every band), then pairs of those not yet connected with the rest, in
 growing draws, until its members are connected or every pair across its components was
-looked at. So a group of n near copies costs a few times n pairs, and none is left out.
+looked at. So a group of n near copies costs a few times n pairs, and none is left out. A large
+bucket is dealt over parts, each met by the leaders in a task of its own.
 A pair of similarity 0.85 shares no band with probability (1 - 0.85^4)^32 < 1e-10, one of 0.8
 with (1 - 0.8^4)^32 < 5e-8.
 """
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlake.llm.common import Scratch, counted, documents, drop_ids, idle, text_or_empty, text_runs
+from weftlake.llm.common import Scratch, counted, documents, drop_ids, idle, join_groups, text_or_empty, text_runs
 
 WORDS = 5
 #: Documents are linked if link[0] * intersection >= link[1] * union. LINK is the contract's of
@@ -48,6 +49,8 @@ SMALL = 8
 #: Members drawn as leaders from those outside a large bucket's main component: FIRST_DRAW, then
 #: DRAW_GROWTH times as many each round.
 FIRST_DRAW, DRAW_GROWTH = 64, 8
+#: Members of a part of a large bucket, about.
+PART = 512
 CACHED_WORDS = 200_000
 
 SIGNATURE = [*[f"s{i}" for i in range(SIG)], *[f"o{i}" for i in range(ODD)]]
@@ -238,30 +241,33 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def _candidates(alive: DataFrame, round_no: int, link: tuple[int, int]) -> DataFrame:
+def _candidates(alive: DataFrame, round_no: int, link: tuple[int, int], total: int) -> DataFrame:
     """Pairs (a, b, est) of members of a bucket in different components.
 
-    alive: key, rep, comp, s0..s3. A bucket whose members are connected gives none.
+    alive: key, part, parts, rep, comp, n_shingles and the signature, total rows. A bucket whose
+    members are connected gives none. Leaders meet the members of each part of their bucket in a
+    task of its own, and the sketches rule pairs out there.
     """
     drawn = lambda *x: F.struct(F.xxhash64(*x, F.lit(round_no)).alias("h"), F.col("rep"), F.col("comp"))
     stats = alive.groupBy("key").agg(
         F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(drawn("rep", "key")).alias("lead")
     ).filter("m > 1 AND lo <> hi")
     stats = stats.select("key", "m", F.col("lead.rep").alias("lead"), F.col("lead.comp").alias("main"))
-    members = alive.join(stats, "key")
-    if round_no == 0:
-        chosen = (F.col("m") <= SMALL) | (F.col("rep") == F.col("lead"))
-    else:
-        outside = alive.join(stats, "key").filter("comp <> main").groupBy("key").agg(F.count("*").alias("out"))
+    chosen = (F.col("m") <= SMALL) | (F.col("rep") == F.col("lead"))
+    if round_no:
+        outside = join_groups(alive.select("key", "comp"), stats, ["key"], "m", total).filter("comp <> main").groupBy("key").agg(F.count("*").alias("out"))
+        stats = stats.join(outside, "key")
         draw = FIRST_DRAW * DRAW_GROWTH ** (round_no - 1)
         part = F.pmod(F.xxhash64("rep", "key", F.lit(-round_no)), F.greatest(F.lit(1), F.floor(F.col("out") / draw)))
-        members = members.join(outside, "key", "left")
-        chosen = (F.col("m") <= SMALL) | (F.col("rep") == F.col("lead")) | ((F.col("comp") != F.col("main")) & (part == 0))
+        chosen = chosen | ((F.col("comp") != F.col("main")) & (part == 0))
+    members = join_groups(alive, stats, ["key"], "m", total)
     sig = ["n_shingles", *SIGNATURE]
-    leaders = members.filter(chosen).select("key", "rep", "comp", *sig).alias("l")
-    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & (estimate("l", "r") >= least_estimate(link)) & near_enough("l", "r", link)
+    every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    leaders = members.filter(chosen).select("key", every_part, "rep", "comp", *sig).alias("l")
+    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.comp") != F.col("r.comp"))
+    met = met & (estimate("l", "r") >= least_estimate(link)) & near_enough("l", "r", link)
     # The other side of a small bucket's pair is a leader too; it is kept once.
-    pairs = leaders.join(members.select("key", "rep", "comp", *sig).alias("r"), met)
+    pairs = leaders.join(members.select("key", "part", "rep", "comp", *sig).alias("r"), met)
     return pairs.select(
         F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"), F.col("r.rep").alias("member"), estimate("l", "r").alias("est")
     )
@@ -290,12 +296,19 @@ def near_groups(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
 
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     # Buckets with the same members, as most bands of a group of copies give, count once.
-    same = ["m", F.col("x"), F.col("y")]
+    same = ["m", "x", "y"]
     buckets = keyed.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(SEED))).alias("y")).filter("m > 1")
-    wanted = buckets.groupBy(*same).agg(F.min("key").alias("key")).select("key")
-    members = scratch.write(keyed.join(wanted, "key", "left_semi"), "buckets")
+    wanted = scratch.write(buckets.groupBy(*same).agg(F.min("key").alias("key")).select("key", "m"), "wanted")
+    # A large bucket is dealt over parts, so that no task meets a whole one.
+    parts = F.ceil(F.col("m") / PART).cast("int")
+    dealt = join_groups(keyed, wanted, ["key"], "m", BANDS * reps.count()).select("rep", "key", parts.alias("parts"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("parts").cast("long")).cast("int"))
+    buckets = scratch.write(dealt, "buckets")
     # Signatures join the members of shared buckets only, a small part of all classes.
-    members = scratch.write(members.join(reps.select("rep", "n_shingles", *sig), "rep"), "members").withColumn("comp", F.col("rep"))
+    members = scratch.write(buckets.join(reps.select("rep", "n_shingles", *sig), "rep"), "members").withColumn("comp", F.col("rep"))
+    scratch.drop(buckets)
+    scratch.drop(wanted)
+    total = members.count()
 
     taking_part = scratch.write(members.select(F.col("rep").alias("doc_id")).distinct(), "taking_part")
     texts = docs.select("doc_id", "text").join(counted(taking_part), "doc_id", "left_semi")
@@ -306,7 +319,7 @@ def near_groups(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
         alive = members
         if comp is not None:
             alive = members.drop("comp").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        pairs = _candidates(alive, stage, link).select("a", "b").distinct()
+        pairs = _candidates(alive, stage, link, total).select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs, "pairs")
