@@ -36,8 +36,8 @@ UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 MARKS = ".,;:!?"
 #: Bytes of a worker's caches of runs and of units, about; beyond, a cache starts anew. Runs and units
 #: longer than KEPT_CHARS are encoded each time.
-CACHED_RUNS = 72_000_000
-CACHED_UNITS = 48_000_000
+CACHED_RUNS = 48_000_000
+CACHED_UNITS = 32_000_000
 KEPT_CHARS = 64
 #: Bytes of a cache entry besides its strings, about.
 ENTRY = 200
@@ -248,7 +248,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocab_path: str | None = None, e
         for batch in batches:
             kind = batch.column("doc_id").type
             ids = iter(batch.column("doc_id").to_pylist())
-            for _, texts in text_runs(batch, chars=4_000_000, rows=512):
+            for _, texts in text_runs(batch):
                 for coded in tokens.encode_batch(texts):
                     packer.add(next(ids), coded + end)
                 if len(packer.rows) >= ROWS_OUT:
