@@ -23,7 +23,7 @@ TEXTS = [
 ROWS = [(i, t, ["en", "de", None][i % 3], ["a", "a", None, "b"][i % 4], True, 9, "z", None if t is None else len(t)) for i, t in enumerate(TEXTS)]
 OPERATORS = {
     1: exact_dedup.exact_dedup, 2: licenses.scan_licenses, 3: near_dedup.near_groups, 4: secrets.secret_report, 5: bpe.encode_decode, 6: sharding.shard_stratified,
-    7: quality.quality, 8: lambda d: lm.lm_scores(d, states=2, rounds=1, head=50, tail=8), 9: packing.pack, 10: language.identify,
+    7: quality.quality, 8: lambda d: lm.lm_scores(d, states=2, rounds=1), 9: packing.pack, 10: language.identify,
 }
 
 
@@ -195,17 +195,44 @@ def brute_forward(params, seq):
     return math.log10(a.sum())
 
 
+def brute_posteriors(params, seq):
+    """Expected counts by summing over every path of states, a token at a time."""
+    start, move, emit = (p.astype(np.float64) for p in params)
+    n, k = len(seq), len(start)
+    a, b = np.zeros((n, k)), np.ones((n, k))
+    a[0] = start * emit[seq[0]]
+    for t in range(1, n):
+        a[t] = (a[t - 1] @ move) * emit[seq[t]]
+        b[n - 1 - t] = move @ (emit[seq[n - t]] * b[n - t])
+    total = a[-1].sum()
+    emitted, moved = np.zeros(emit.shape), np.zeros(move.shape)
+    for t in range(n):
+        emitted[seq[t]] += a[t] * b[t] / total
+        if t:
+            moved += a[t - 1][:, None] * move * (emit[seq[t]] * b[t])[None, :] / total
+    return emitted, moved, a[0] * b[0] / total
+
+
 def test_forward_and_expected_counts():
     rng = np.random.default_rng(1)
     model = lm.Hmm.first(rng.integers(1, 50, 6).astype(float), states=3)
     params = model.arrays()
     seqs = [rng.integers(0, 6, n).astype(np.uint16) for n in (1, 7, 3, 7, 12)]
     assert np.allclose(lm.forward_log10(params, seqs), [brute_forward(params, s) for s in seqs], atol=1e-4)
-    emit, move, start = np.zeros((6, 3)), np.zeros((3, 3)), np.zeros(3)
-    log = lm.expected_counts(params, seqs, [True] * 5, emit, move, start)
-    assert abs(log - sum(brute_forward(params, s) for s in seqs)) < 1e-3
-    assert abs(emit.sum() - 30) < 1e-3 and abs(move.sum() - 25) < 1e-3 and abs(start.sum() - 5) < 1e-3
-    assert np.allclose(emit.sum(axis=1), np.bincount(np.concatenate(seqs), minlength=6), atol=1e-3)
+    want = [sum(x) for x in zip(*(brute_posteriors(params, s) for s in seqs))]
+    for held in (10_000, 4):  # in one run, and with checkpoints every few steps
+        sums = np.zeros((6, 3)), np.zeros((3, 3)), np.zeros(3)
+        log = lm.expected_counts(params, seqs, *sums, held=held)
+        assert abs(log - sum(brute_forward(params, s) for s in seqs)) < 1e-3
+        for got, expected in zip(sums, want):
+            assert np.allclose(got, expected, atol=1e-3)
+
+
+def test_batches_hold_every_sequence():
+    sizes = [3, 900, 1, 1, 40, 900, 7]
+    batches = lm.batches_by_length([np.zeros(n) for n in sizes], 100)
+    assert sorted(i for b in batches for i in b) == list(range(7))
+    assert all(len(b) == 1 or sum(sizes[i] for i in b) <= 100 for b in batches)
 
 
 def test_base_scores(spark):
@@ -215,8 +242,8 @@ def test_base_scores(spark):
     tokens = [[*(t or "").lower().split(), ""] for t in texts]
     c = Counter(w for t, h in zip(tokens, held) if not h for w in t)
     n, v = sum(c.values()), len(c)
-    for head in (60_000, 4):  # all words in the head, and most in the tail classes
-        for i, r in by_id(lm.lm_scores(df, states=2, rounds=2, head=head, tail=16)).items():
+    for block_words in (lm.BLOCK_WORDS, 4):
+        for i, r in by_id(lm.lm_scores(df, states=2, rounds=2, block_words=block_words)).items():
             assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held[i], len(tokens[i]), n)
             assert r["n_known"] == sum(c[w] > 0 for w in tokens[i])
             assert abs(r["base_score"] - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens[i])) < 1e-6
@@ -268,6 +295,47 @@ def test_sum_of_squares_choice():
         p.add(k, b"\0\0\0\0" * size)
 
 
+def test_language_against_letters_one_by_one(spark):
+    """Prototypes and predictions against n-grams bound and bundled one at a time."""
+    texts = ["Der Hund läuft über die Straße.", "The cat sat on the mat, on and on.", "Le chat dort sur la chaise.", "猫は椅子の上で眠る", "x", "the dog", "12", None, "Große Straße"]
+    langs = ["de", "en", "fr", "ja", None, "en", "en", "fr", "de"]
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2][: len(texts)]
+    rows = list(zip(ids, texts, langs))
+
+    def profile(text):
+        out = np.zeros(language.DIM)
+        line = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+        if line:
+            line = f" {line} "
+            for i in range(len(line) - language.GRAM + 1):
+                v = np.ones(language.DIM)
+                for p, c in enumerate(line[i : i + language.GRAM]):
+                    v *= np.roll(language.letter_vectors(np.array([ord(c)]))[0], language.GRAM - 1 - p)
+                out += v
+        size = np.linalg.norm(out)
+        return out / size if size else out
+
+    prototypes = {}
+    for _, t, lang in rows:
+        if t is not None and lang is not None:
+            prototypes[lang] = prototypes.get(lang, 0) + profile(t)
+    prototypes = {k: v / max(np.linalg.norm(v), 1e-9) for k, v in prototypes.items()}
+    got = by_id(language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    for i, t, _ in rows:
+        scores = {k: float(v @ profile(t or "")) for k, v in sorted(prototypes.items())}
+        letters = any(c.isalpha() for c in t or "")
+        best = max(scores, key=scores.get) if letters else "und"
+        assert got[i]["lang_pred"] == best
+        assert abs(got[i]["score"] - (min(1, max(0, scores[best])) if letters else 0)) < 1e-4
+
+
+def test_every_label_is_learned(spark):
+    names = [f"l{i:03d}" for i in range(700)]
+    rows = [(i, "".join(chr(0x4E00 + (37 * i + j) % 20000) for j in range(12)), n) for i, n in zip([i for i in range(2000) if zlib.crc32(str(i).encode()) % 4 != 2], names)]
+    got = by_id(language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert all(got[i]["lang_pred"] == n for i, _, n in rows)
+
+
 def test_language_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     r = language.identify(d).join(d.select("doc_id", "lang"), "doc_id").filter("held_out")
@@ -278,7 +346,7 @@ def test_language_held_out(spark):
 
 
 def test_licenses(spark):
-    apache = licenses.TEMPLATES["Apache-2.0"]
+    apache = licenses.plain(licenses.TEMPLATES["Apache-2.0"])
     mit = licenses.TEMPLATES["MIT (text)"]
     texts = [PROSE + "\n" + apache + "\nand more words", mit.replace("merge", "join").replace("sell", "vend"), PROSE, apache + "\n" + apache, "license of the apache under no version"]
     got = by_id(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
@@ -289,6 +357,59 @@ def test_licenses(spark):
     assert got[2]["n_licenses"] == 0 and got[2]["license"] is None and got[3]["n_licenses"] == 2 and got[4]["n_licenses"] == 0
 
 
+def common_words(a, b):
+    """Length of a longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
+
+
+def test_licenses_against_all_windows(spark):
+    """Each answer against every window of the text by dynamic programming: what it reports is there, and a whole
+    copy is always reported, alone or under a template that holds it."""
+    rng = np.random.default_rng(5)
+    known = {k: licenses.Template(k, v) for k, v in licenses.TEMPLATES.items()}
+    notices = [k for k, t in known.items() if len(t.words) <= 30]
+    texts, planted = [], []
+    for i in range(60):
+        name = notices[int(rng.integers(len(notices)))]
+        copy = licenses.plain(licenses.TEMPLATES[name]) if i % 4 else ""
+        fill = lambda: " ".join(f"w{x}" for x in rng.integers(0, 50, rng.integers(3, 30)))
+        texts.append(f"{fill()} {copy} {fill()}")
+        planted.append(name if i % 4 else None)
+    got = by_id(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, (text, name) in enumerate(zip(texts, planted)):
+        found = [x.rsplit(":", 3) for x in got[i]["spans"].split(",") if x]
+        assert bool(found) == (name is not None)
+        for n, start, end, coverage in found:
+            assert float(coverage) <= common_words(licenses.words(text[int(start) : int(end)]), known[n].words) / len(known[n].words) + 1e-3
+        if name:
+            said = known[found[0][0]].words
+            assert common_words(said, known[name].words) >= 0.8 * min(len(said), len(known[name].words))
+
+
+def test_licenses_are_told_apart(spark):
+    says = {
+        "Released under the BSD License.": "BSD",
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        "It was released under the old license of the town.": None,
+        "Licensed under CC BY-NC-SA 3.0.": "CC-BY-NC-SA-3.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0 (notice)",
+        licenses.plain(licenses.TEMPLATES["BSD-3-Clause (text)"]): "BSD-3-Clause (text)",
+        licenses.plain(licenses.TEMPLATES["BSD-2-Clause (text)"]): "BSD-2-Clause (text)",
+    }
+    # Much text put in between, and the first place of a repeated word lost.
+    mit = licenses.TEMPLATES["MIT (text)"].split()
+    says[" ".join(f"{w} note{i}" for i, w in enumerate(mit))] = "MIT (text)"
+    says[" ".join(mit[12:])] = "MIT (text)"
+    got = by_id(licenses.scan_licenses(spark.createDataFrame(list(enumerate(says)), "doc_id long, text string")))
+    assert [got[i]["license"] for i in range(len(says))] == list(says.values())
+
+
 def test_patience():
     a, b = "x the cat sat on the mat y".split(), "the cat lay on the mat".split()
     pairs = licenses.patience(a, b)
