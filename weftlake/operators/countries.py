@@ -103,22 +103,37 @@ def _periods(counts: DataFrame, window: DataFrame, value: str, key: list[str]) -
     return rows.groupBy(*key).agg(inside("cur").alias("cur"), inside("prev").alias("prev"))
 
 
-def country_growth(counts: DataFrame, window: DataFrame, value: str = "papers", least: int = MIN_PERIOD) -> DataFrame:
-    """Growth percent of equal periods; with a reason and no percent when a period is too small."""
-    p = _periods(counts, window, value, ["country"])
-    ok = (F.col("cur") >= least) & (F.col("prev") >= least)
-    pct = F.when(ok, F.round((F.col("cur") - F.col("prev")) * 100.0 / F.col("prev"), 1))
-    return p.select("country", F.round(F.col("cur").cast("double"), 2).alias("cur"), F.round(F.col("prev").cast("double"), 2).alias("prev"), pct.alias("growth_pct"), F.when(~ok, "too_few").alias("reason"))
-
-
-def country_share(counts: DataFrame, totals: DataFrame, window: DataFrame, value: str = "papers") -> DataFrame:
-    """C11: share of all papers in both periods; the change is that of the rounded percents."""
+def _reason(enough: Column, partial_years: tuple[int, ...]) -> Column:
+    """Why a comparison is hidden: a year of the window that the corpus holds in part, or too few papers."""
+    years = [F.substring(c, 1, 4).cast("int") for c in ("prev_start", "cur_start")]
+    partial = F.lit(False)
+    for y in years:
+        partial = partial | (y.isin(*partial_years) if partial_years else F.lit(False))
+    return F.when(F.coalesce(partial, F.lit(False)), "partial_year").when(~F.coalesce(enough, F.lit(False)), "too_few_papers")
+
+
+def country_growth(counts: DataFrame, window: DataFrame, value: str = "papers", least: int = MIN_PERIOD, partial_years: tuple[int, ...] = ()) -> DataFrame:
+    """Growth percent of equal periods. No percent but a reason where the window touches a partial
+    year, or either period has fewer than `least` papers."""
+    p = _periods(counts, window, value, ["country"]).crossJoin(F.broadcast(window))  # one row
+    reason = _reason((F.col("cur") >= least) & (F.col("prev") >= least), partial_years)
+    pct = F.when(reason.isNull(), F.round((F.col("cur") - F.col("prev")) * 100.0 / F.col("prev"), 1))
+    return p.select("country", F.round(F.col("cur").cast("double"), 2).alias("cur"), F.round(F.col("prev").cast("double"), 2).alias("prev"), pct.alias("growth_pct"), reason.alias("reason"))
+
+
+def country_share(counts: DataFrame, totals: DataFrame, window: DataFrame, value: str = "papers", least: int = MIN_PERIOD, partial_years: tuple[int, ...] = ()) -> DataFrame:
+    """C11: share of all papers in both periods; the change is that of the rounded percents. Hidden, with a
+    reason, under the rules of growth, and where a period has no paper at all."""
     p = _periods(counts, window, value, ["country"])
     t = _periods(totals, window, "papers", []).select(F.col("cur").alias("t_cur"), F.col("prev").alias("t_prev"))
-    s = p.crossJoin(F.broadcast(t)).select(
+    p = p.crossJoin(F.broadcast(t)).crossJoin(F.broadcast(window))  # one row each
+    enough = (F.col("cur") >= least) & (F.col("prev") >= least) & (F.col("t_cur") > 0) & (F.col("t_prev") > 0)
+    reason = _reason(enough, partial_years)
+    s = p.select(
         "country",
-        F.round(F.when(F.col("t_cur") > 0, F.col("cur") * 100.0 / F.col("t_cur")), 2).alias("share_pct"),
-        F.round(F.when(F.col("t_prev") > 0, F.col("prev") * 100.0 / F.col("t_prev")), 2).alias("prev_share_pct"),
+        F.when(reason.isNull(), F.round(F.col("cur") * 100.0 / F.col("t_cur"), 2)).alias("share_pct"),
+        F.when(reason.isNull(), F.round(F.col("prev") * 100.0 / F.col("t_prev"), 2)).alias("prev_share_pct"),
+        reason.alias("reason"),
     )
     return s.withColumn("share_change_pp", F.round(F.col("share_pct") - F.col("prev_share_pct"), 2))
 
@@ -138,7 +153,7 @@ def location_quotient(works: DataFrame, work_topics: DataFrame, work_countries:
     topics = t.join(has, "work_id", "left_semi").groupBy("topic").agg(F.count("*").alias("n_t"))  # a work's shares sum to 1
     total = has.agg(F.count("*").alias("n"))
     lq = F.round((F.col("papers") / F.col("n_c")) / (F.col("n_t") / F.col("n")), 4)
-    rows = tc.filter(F.col("papers") >= min_papers).join(F.broadcast(n_c), "country").join(topics, "topic").crossJoin(F.broadcast(total)).withColumn("lq", lq)
+    rows = tc.filter(F.col("papers") >= min_papers).join(n_c, "country").join(topics, "topic").crossJoin(F.broadcast(total)).withColumn("lq", lq)
     w = Window.partitionBy("country").orderBy(F.desc("lq"), F.desc("papers"), "topic")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("country", "topic", "papers", "lq", "rank")
 
@@ -177,3 +192,22 @@ def percent_shares(rows: DataFrame, name: str, value: str) -> DataFrame:
 def country_chart(counts: DataFrame, top: int = 12) -> DataFrame:
     """Top countries and "Other" with shares that sum to 100."""
     return percent_shares(top_other(counts, "country", "papers", top).select("country", "papers"), "country", "papers")
+
+
+def cube_year_totals(cube: DataFrame, country: str | None = None) -> DataFrame:
+    """Whole and fractional papers by country and year from the cube, of one country (in any case) where given."""
+    rows = cube if country is None else cube.filter(F.upper(F.trim("country")) == country.strip().upper())
+    return rows.groupBy("country", "year").agg(F.sum("papers").alias("papers"), F.round(F.sum("fractional"), 6).alias("fractional"))
+
+
+def country_dimension(codes: DataFrame, known: DataFrame) -> DataFrame:
+    """Each code (as it comes) with its name, ISO-3 code and label from a dimension (code, name, iso3).
+
+    Codes are trimmed and upper-cased; a blank one is Unknown, one that the dimension lacks is its own name
+    with an empty ISO-3 code. A label is the name with the code."""
+    clean = F.coalesce(F.upper(F.trim("code")), F.lit(""))
+    d = known.select(F.col("code").alias("_c"), F.col("name").alias("_n"), F.col("iso3").alias("_i"))
+    out = codes.withColumn("clean", clean).join(d, F.col("clean") == F.col("_c"), "left")
+    name = F.when(F.col("clean") == "", "Unknown").otherwise(F.coalesce("_n", "clean"))
+    label = F.when(F.col("clean") == "", "Unknown").otherwise(F.concat(name, F.lit(" ("), F.col("clean"), F.lit(")")))
+    return out.select(*codes.columns, name.alias("name"), F.coalesce("_i", F.lit("")).alias("iso3"), label.alias("label"))

@@ -1,10 +1,11 @@
 """Pattern mining: frequent itemsets and rules over sliding windows in one plan.
 
 A miner's groups (windows, or countries and windows) are ordinary columns, so all groups are
-mined by the same joins and no driver loop runs over them. Each level is a join of the level
-before with the frequent items of the same basket, after a semi-join that removes items and
-pairs that can't be part of a frequent set. Baskets of a group are pre-aggregated to distinct
-baskets with a weight before they are joined.
+mined by the same joins and no driver loop runs over them. The miner goes level by level, to
+any length: a basket's frequent sets are extended by its later items, after a semi-join with the
+candidates, whose every part is frequent. Each level's patterns are written once and reused
+by the next level and by whatever reads the result. Baskets are reduced to distinct baskets of a
+year (and country) with a weight before they are dealt over windows.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlake.session import counted, cut
+
 SEP = " | "
 
 
@@ -55,53 +58,82 @@ def anchored_starts(rows: DataFrame, width: int = 3, step: int = 1) -> DataFrame
     return rows.withColumn("window_start", F.explode(F.when(first <= F.col("pub_year"), F.sequence(first, F.col("pub_year"), F.lit(step)))))
 
 
+def complete_windows(dealt: DataFrame, run_year: int | None = None, min_year: int | None = None) -> DataFrame:
+    """Without windows that end after the run's year or start before the corpus does: they hold partial data."""
+    out = dealt if run_year is None else dealt.filter(F.col("window_end") <= run_year)
+    return out if min_year is None else out.filter(F.col("window_start") >= min_year)
+
+
 def multiset(grouped: DataFrame, groups: list[str]) -> DataFrame:
     """Distinct baskets of each group with their number; the state of the incremental miner."""
     return grouped.groupBy(*groups, "items").agg(F.count("*").alias("weight"))
 
 
-def frequent(weighted: DataFrame, groups: list[str], min_support: float, max_len: int = 3, min_baskets: int = 1, min_count: int = 1, n_tx: DataFrame | None = None) -> DataFrame:
-    """Groups, itemset, k, support_count, n_tx, support of all frequent sets of up to 3 items.
+def summed(weighted: DataFrame, groups: list[str]) -> DataFrame:
+    """D5 from weighted baskets: those of each group once, with the sum of their weights."""
+    return weighted.groupBy(*groups, "items").agg(F.sum("weight").alias("weight"))
+
+
+def frequent(weighted: DataFrame, groups: list[str], min_support: float, max_len: int | None = 3, min_baskets: int = 1, min_count: int = 1, n_tx: DataFrame | None = None) -> DataFrame:
+    """Groups, itemset, k, support_count, n_tx, support of all frequent sets of up to max_len items
+    (None: of any length).
 
     weighted has the group columns, items (distinct, sorted) and weight. A set is frequent from
-    max(min_count, ceil(min_support * n_tx)) baskets; groups under min_baskets are skipped.
+    max(min_count, ceil(min_support * n_tx)) baskets; groups under min_baskets are skipped. The
+    result reads written tables, one a level.
     """
-    if not 1 <= max_len <= 3:
-        raise ValueError("max_len must be 1, 2 or 3")
+    if max_len is not None and max_len < 1:
+        raise ValueError("max_len must be at least 1")
     n = n_tx if n_tx is not None else weighted.groupBy(*groups).agg(F.sum("weight").alias("n_tx"))
     n = n.filter(F.col("n_tx") >= min_baskets).withColumn("least", F.greatest(F.lit(min_count), F.ceil(F.round(F.lit(min_support) * F.col("n_tx"), 9))).cast("long"))
-    w = weighted.join(F.broadcast(n.select(*groups)), groups, "left_semi") if groups else weighted
-
-    def kept(counts: DataFrame) -> DataFrame:
-        joined = counts.join(F.broadcast(n), groups) if groups else counts.crossJoin(F.broadcast(n))
-        return joined.filter(F.col("support_count") >= F.col("least"))
-
-    one = kept(w.select(*groups, F.explode("items").alias("a"), "weight").groupBy(*groups, "a").agg(F.sum("weight").alias("support_count")))
-    levels = [one.select(*groups, F.col("a").alias("itemset"), F.lit(1).alias("k"), "support_count", "n_tx")]
-    if max_len >= 2:
-        # The frequent items of each distinct basket; a basket with fewer than two is done with.
-        good = one.groupBy(*groups).agg(F.collect_set("a").alias("good"))
-        held = w.join(F.broadcast(good), groups) if groups else w.crossJoin(F.broadcast(good))
+    n = counted(cut(n, "groups"))
+
+    def level(sets: DataFrame, k: int) -> DataFrame:
+        """The frequent ones of occurrences (groups, prefix, last, weight), written."""
+        counts = sets.groupBy(*groups, "prefix", "last").agg(F.sum("weight").alias("support_count"))
+        counts = counts.join(n, groups) if groups else counts.crossJoin(n)  # without groups n is one row
+        return cut(counts.filter(F.col("support_count") >= F.col("least")).select(*groups, "prefix", "last", itemset("prefix", "last").alias("itemset"), F.lit(k).alias("k"), "support_count", "n_tx"), f"level{k}")
+
+    w = weighted.join(n.select(*groups), groups, "left_semi") if groups else weighted
+    one = level(w.select(*groups, F.lit(None).cast("string").alias("prefix"), F.explode("items").alias("last"), "weight"), 1)
+    levels = [one]
+    if max_len is None or max_len >= 2:
+        # The frequent items of each distinct basket; one with fewer than two is done with.
+        good = cut(one.groupBy(*groups).agg(F.collect_set("last").alias("good")), "good")
+        held = w.join(counted(good), groups) if groups else w.crossJoin(F.broadcast(good))  # one row without groups
         held = held.withColumn("items", F.array_sort(F.array_intersect("items", "good"))).drop("good").filter(F.size("items") >= 2)
-        held = held.groupBy(*groups, "items").agg(F.sum("weight").alias("weight"))
-        pair = F.flatten(F.transform("items", lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-        two = kept(held.select(*groups, F.explode(pair).alias("p"), "weight").groupBy(*groups, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("weight").alias("support_count")))
-        levels.append(two.select(*groups, itemset("a", "b").alias("itemset"), F.lit(2).alias("k"), "support_count", "n_tx"))
-    if max_len == 3:
-        # Candidates: two frequent pairs (a, b), (a, c) whose third pair (b, c) is frequent too. A basket's
-        # frequent pairs are extended by its later items, and only candidates are counted.
-        ab, ac, bc = (two.select(*groups, F.col("a").alias(x), F.col("b").alias(y)) for x, y in ("ab", "ac", "bc"))
-        cand = ab.join(ac, [*groups, "a"]).filter("b < c").join(bc, [*groups, "b", "c"], "left_semi")
-        ext = F.flatten(F.transform(F.slice("items", 1, F.size("items") - 2), lambda x, i: F.transform(F.slice("items", i + 2, F.size("items") - i - 2), lambda y, j: F.struct(x.alias("a"), y.alias("b"), F.slice("items", i + j + 3, F.size("items")).alias("rest")))))
-        pairs = held.filter(F.size("items") >= 3).select(*groups, F.explode(ext).alias("p"), "weight").select(*groups, "p.a", "p.b", "p.rest", "weight")
-        pairs = pairs.join(cand.select(*groups, "a", "b").distinct(), [*groups, "a", "b"], "left_semi")
-        triples = pairs.select(*groups, "a", "b", F.explode("rest").alias("c"), "weight").join(cand, [*groups, "a", "b", "c"], "left_semi")
-        three = kept(triples.groupBy(*groups, itemset("a", "b", "c").alias("itemset")).agg(F.sum("weight").alias("support_count")))
-        levels.append(three.select(*groups, "itemset", F.lit(3).alias("k"), "support_count", "n_tx"))
+        held = cut(held.groupBy(*groups, "items").agg(F.sum("weight").alias("weight")), "baskets")
+        ends = F.transform("items", lambda x, i: F.struct(x.alias("itemset"), F.slice("items", i + 2, F.size("items")).alias("rest")))
+        sets = held.select(*groups, F.inline(ends), "weight")
+    while max_len is None or len(levels) < max_len:
+        k = len(levels) + 1
+        last = F.transform("rest", lambda x, i: F.struct(x.alias("last"), F.slice("rest", i + 2, F.size("rest")).alias("rest")))
+        grown = sets.filter(F.size("rest") > 0).select(*groups, F.col("itemset").alias("prefix"), F.inline(last), "weight")
+        if k > 2:
+            grown = grown.join(counted(cut(candidates(levels[-1], groups, k), f"candidates{k}")), [*groups, "prefix", "last"], "left_semi")
+        found = level(grown, k)
+        if found.isEmpty():
+            break
+        levels.append(found)
+        sets = grown.join(counted(found.select(*groups, "prefix", "last")), [*groups, "prefix", "last"], "left_semi")
+        sets = sets.select(*groups, itemset("prefix", "last").alias("itemset"), "rest", "weight")
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
-    return out.withColumn("support", F.col("support_count") / F.col("n_tx"))
+    return out.select(*groups, "itemset", "k", "support_count", "n_tx", (F.col("support_count") / F.col("n_tx")).alias("support"))
+
+
+def candidates(level: DataFrame, groups: list[str], k: int) -> DataFrame:
+    """Sets of k items (groups, prefix, last) whose every part of k - 1 items is in the level."""
+    left = level.select(*groups, F.col("prefix").alias("p"), F.col("last").alias("x"), F.col("itemset").alias("prefix"))
+    right = level.select(*groups, F.col("prefix").alias("p"), "last")
+    joined = left.join(right, [*groups, "p"]).filter("x < last").select(*groups, "prefix", "last")
+    items = F.concat(F.split("prefix", r" \| "), F.array("last"))
+    # Without its last or last but one item it is one of the two that were joined.
+    parts = F.transform(F.sequence(F.lit(1), F.lit(k - 2)), lambda i: F.array_join(F.concat(F.slice(items, F.lit(1), i - 1), F.slice(items, i + 1, F.lit(k))), SEP))
+    known = level.select(*groups, F.col("itemset").alias("part"))
+    whole = joined.withColumn("part", F.explode(parts)).join(known, [*groups, "part"], "left_semi")
+    return whole.groupBy(*groups, "prefix", "last").agg(F.count("*").alias("c")).filter(F.col("c") == k - 2).drop("c")
 
 
 def association_rules(patterns: DataFrame, groups: list[str], min_confidence: float = 0.5, keep_unknown: bool = False) -> DataFrame:
@@ -118,20 +150,21 @@ def association_rules(patterns: DataFrame, groups: list[str], min_confidence: fl
     return r.filter(confidence >= min_confidence).select(*groups, "antecedent", "consequent", "support", confidence.alias("confidence"), (confidence / F.col("s_c")).alias("lift"))
 
 
-def mine_windows(works: DataFrame, work_topics: DataFrame, lo: int, hi: int, width: int = 3, step: int = 1, min_support: float = 0.02, max_len: int = 3, min_baskets: int = 20, include: str | None = None) -> DataFrame:
+def mine_windows(works: DataFrame, work_topics: DataFrame, lo: int, hi: int, width: int = 3, step: int = 1, min_support: float = 0.02, max_len: int | None = 3, min_baskets: int = 20, include: str | None = None) -> DataFrame:
     """The sliding-window miner: every window's patterns, in one plan."""
-    b = window_starts(baskets(works, work_topics, include), lo, hi, width, step)
+    by_year = multiset(baskets(works, work_topics, include), ["pub_year"])
     groups = ["window_start", "window_end"]
-    return frequent(multiset(b, groups), groups, min_support, max_len, min_baskets)
+    return frequent(summed(window_starts(by_year, lo, hi, width, step), groups), groups, min_support, max_len, min_baskets)
 
 
-def mine_countries(works: DataFrame, work_topics: DataFrame, work_countries: DataFrame, lo: int, hi: int, min_papers: int = 300, min_window: int = 50, width: int = 3, step: int = 1, min_support: float = 0.01, min_count: int = 5, max_len: int = 3) -> DataFrame:
+def mine_countries(works: DataFrame, work_topics: DataFrame, work_countries: DataFrame, lo: int, hi: int, min_papers: int = 300, min_window: int = 50, width: int = 3, step: int = 1, min_support: float = 0.01, min_count: int = 5, max_len: int | None = 3) -> DataFrame:
     """The same with country in every key, for countries with min_papers papers."""
     b = baskets(works, work_topics)
-    big = work_countries.groupBy("country").agg(F.count("*").alias("n")).filter(F.col("n") >= min_papers).select("country")
-    b = b.join(work_countries.join(F.broadcast(big), "country", "left_semi"), "work_id")
+    big = cut(work_countries.groupBy("country").agg(F.count("*").alias("n")).filter(F.col("n") >= min_papers).select("country"), "countries")
+    b = b.join(work_countries.join(counted(big), "country", "left_semi"), "work_id")
+    by_year = multiset(b, ["country", "pub_year"])
     groups = ["country", "window_start", "window_end"]
-    return frequent(multiset(window_starts(b, lo, hi, width, step), groups), groups, min_support, max_len, min_window, min_count)
+    return frequent(summed(window_starts(by_year, lo, hi, width, step), groups), groups, min_support, max_len, min_window, min_count)
 
 
 # -- reports on stored patterns ---------------------------------------------------------------

@@ -159,9 +159,9 @@ def papers_with_all_topics(work_topics: DataFrame, topics: list[str]) -> DataFra
     return t.groupBy("work_id").agg(F.countDistinct("topic").alias("k")).filter(F.col("k") == len(set(topics))).select("work_id")
 
 
-def coauthor_edges(works: DataFrame, work_authors: DataFrame, lo: int, hi: int, min_papers: int, limit: int, scope: DataFrame | None = None, country: str | None = None) -> DataFrame:
+def coauthor_edges(works: DataFrame, work_authors: DataFrame, lo: int, hi: int, min_papers: int, limit: int | None, scope: DataFrame | None = None, country: str | None = None) -> DataFrame:
     """Author pairs by papers. Pairs are oriented by id and grouped by name, so authors of
-    one name merge; the first author's country is carried by its maximum."""
+    one name merge; the first author's country is carried by its maximum. All pairs, or the strongest `limit`."""
     ids = works.filter(F.col("pub_year").between(lo, hi)).select("work_id")
     if scope is not None:
         ids = ids.join(scope, "work_id", "left_semi")
@@ -171,7 +171,8 @@ def coauthor_edges(works: DataFrame, work_authors: DataFrame, lo: int, hi: int,
     x = wa.select("work_id", F.col("author_id").alias("x"), F.col("author").alias("a"), F.col("country").alias("ca"))
     y = wa.select("work_id", F.col("author_id").alias("y"), F.col("author").alias("b"))
     pairs = x.join(y, "work_id").filter("y > x").groupBy("a", "b").agg(F.count("*").alias("papers"), F.max("ca").alias("country_a"))
-    return pairs.filter(F.col("papers") >= min_papers).orderBy(F.desc("papers"), "a", "b").limit(limit)
+    pairs = pairs.filter(F.col("papers") >= min_papers)
+    return pairs if limit is None else pairs.orderBy(F.desc("papers"), "a", "b").limit(limit)
 
 
 def top_collaborators(edges: DataFrame, limit: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftlake.session import counted, cut
+
 
 def month_spine(spark: SparkSession, first: str, last: str) -> DataFrame:
     """Months from first to last (yyyy-MM), with their first and last day."""
@@ -53,11 +55,13 @@ def stratified_quotas(sizes: DataFrame, budget: int, floor: int) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, quotas: DataFrame, seed: str = "0") -> DataFrame:
-    """Of each cluster its quota of rows by support, year, then a seeded hash. A window group is
-    cut to quota + ties by the engine's group limit before its rows meet, so a hot cluster stays cheap."""
+    """Of each cluster its quota of rows by support, year, then a seeded hash. The largest quota is a
+    literal bound, by which each task cuts its rows of a cluster before they meet."""
     draw = F.md5(F.concat(F.lit(seed + ":"), F.col("id").cast("string")))
     w = Window.partitionBy("cluster").orderBy(F.desc("support"), F.desc("year"), draw, "id")
-    return rows.withColumn("rn", F.row_number().over(w)).join(F.broadcast(quotas.select("cluster", "quota")), "cluster").filter("rn <= quota").select("id", "cluster", "rn")
+    q = counted(cut(quotas.select("cluster", "quota"), "quotas"))
+    most = q.agg(F.max("quota")).first()[0] or 0
+    return rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= int(most)).join(q, "cluster").filter("rn <= quota").select("id", "cluster", "rn")
 
 
 def closed_links(links: DataFrame, kept: DataFrame) -> DataFrame:

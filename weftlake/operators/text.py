@@ -2,28 +2,44 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words that carry no content.
 STOP = (
-    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "its", "of",
-    "on", "or", "that", "the", "this", "to", "was", "we", "were", "which", "with",
-)
-#: Abbreviations after which a full stop ends no sentence.
-ABBREVIATIONS = ("e.g", "i.e", "et al", "etc", "fig", "dr", "mr", "mrs", "vs", "no", "eq", "cf")
+    "a an the and or of to in on for with by from at as is are was were be been being this that these those it its we our they their which who whom what when "
+    "where how than then also not no but into over under such can may might will would should could has have had do does did using use used based via between "
+    "among more most less both each other there here i you he she"
+).split()
+#: Abbreviations that keep their full stop, and the one that keeps it before a number.
+ABBREVIATIONS = ("Fig", "Figs", "Dr", "Mr", "Mrs", "Ms", "Prof", "Eq", "vs", "al", r"e\.g", r"i\.e")
+BEFORE_NUMBER = "etc"
+#: The characters that may open a sentence, full stops of scripts without blanks, and these scripts.
+OPENING = "0-9A-ZÀ-ÖØ-Þ"
+FULL_STOPS = "。！？"
+UNSEGMENTED = r"぀-ヿ㐀-鿿가-힯"
+#: Fixed value: a sentence that tells a model to ignore its instructions.
+OVERRIDE = r"(?is)\b(?:ignore|disregard|forget)\b.{0,80}\b(?:instruction|instructions|prompt|prompts)\b|\byou are now\b|\bnew instructions\b"
+
+
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def tokens(text: str | Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits, without stop words and single characters."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP))
+    """Lower-cased runs of letters and digits of any script, without stop words and single characters, then the
+    two-character windows of scripts written without blanks (whose whole words are left out)."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    words = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP) & ~w.rlike(f"^[{UNSEGMENTED}]+$"))
+    return F.concat(words, cjk_bigrams(text))
 
 
 def cjk_bigrams(text: str | Column) -> Column:
-    """Two-character windows of runs of Han, Hiragana, Katakana and Hangul."""
-    runs = F.regexp_extract_all(text, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]{2,}"), F.lit(0))
+    """Two-character windows of runs of scripts written without blanks."""
+    runs = F.regexp_extract_all(text, F.lit(f"[{UNSEGMENTED}]{{2,}}"), F.lit(0))
     return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: r.substr(i, F.lit(2)))))
 
 
@@ -34,54 +50,76 @@ def token_counts(docs: DataFrame, top: int) -> DataFrame:
 
 
 def sentences(text: str | Column) -> Column:
-    """Sentences of more than three characters: a stop mark ends one before white space or the end of
-    the text, full stops of known abbreviations do not, and CJK stops always do."""
-    keep = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-    held = F.regexp_replace(text, rf"(?i)\b({keep})\.", "$1\x01")
-    cut = F.regexp_replace(F.regexp_replace(held, r"([.!?]+)\s+", "$1\x02"), "([。！？])", "$1\x02")
-    parts = F.transform(F.split(cut, "\x02"), lambda s: F.trim(F.replace(s, F.lit("\x01"), F.lit("."))))
-    return F.filter(parts, lambda s: F.length(s) > 3)
+    """Sentences of more than three characters. A stop mark ends one where white space and a capital or a
+    digit follow, full stops of scripts without blanks always do; abbreviations keep theirs."""
+    kept = "|".join(ABBREVIATIONS)
+    held = F.regexp_replace(text, rf"(?iU)\b({kept}|{BEFORE_NUMBER}(?=\.\s+\d))\.", "$1\x01")
+    parts = F.split(held, rf"(?U)(?<=[.!?])\s+(?=[{OPENING}])|(?<=[{FULL_STOPS}])")
+    return F.filter(F.transform(parts, lambda s: _trimmed(F.replace(s, F.lit("\x01"), F.lit(".")))), lambda s: F.length(s) > 3)
+
+
+def overrides(text: str | Column) -> Column:
+    """Whether a text tells a model to ignore its instructions."""
+    return F.regexp_like(text, F.lit(OVERRIDE))
 
 
 def best_sentences(docs: DataFrame, query: list[str], top: int) -> DataFrame:
-    """BM25-lite: each sentence scores the sum of log(1 + N / df) over query terms in it, over the root of
-    its tokens; the best ones of each document. df counts the document's sentences with the term."""
-    s = docs.select("id", F.posexplode(sentences("text")).alias("pos", "sentence")).withColumn("t", tokens("sentence")).filter(F.size("t") > 0)
-    n = s.groupBy("id").agg(F.count("*").alias("n"))
-    hit = s.select("id", "pos", "sentence", F.size("t").alias("len"), F.explode(F.array_intersect("t", F.array(*[F.lit(q) for q in query]))).alias("term"))
+    """BM25-lite: each sentence scores the sum of log(1 + N / df) over the query's terms in it, over the root of
+    its number of tokens; N counts all sentences of the document, df those with the term. The best of each document."""
+    s = docs.select("id", sentences("text").alias("s")).select("id", F.size("s").alias("n"), F.posexplode("s").alias("pos", "sentence")).withColumn("t", tokens("sentence"))
+    asked = F.array(*[F.lit(q) for q in dict.fromkeys(query)])
+    hit = s.select("id", "n", "pos", "sentence", F.size("t").alias("len"), F.explode(F.array_intersect(asked, "t")).alias("term"))
     df = hit.groupBy("id", "term").agg(F.count("*").alias("df"))
     score = F.round(F.sum(F.log(1 + F.col("n") / F.col("df"))) / F.sqrt(F.first("len")), 6)
-    rows = hit.join(df, ["id", "term"]).join(n, "id").groupBy("id", "pos", "sentence").agg(score.alias("score"))
+    rows = hit.join(df, ["id", "term"]).groupBy("id", "pos", "sentence").agg(score.alias("score"))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "pos")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("id", "pos", "score", "rank", F.length("sentence").alias("chars"))
 
 
 def summarize(docs: DataFrame, n: int = 3) -> DataFrame:
-    """Extractive summary (id, summary): sentences by summed term frequency over the root of their length,
-    +3 for each title word, the first one times 1.15, in original order. Arrow batches of whole texts."""
-    prepared = docs.select("id", sentences("text").alias("s"), F.transform(sentences("text"), tokens).alias("t"), tokens("title").alias("title"))
+    """Extractive summary (id, summary) of (id, title, text): sentences by the summed frequency of their tokens in the
+    text, each title token counting three more, over the root of their number of tokens; the first one
+    times 1.15; the n best in original order, all where there are no more. Overrides are left out where
+    other sentences are left; a text without a sentence gives an empty summary. A document is scored
+    in its own row: nothing is shuffled."""
+    split = docs.select("id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("title", F.lit("")).alias("title")).withColumn("every", sentences("text"))
+    kept = split.withColumn("kept", F.filter("every", lambda s: ~overrides(s)))
+    kept = kept.withColumn("s", F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.col("every")))
+    prepared = kept.select("id", "s", F.transform("s", tokens).alias("t"), tokens("text").alias("all"), tokens("title").alias("title"))
+
+    def chosen(parts, toks, every, title) -> str:
+        if len(parts) <= n:
+            return " ".join(parts)
+        weight = Counter(every)
+        for t in title:
+            weight[t] += 3
+        score = [round(sum(weight[w] for w in t) / max(len(t), 1) ** 0.5 * (1 if i else 1.15), 9) for i, t in enumerate(toks)]
+        best = sorted(range(len(parts)), key=lambda i: (-score[i], i))[:n]
+        return " ".join(parts[i] for i in sorted(best))
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for parts, toks, title in zip(pdf["s"], pdf["t"], pdf["title"]):
-                tf = pd.Series([w for t in toks for w in t], dtype=object).value_counts().to_dict()
-                heads = set(title)
-                score = [(sum(tf[w] for w in t) / max(len(t), 1) ** 0.5 + 3 * len(heads & set(t))) * (1.15 if i == 0 else 1) for i, t in enumerate(toks)]
-                best = sorted(sorted(range(len(score)), key=lambda i: (-score[i], i))[:n])
-                out.append(" ".join(parts[i] for i in best))
-            yield pd.DataFrame({"id": pdf["id"], "summary": out})
+            yield pd.DataFrame({"id": pdf["id"], "summary": [chosen(*x) for x in zip(pdf["s"], pdf["t"], pdf["all"], pdf["title"])]})
 
     return prepared.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, summary string")
 
 
 def grounded(answer: Column, source: Column, least: float = 0.6) -> Column:
-    """Whether an answer is grounded: at least 60% of its content words and all its numbers are in the source."""
-    a, s = tokens(answer), tokens(source)
-    numbers = F.regexp_extract_all(answer, F.lit(r"[0-9]+"), F.lit(0))
-    words = F.array_distinct(F.filter(a, lambda w: ~w.rlike("^[0-9]+$")))
-    held = F.regexp_extract_all(source, F.lit(r"[0-9]+"), F.lit(0))
-    return (F.size(words) > 0) & (F.size(F.array_intersect(words, s)) >= least * F.size(words)) & (F.size(F.array_except(numbers, held)) == 0)
+    """Whether an answer is grounded: it is no override, at least 60% of its content words and all its numbers
+    (decimals whole) are in the source, of which overrides are no evidence."""
+    kept = F.filter(sentences(source), lambda s: ~overrides(s))
+    body = F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(source)
+    content = lambda c: F.array_distinct(F.filter(tokens(c), lambda w: ~w.rlike(r"^\p{Nd}+$")))
+    numbers = lambda c: F.regexp_extract_all(c, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
+    got, have = content(answer), content(body)
+    enough = (F.size(got) > 0) & (F.size(have) > 0) & (F.size(F.array_intersect(got, have)) >= least * F.size(got))
+    return ~overrides(answer) & enough & (F.size(F.array_except(numbers(answer), numbers(body))) == 0)
+
+
+def one_line(summary: str | Column) -> Column:
+    """The first sentence of a summary, the summary itself where it has none; null for an empty one."""
+    s = F.col(summary) if isinstance(summary, str) else summary
+    return F.when(s != "", F.coalesce(F.get(sentences(s), 0), s))
 
 
 def last_turns(turns: DataFrame, n: int = 2, width: int = 1000) -> DataFrame:

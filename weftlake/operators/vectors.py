@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlake.session import counted, cut
+
+#: Vectors of a block of queries: 16 MB at 512 dimensions, whatever the number of queries.
+QUERY_BLOCK = 4096
+
 
 def dot(a: str | Column, b: str | Column) -> Column:
     """Inner product of two arrays, in doubles, in index order."""
@@ -26,35 +32,76 @@ def unit(v: str) -> Column:
     return F.when(ok, F.transform(v, lambda x: x.cast("double") / n))
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int, drop_self: bool = False, blocks: int = 1) -> DataFrame:
-    """Exact k nearest rows by inner product of each query (id, vector).
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length, none of them null, as rows of doubles."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, ties by the smaller id; rows with -inf never count."""
+    if len(scores) > k:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        at = np.flatnonzero((scores >= least) & (scores > -np.inf))
+    else:
+        at = np.flatnonzero(scores > -np.inf)
+    return at[np.lexsort((ids[at], -scores[at]))[:k]]
+
 
-    The query set is stated by the caller and goes out in `blocks` blocks; each task scores its
-    rows against a block by one matrix product and keeps k a query, so k rows a query and task
-    are shuffled, never the pairs. Ties are broken by id.
+def scored(queries: DataFrame, rows: DataFrame, k: int | None, least: float = -np.inf, drop_self: bool = False, digits: int = 9, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, score) by inner product of queries and rows (id, vector): of each query and task the k best
+    (None: all) of at least `least`. Null vectors are left out.
+
+    Queries are read in blocks of bounded size, each of which meets all rows where they are; rows are
+    never shuffled and pairs below the bounds never leave a task. With more than one block each
+    block's result is written before the next one is read.
     """
-    q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("qv")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    held = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "qv")).alias("qs"))
-    schema = "query_id long, id long, score double"
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for qs, ids, vecs in zip(pdf["qs"], pdf["ids"], pdf["vectors"]):
-                qid = np.array([x["query_id"] for x in qs])
-                a = np.array([np.asarray(x["qv"], dtype=np.float64) for x in qs])
-                b = np.array([np.asarray(v, dtype=np.float64) for v in vecs])
-                ids = np.asarray(ids)
-                s = np.round(a @ b.T, 9)
+    kinds = [queries.schema["id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()]
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, score double"
+    given = rows.filter("vector IS NOT NULL").select("id", "vector")
+
+    def against(qid: np.ndarray, q: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: list[list] = [[np.empty(0, qid.dtype), np.empty(0)] for _ in qid]
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids = batch.column("id").to_numpy(zero_copy_only=False)
+                s = np.round(q @ _matrix(batch.column("vector")).T, digits)
+                if drop_self:
+                    s[qid[:, None] == ids[None, :]] = -np.inf
+                s[s < least] = -np.inf
                 for i in range(len(qid)):
-                    keep = ids != qid[i] if drop_self else np.ones(len(ids), dtype=bool)
-                    best = np.lexsort((ids[keep], -s[i][keep]))[:k]
-                    yield pd.DataFrame({"query_id": qid[i], "id": ids[keep][best], "score": s[i][keep][best]})
-
-    # Rows go in groups of at most a few thousand; each group meets each block of queries once.
-    n = F.pmod(F.xxhash64("id"), F.lit(max(1, rows.count() // 4096)))
-    grouped = rows.groupBy(n.alias("g")).agg(F.collect_list("id").alias("ids"), F.collect_list("vector").alias("vectors"))
-    met = grouped.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(held, "block")
-    best = met.select("qs", "ids", "vectors").mapInPandas(score, schema)
+                    here = best_of(s[i], ids, k if k is not None else s.shape[1])
+                    names, points = np.concatenate([found[i][0], ids[here]]), np.concatenate([found[i][1], s[i][here]])
+                    if k is not None and len(names) > k:
+                        here = best_of(points, names, k)
+                        names, points = names[here], points[here]
+                    found[i] = [names, points]
+            sizes = [len(f[0]) for f in found]
+            if sum(sizes):
+                cols = [np.repeat(qid, sizes), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "id", "score"]).cast(target)
+
+        return given.mapInArrow(run, schema)
+
+    to_arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+    target = pa.schema([("query_id", to_arrow[kinds[0]]), ("id", to_arrow[kinds[1]]), ("score", pa.float64())])
+    held = queries.filter("vector IS NOT NULL").select("id", "vector").toLocalIterator()
+    out, part = None, list(islice(held, block))
+    while part:
+        one = against(np.array([r["id"] for r in part]), np.array([r["vector"] for r in part], dtype=np.float64))
+        part = list(islice(held, block))
+        if out is not None or part:
+            one = cut(one, "scored")
+        out = one if out is None else out.union(one)
+    return out if out is not None else queries.sparkSession.createDataFrame([], schema)
+
+
+def top_k(queries: DataFrame, rows: DataFrame, k: int, drop_self: bool = False) -> DataFrame:
+    """Exact k nearest rows by inner product of each query (id, vector), ties by id. The
+    query set is stated by the caller; k rows a query and task are shuffled, never the pairs."""
+    best = scored(queries, rows, k, drop_self=drop_self)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -75,11 +122,35 @@ def centroids(rows: DataFrame, label: str = "label") -> DataFrame:
 
 
 def nearest(rows: DataFrame, cents: DataFrame, k: int, min_sim: float) -> DataFrame:
-    """The k nearest centroids at least min_sim near. Centroids are one a topic: broadcast."""
-    c = cents.select(F.col("label").alias("topic"), F.col("vector").alias("cv"))
-    s = rows.crossJoin(F.broadcast(c)).select("id", "topic", F.round(dot("vector", "cv"), 6).alias("sim")).filter(F.col("sim") >= min_sim)
+    """The k nearest centroids at least min_sim near, ties by label: (id, topic, sim, rank). A row's
+    similarities stay in its task: centroids come in blocks, and only k of a row and block leave."""
+    c = cents.select(F.col("label").alias("id"), "vector")
+    kind, topic = rows.schema["id"].dataType.simpleString(), c.schema["id"].dataType.simpleString()
+    given = rows.filter("vector IS NOT NULL").select("id", "vector")
+
+    def against(labels: np.ndarray, q: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("id")
+                s = np.round(_matrix(batch.column("vector")) @ q.T, 6) if len(ids) else np.empty((0, len(labels)))
+                s[s < min_sim] = -np.inf
+                each = [best_of(x, labels, k) for x in s]
+                which = np.repeat(np.arange(len(ids)), [len(e) for e in each])
+                at = np.concatenate([*each, np.empty(0, dtype=np.int64)])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), pa.array(labels[at]).cast(to_arrow), pa.array(s[which, at])], ["id", "topic", "sim"])
+
+        return given.mapInArrow(run, f"id {kind}, topic {topic}, sim double")
+
+    to_arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[topic]
+    held = c.filter("vector IS NOT NULL").orderBy("id").toLocalIterator()
+    out = None
+    while part := list(islice(held, QUERY_BLOCK)):
+        one = against(np.array([r["id"] for r in part]), np.array([r["vector"] for r in part], dtype=np.float64))
+        out = one if out is None else out.union(one)
+    if out is None:
+        return rows.sparkSession.createDataFrame([], f"id {kind}, topic {topic}, sim double, rank int")
     w = Window.partitionBy("id").orderBy(F.desc("sim"), "topic")
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def nearest_or_noise(rows: DataFrame, cents: DataFrame, min_sim: float) -> DataFrame:
@@ -88,9 +159,9 @@ def nearest_or_noise(rows: DataFrame, cents: DataFrame, min_sim: float) -> DataF
     return rows.select("id").join(best, "id", "left").select("id", F.coalesce("topic", F.lit(-1)).alias("cluster"))
 
 
-def knn_links(rows: DataFrame, k: int = 2, top: int = 200, blocks: int = 1) -> DataFrame:
+def knn_links(rows: DataFrame, k: int = 2, top: int = 200) -> DataFrame:
     """Undirected edges to the k nearest rows of each, positive weights, the strongest `top`."""
-    near = top_k(rows, rows, k, drop_self=True, blocks=blocks).filter("score > 0")
+    near = top_k(rows, rows, k, drop_self=True).filter("score > 0")
     e = near.select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), F.round("score", 6).alias("weight"))
     return e.groupBy("a", "b").agg(F.max("weight").alias("weight")).orderBy(F.desc("weight"), "a", "b").limit(top)
 
@@ -98,10 +169,11 @@ def knn_links(rows: DataFrame, k: int = 2, top: int = 200, blocks: int = 1) -> D
 def semantic_gaps(cents: DataFrame, counts: DataFrame, together: DataFrame, min_sim: float = 0.45, min_each: int = 60, max_rate: float = 0.2, limit: int = 10) -> DataFrame:
     """Topics whose centroids are near but that rarely occur together:
     sim * (1 - co / min) * (1/2 + 1/2 min / max). Centroids and counts are one row a topic."""
-    t = cents.join(counts, "label").filter(F.col("n") >= min_each)
-    a, b = (t.select(F.col("label").alias(x), F.col("vector").alias(f"v{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    pairs = a.crossJoin(F.broadcast(b)).filter("a < b").withColumn("sim", F.round(dot("va", "vb"), 6)).filter(F.col("sim") >= min_sim)
-    pairs = pairs.join(F.broadcast(together), ["a", "b"], "left").withColumn("co", F.coalesce("co", F.lit(0)))
+    t = cut(cents.join(counts, "label").filter(F.col("n") >= min_each).select(F.col("label").alias("id"), "vector", "n"), "topics")
+    pairs = scored(t, t, None, min_sim, digits=6).select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.col("score").alias("sim")).filter("a < b")
+    for x in "ab":
+        pairs = pairs.join(t.select(F.col("id").alias(x), F.col("n").alias(f"n{x}")), x)
+    pairs = pairs.join(together, ["a", "b"], "left").withColumn("co", F.coalesce("co", F.lit(0)))
     small, big = F.least("na", "nb"), F.greatest("na", "nb")
     rate = F.col("co") / small
     score = F.round(F.col("sim") * (1 - rate) * (0.5 + 0.5 * small / big), 6)
@@ -111,11 +183,12 @@ def semantic_gaps(cents: DataFrame, counts: DataFrame, together: DataFrame, min_
 def density_gaps(cents: DataFrame, counts: DataFrame, min_sim: float = 0.45, neighbours: int = 3, min_neighbour: int = 300, max_ratio: float = 0.5, limit: int = 10) -> DataFrame:
     """Thin topics beside busy ones: mean sim * (demand - own) / demand, demand the mean count of
     the nearest neighbours."""
-    t = cents.join(counts, "label")
-    a, b = (t.select(F.col("label").alias(x), F.col("vector").alias(f"v{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    pairs = a.crossJoin(F.broadcast(b)).filter("a <> b").withColumn("sim", F.round(dot("va", "vb"), 6)).filter(F.col("sim") >= min_sim)
+    t = cut(cents.join(counts, "label").select(F.col("label").alias("id"), "vector", "n"), "topics")
+    pairs = scored(t, t, neighbours, min_sim, drop_self=True, digits=6).select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.col("score").alias("sim"))
     w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
     near = pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= neighbours)
+    for x in "ab":
+        near = near.join(t.select(F.col("id").alias(x), F.col("n").alias(f"n{x}")), x)
     g = near.groupBy("a", "na").agg(F.avg("sim").alias("s"), F.avg("nb").alias("demand"))
     score = F.round(F.col("s") * (F.col("demand") - F.col("na")) / F.col("demand"), 6)
     return g.filter((F.col("demand") >= min_neighbour) & (F.col("na") <= max_ratio * F.col("demand"))).select(F.col("a").alias("topic"), F.round("demand", 6).alias("demand"), score.alias("score")).orderBy(F.desc("score"), "topic").limit(limit)
@@ -134,7 +207,7 @@ def ctfidf(terms: DataFrame, top: int) -> DataFrame:
     total = tf.groupBy("term").agg(F.sum("tf").alias("total"))
     mean = size.agg(F.avg("size").alias("mean"))
     s = F.round(F.col("tf") / F.col("size") * F.log(1 + F.col("mean") / F.col("total")), 6)
-    rows = tf.join(F.broadcast(size), "cluster").join(total, "term").crossJoin(F.broadcast(mean)).withColumn("score", s)
+    rows = tf.join(size, "cluster").join(total, "term").crossJoin(F.broadcast(mean)).withColumn("score", s)
     w = Window.partitionBy("cluster").orderBy(F.desc("score"), "term")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("cluster", "term", "score", "rank")
 
@@ -163,28 +236,100 @@ def kmeans(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return KMeans(k=k, seed=seed, maxIter=25).fit(x).transform(x).select("id", F.col("prediction").alias("cluster"))
 
 
-def pca3(rows: DataFrame) -> DataFrame:
-    """Coordinates in the first three principal components, centred, scaled to unit RMS."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+def pca_basis(rows: DataFrame) -> dict:
+    """A frozen basis: the mean, the first three components (zero where the data have fewer) and the
+    root mean square of all coordinates. Moments are summed over all rows by the engine; only a matrix of
+    dimension x dimension reaches the driver. A component's largest entry is positive."""
+    given = rows.filter("vector IS NOT NULL").select(F.col("vector").cast("array<double>").alias("vector"))
+
+    def sums(batches):
+        n, total, square = 0, 0.0, 0.0
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column("vector"))
+                n, total, square = n + len(x), total + x.sum(axis=0), square + x.T @ x
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()]), pa.array([square.ravel().tolist()])], ["n", "total", "square"])
+
+    n, total, square = 0, 0.0, 0.0
+    for r in given.mapInArrow(sums, "n long, total array<double>, square array<double>").toLocalIterator():  # one row a task
+        n, total, square = n + r["n"], total + np.array(r["total"]), square + np.array(r["square"])
+    if not n:
+        return {"mean": [], "components": [], "scale": 1.0}
+    mean = total / n
+    spread = square.reshape(len(mean), -1) / n - np.outer(mean, mean)
+    values, vectors = np.linalg.eigh(spread)
+    found = min(3, n, len(mean))
+    components, kept = np.zeros((3, len(mean))), 0.0
+    for i in range(found):
+        v = vectors[:, -1 - i]
+        components[i] = v * np.sign(v[np.argmax(np.abs(v))])
+        kept += max(values[-1 - i], 0.0)
+    scale = float(np.sqrt(kept / 3))
+    return {"mean": mean.tolist(), "components": components.tolist(), "scale": scale if scale >= 1e-8 else 1.0}
+
+
+def project(rows: DataFrame, basis: dict) -> DataFrame:
+    """(id, x, y, z): coordinates in a frozen basis, over its scale; the basis holds for later rows too."""
+    centred = F.zip_with(F.col("vector").cast("array<double>"), F.array(*[F.lit(x) for x in basis["mean"]]), lambda v, m: v - m)
+    axes = [(dot("_c", F.array(*[F.lit(x) for x in c])) / F.lit(basis["scale"])).alias(a) for a, c in zip("xyz", basis["components"])]
+    return rows.select("id", centred.alias("_c")).select("id", *axes)
 
-    x = rows.select("id", array_to_vector(F.col("vector").cast("array<double>")).alias("raw"))
-    x = StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="c").fit(x).transform(x)
-    p = PCA(k=3, inputCol="c", outputCol="p").fit(x).transform(x).select("id", vector_to_array("p").alias("p"))
-    rms = p.agg(F.sqrt(F.avg(dot("p", "p"))).alias("rms"))
-    return p.crossJoin(F.broadcast(rms)).select("id", *[(F.get("p", i) / F.col("rms")).alias(c) for i, c in enumerate("xyz")])
+
+def pca3(rows: DataFrame) -> DataFrame:
+    """Rows in their own basis: centred, with unit root mean square over all coordinates."""
+    return project(rows, pca_basis(rows))
 
 
 def hash_embed(texts: DataFrame, dim: int = 64) -> DataFrame:
-    """(id, pos, value) of the unit hash embedding: tokens are lower-cased alphanumeric runs of
-    white-space words, each counted at md5(token) mod dim, for dim a power of two up to 256."""
-    tok = F.filter(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, "[^a-z0-9]", "")), lambda w: w != "")
-    pos = F.conv(F.substring(F.md5("token"), -2, 2), 16, 10).cast("int") % dim
-    c = texts.select("id", F.explode(tok).alias("token")).groupBy("id", pos.alias("pos")).agg(F.count("*").alias("c"))
+    """(id, pos, value) of the unit hash embedding: tokens are the letters and digits, of any script, of
+    lower-cased white-space words, each counted at md5(token) mod dim, for dim a power of two up to 2^28.
+    A text without a token has no row (the zero vector). A document is embedded in its own row."""
+    if dim < 1 or dim & (dim - 1) or dim > 1 << 28:
+        raise ValueError("dim must be a power of two up to 2^28")
+    tok = F.filter(F.transform(F.split(F.lower("text"), r"(?U)\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")), lambda w: w != "")
+    # Of a power of two only the last bits of the digest count.
+    pos = lambda w: F.conv(F.substring(F.md5(w), -7, 7), 16, 10).cast("int") % dim
+    c = texts.select("id", F.explode(F.transform(tok, pos)).alias("pos")).groupBy("id", "pos").agg(F.count("*").alias("c"))
     n = c.groupBy("id").agg(F.sqrt(F.sum(F.col("c") * F.col("c")).cast("double")).alias("n"))
     return c.join(n, "id").select("id", "pos", F.round(F.col("c") / F.col("n"), 6).alias("value"))
 
 
+def attach_scores(graph: DataFrame, scores: DataFrame) -> DataFrame:
+    """Graph rows with the emerging score of their colour, 0 where it has none."""
+    s = scores.select(F.col("colour").alias("_colour"), F.col("score").alias("emerging_score"))
+    return graph.join(s, F.col("colour") == F.col("_colour"), "left").drop("_colour").na.fill({"emerging_score": 0.0})
+
+
+def one_model(rows: DataFrame, model: str, column: str = "model") -> DataFrame:
+    """The rows of one vector space: those of the model, or (legacy) without a label."""
+    return rows.filter(F.col(column).isNull() | (F.col(column) == model))
+
+
+def to_index(papers: DataFrame, held: DataFrame, model: str, size: int | None = None) -> DataFrame:
+    """Papers (id, text) that are to be indexed: with a text, and not held under this model; at most
+    as many as the index has room for (size, its cap), the smallest ids first. A held row of another
+    model raises, as vector spaces must not mix."""
+    other = held.filter(F.col("model").isNotNull() & (F.col("model") != model))
+    if not other.isEmpty():
+        raise ValueError(f"the index holds vectors of another model than {model}")
+    new = papers.filter("text IS NOT NULL AND trim(text) <> ''").join(held.select("id"), "id", "left_anti")
+    return new if size is None else new.orderBy("id").limit(max(0, size - held.count()))
+
+
+def public_rows(layout: DataFrame, labels: DataFrame) -> DataFrame:
+    """What a layout shows: unclustered rows (-1) have no label and colour -1; a cluster without a label is
+    named by its number, one without a colour has its number."""
+    kept = layout.join(labels.select("cluster", "label", "colour"), "cluster", "left")
+    own = F.col("cluster") >= 0
+    return kept.select("id", "cluster", F.when(own, F.coalesce("label", F.concat(F.lit("Cluster "), F.col("cluster").cast("string")))).alias("label"), F.when(own, F.coalesce("colour", "cluster")).otherwise(-1).alias("colour"))
+
+
+def needs_refit(basis: dict | None, dim: int) -> bool:
+    """Whether a layout has to be fitted anew: no basis yet, or one of another dimension."""
+    return not basis or len(basis.get("mean") or ()) != dim
+
+
 def hungarian(cost: list[list[float]]) -> list[int]:
     """Minimum-cost column of each row (rows <= columns), for tens of clusters: successive
     shortest augmenting paths with potentials."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from weftlake.operators import evaluation, graph, relational, sampling, text, vectors
 from weftlake.plans.catalog import query
 from weftlake.plans.relational_queries import _edges_sql
+from weftlake.session import cut
 from weftlake.sources.adapters import SQL, authors, table, work_authors, work_countries, work_parts, work_topics, works
 from weftlake.sources.adapters import vectors as embedded
 
@@ -75,10 +76,11 @@ def _(s, d):
 
 
 def _edges(s, d):
-    return relational.coauthor_edges(works(s, d), work_authors(s, d), 1995, 2001, 2, 120)
+    """All pairs with two common papers, written once: each of these operators reads the graph more than once."""
+    return cut(relational.coauthor_edges(works(s, d), work_authors(s, d), 1995, 2001, 2, None), "graph")
 
 
-_E = f"WITH e AS MATERIALIZED ({_edges_sql('', 2, 120)})"
+_E = f"WITH e AS MATERIALIZED ({_edges_sql('', 2, None)})"
 _CC = """, RC(v, c) AS (SELECT v, v FROM (SELECT a AS v FROM e UNION SELECT b FROM e) UNION SELECT x.w, RC.c FROM RC JOIN (SELECT a AS v, b AS w FROM e UNION ALL SELECT b, a FROM e) x ON x.v = RC.v),
   cc AS (SELECT v, min(c) AS component FROM RC GROUP BY v)"""
 
@@ -107,20 +109,40 @@ def _(s, d):
 @query("bfs_distance", _recursive(_E + """, q(v, hops) AS (SELECT (SELECT min(a) FROM e), 0 UNION SELECT x.w, q.hops + 1 FROM q JOIN (SELECT a AS v, b AS w FROM e UNION ALL SELECT b, a FROM e) x ON x.v = q.v WHERE q.hops < 6)
   SELECT v, min(hops) AS hops FROM q GROUP BY v"""), base=False)
 def _(s, d):
-    e = graph.cut(_edges(s, d), "bfs_edges")
+    e = _edges(s, d)
     return graph.bfs_distance(e, e.agg(F.min("a")).first()[0], 6)
 
 
 @query("graph_neighbours", _E + " SELECT DISTINCT CASE WHEN a = (SELECT min(a) FROM e) THEN b ELSE a END AS neighbour FROM e WHERE (SELECT min(a) FROM e) IN (a, b)")
 def _(s, d):
-    e = graph.cut(_edges(s, d), "edges")
+    e = _edges(s, d)
     return graph.neighbours(e, e.agg(F.min("a")).first()[0])
 
 
 @query("random_walk_vectors")
 def _(s, d):
-    v = graph.node_vectors(graph.random_walks(_edges(s, d), 8, 2))
-    return v.select("v", F.size(vector_to_array("vector")).alias("dim"))
+    v = graph.node_vectors(graph.random_walks(_edges(s, d)))
+    return v.select("v", vector_to_array("vector").alias("vector"))
+
+
+@query("predicted_pairs", _HEUR + """, sc AS (SELECT a, b, round(2.0 * topic_jaccard + 0.5 * cn + 0.1 * ln(1 + pref_attach), 6) AS score FROM he),
+  nm AS (SELECT p_partkey AS id, p_name || ' ' || p_partkey AS author, p_brand AS country FROM part)
+  SELECT x.author AS author_a, x.country AS country_a, y.author AS author_b, y.country AS country_b, score FROM sc JOIN nm x ON x.id = a JOIN nm y ON y.id = b WHERE x.country = 'Brand#3' OR y.country = 'Brand#3' ORDER BY score DESC, author_a, author_b LIMIT 300""")
+def _(s, d):
+    names = table(s, d, "part").select(F.col("p_partkey").alias("author_id"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("author"), F.col("p_brand").alias("country"))
+    return graph.predicted_pairs(graph.link_score(_heuristics(s, d)).select("a", "b", "score"), names, "Brand#3")
+
+
+def _metrics_sql(model: str, score: str) -> str:
+    return f"""SELECT '{model}' AS model, round(sum((c - p) * (tp - p + p / 2.0::DOUBLE)) / (sum(p) * sum(c - p)), 6) AS auc, round(sum(p * (tp / seen)) / sum(p), 6) AS ap
+  FROM (SELECT *, sum(p) OVER w AS tp, sum(c) OVER w AS seen FROM (SELECT {score} AS score, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS p, count(*) AS c FROM lineitem GROUP BY 1) WINDOW w AS (ORDER BY score DESC))"""
+
+
+@query("model_metrics", _metrics_sql("discount", "l_discount") + " UNION ALL " + _metrics_sql("price", "l_extendedprice"), base=False)
+def _(s, d):
+    x = table(s, d, "lineitem").select("l_discount", "l_extendedprice", F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"))
+    both = [x.select(F.lit(m).alias("model"), F.col(c).alias("score"), "label") for m, c in (("discount", "l_discount"), ("price", "l_extendedprice"))]
+    return graph.model_metrics(both[0].union(both[1]))
 
 
 # -- vectors --------------------------------------------------------------------------------------
@@ -222,11 +244,47 @@ def _(s, d):
     return vectors.changed(e, placed).select("id")
 
 
-@query("hash_embed", r"""WITH tk AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(unnest(regexp_split_to_array(lower(text), '\s+')), '[^a-z0-9]', '', 'g') AS token FROM conversations WHERE text IS NOT NULL),
-  c AS (SELECT id, CAST(('0x' || right(md5(token), 2))::INTEGER % 64 AS INTEGER) AS pos, count(*) AS c FROM tk WHERE token <> '' GROUP BY ALL), n AS (SELECT id, sqrt(sum(c * c)) AS n FROM c GROUP BY id)
+@query("hash_embed", rf"""WITH tk AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(unnest(regexp_split_to_array(lower(text), '\s+')), '[^\p{{L}}\p{{N}}]', '', 'g') AS token FROM conversations WHERE text IS NOT NULL),
+  c AS (SELECT id, CAST(('0x' || right(md5(token), 4))::INTEGER % 512 AS INTEGER) AS pos, count(*) AS c FROM tk WHERE token <> '' GROUP BY ALL), n AS (SELECT id, sqrt(sum(c * c)) AS n FROM c GROUP BY id)
   SELECT id, pos, round(c / n, 6) AS value FROM c JOIN n USING (id)""", base=False)
 def _(s, d):
-    return vectors.hash_embed(table(s, d, "conversations").filter("text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"))
+    return vectors.hash_embed(table(s, d, "conversations").filter("text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), 512)
+
+
+_COLOURS = "sc AS (SELECT label AS colour, round(label / 9.0::DOUBLE, 6) AS score FROM (SELECT DISTINCT label FROM embeddings) WHERE label % 2 = 0)"
+
+
+@query("graph_scores", "WITH " + _COLOURS + " SELECT vec_id AS id, label AS colour, coalesce(score, 0.0) AS emerging_score FROM embeddings LEFT JOIN sc ON label = colour", base=False)
+def _(s, d):
+    e = embedded(s, d).select("id", F.col("label").alias("colour"))
+    scores = e.select("colour").distinct().filter("colour % 2 = 0").withColumn("score", F.round(F.col("colour") / 9.0, 6))
+    return vectors.attach_scores(e, scores)
+
+
+_MODEL = "m AS (SELECT vec_id AS id, CASE label % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'old' END AS model, vec_id AS n FROM embeddings)"
+
+
+def _labelled(s, d):
+    return embedded(s, d).select("id", F.when(F.col("label") % 3 == 0, "new").when(F.col("label") % 3 == 1, "old").alias("model"))
+
+
+@query("one_model", "WITH " + _MODEL + " SELECT id, model FROM m WHERE model IS NULL OR model = 'new'", base=False)
+def _(s, d):
+    return vectors.one_model(_labelled(s, d), "new")
+
+
+@query("to_index", "WITH " + _MODEL + """, h AS (SELECT id FROM m WHERE model IS NULL OR model = 'new')
+  SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL AND trim(text) <> '' AND doc_id NOT IN (SELECT id FROM h) ORDER BY doc_id LIMIT greatest(0, 5000 - (SELECT count(*) FROM h))""", base=False)
+def _(s, d):
+    return vectors.to_index(_docs(s, d), vectors.one_model(_labelled(s, d), "new"), "new", 5000)
+
+
+@query("public_rows", """SELECT vec_id AS id, label - 1 AS cluster, CASE WHEN label >= 1 THEN CASE WHEN label <= 4 THEN 'topic ' || (label - 1) ELSE 'Cluster ' || (label - 1) END END AS label,
+  CASE WHEN label < 1 THEN -1 WHEN label <= 3 THEN label + 9 ELSE label - 1 END AS colour FROM embeddings""", base=False)
+def _(s, d):
+    layout = embedded(s, d).select("id", (F.col("label") - 1).alias("cluster"))
+    named = s.createDataFrame([(i, f"topic {i}", i + 10 if i < 3 else None) for i in range(4)], "cluster int, label string, colour int")
+    return vectors.public_rows(layout, named)
 
 
 @query("kmeans")
@@ -242,7 +300,19 @@ def _(s, d):
 # -- text --------------------------------------------------------------------------------------------
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP)
-_TOK = "list_filter(regexp_extract_all(lower({t}), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN (" + _STOP + "))"
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TOK = (
+    "list_concat(list_filter(regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 1 AND w NOT IN (" + _STOP + ") AND NOT regexp_full_match(w, '[" + text.UNSEGMENTED + "]+')), "
+    "flatten(list_transform(regexp_extract_all({t}, '[" + text.UNSEGMENTED + "]{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))))"
+)
+_OVER = "regexp_matches({t}, '" + text.OVERRIDE.replace("{", "{{").replace("}", "}}") + "')"
+
+
+def _sentences_sql(t: str) -> str:
+    kept = "|".join(text.ABBREVIATIONS)
+    held = rf"regexp_replace(regexp_replace({t}, '(?i)\b({kept})\.', '\1' || chr(1), 'g'), '(?i)\b({text.BEFORE_NUMBER})\.({_BLANK}+\d)', '\1' || chr(1) || '\2', 'g')"
+    cut = rf"regexp_replace(regexp_replace({held}, '([.!?]){_BLANK}+([{text.OPENING}])', '\1' || chr(2) || '\2', 'g'), '([{text.FULL_STOPS}])', '\1' || chr(2), 'g')"
+    return f"list_filter(list_transform(string_split({cut}, chr(2)), lambda s: regexp_replace(replace(s, chr(1), '.'), '^{_BLANK}+|{_BLANK}+$', '', 'g')), lambda s: length(s) > 3)"
 
 
 def _docs(s, d):
@@ -255,24 +325,55 @@ def _(s, d):
     return text.token_counts(_docs(s, d), 100)
 
 
-@query("sentences")
+_SENTENCES = f"""WITH se AS MATERIALIZED (SELECT doc_id AS id, coalesce(text, '') AS text, coalesce(substr(text, 1, 40), '') AS title, {_sentences_sql("coalesce(text, '')")} AS every FROM documents)"""
+
+
+@query("sentences", _SENTENCES + " SELECT id, unnest(range(len(every)))::INTEGER AS pos, unnest(every) AS sentence FROM se", base=False)
 def _(s, d):
     return _docs(s, d).select("id", F.posexplode(text.sentences("text")).alias("pos", "sentence"))
 
 
-@query("best_sentences")
-def _(s, d):
-    return text.best_sentences(_docs(s, d), ["license", "this", "work", "licensed", "token", "call"], 3)
+_ASKED = ["license", "this", "work", "licensed", "token", "call"]
 
 
-@query("summaries")
+@query("best_sentences", _SENTENCES + f""", x AS (SELECT id, len(every) AS n, unnest(range(len(every)))::INTEGER AS pos, unnest(every) AS sentence FROM se), t AS MATERIALIZED (SELECT *, {_TOK.format(t="sentence")} AS t FROM x),
+  h AS MATERIALIZED (SELECT id, n, pos, sentence, len(t) AS l, unnest(list_distinct(list_filter(t, lambda w: w IN ({", ".join(f"'{w}'" for w in _ASKED)})))) AS term FROM t), df AS (SELECT id, term, count(*) AS df FROM h GROUP BY ALL),
+  sc AS (SELECT id, pos, sentence, round(sum(ln(1 + n / df)) / sqrt(first(l)), 6) AS score FROM h JOIN df USING (id, term) GROUP BY id, pos, sentence)
+  SELECT id, pos, score, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) AS INTEGER) AS rank, CAST(length(sentence) AS INTEGER) AS chars FROM sc QUALIFY rank <= 3""", base=False)
 def _(s, d):
+    return text.best_sentences(_docs(s, d), _ASKED, 3)
+
+
+_SUMMARIES = _SENTENCES + f""", k AS (SELECT *, list_filter(every, lambda x: NOT {_OVER.format(t="x")}) AS kept FROM se), ev AS MATERIALIZED (SELECT id, text, title, CASE WHEN len(kept) > 0 THEN kept ELSE every END AS s FROM k),
+  pt AS MATERIALIZED (SELECT id, len(s) AS n, unnest(range(len(s)))::INTEGER AS pos, unnest(s) AS sentence FROM ev),
+  tf AS MATERIALIZED (SELECT id, token, sum(c) AS c FROM (SELECT id, unnest({_TOK.format(t="text")}) AS token, 1 AS c FROM ev UNION ALL SELECT id, unnest({_TOK.format(t="title")}), 3 FROM ev) GROUP BY ALL),
+  tk AS (SELECT id, pos, unnest({_TOK.format(t="sentence")}) AS token FROM pt), sm AS (SELECT id, pos, CAST(sum(coalesce(c, 0)) AS DOUBLE) / sqrt(count(*)) AS x FROM tk LEFT JOIN tf USING (id, token) GROUP BY id, pos),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(coalesce(x, 0.0) * CASE WHEN pos = 0 THEN 1.15::DOUBLE ELSE 1.0 END, 9) DESC, pos) AS r FROM pt LEFT JOIN sm USING (id, pos)),
+  su AS (SELECT id, coalesce(y, '') AS summary FROM ev LEFT JOIN (SELECT id, string_agg(sentence, ' ' ORDER BY pos) AS y FROM rk WHERE n <= 3 OR r <= 3 GROUP BY id) USING (id))"""
+
+
+def _summaries(s, d):
     return text.summarize(_docs(s, d).withColumn("title", F.substring("text", 1, 40)))
 
 
+@query("summaries", _SUMMARIES + " SELECT id, summary FROM su", base=False)
+def _(s, d):
+    return _summaries(s, d)
+
+
+@query("one_line_summaries", _SUMMARIES + f" SELECT id, coalesce(({_sentences_sql('summary')})[1], summary) AS line FROM su WHERE summary <> ''", base=False)
+def _(s, d):
+    return _summaries(s, d).select("id", text.one_line("summary").alias("line")).filter("line IS NOT NULL")
+
+
+_CONTENT = "list_distinct(list_filter({t}, lambda w: NOT regexp_full_match(w, '\\p{{Nd}}+')))"
+
+
 @query("grounded_overlap", f"""WITH c AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role) AS nxt FROM conversations),
-  x AS (SELECT conv_id, turn, list_distinct(list_filter({_TOK.format(t="nxt")}, lambda w: NOT regexp_matches(w, '^[0-9]+$'))) AS w, {_TOK.format(t="text")} AS src, regexp_extract_all(nxt, '[0-9]+') AS na, regexp_extract_all(text, '[0-9]+') AS ns FROM c WHERE nxt IS NOT NULL AND text IS NOT NULL)
-  SELECT conv_id, turn, len(w) > 0 AND len(list_intersect(w, src)) >= 0.6 * len(w) AND len(list_filter(na, lambda y: NOT list_contains(ns, y))) = 0 AS grounded FROM x""", base=False)
+  e AS (SELECT conv_id, turn, nxt, text, list_filter({_sentences_sql("text")}, lambda x: NOT {_OVER.format(t="x")}) AS kept FROM c WHERE nxt IS NOT NULL AND text IS NOT NULL),
+  b AS (SELECT *, CASE WHEN len(kept) > 0 THEN array_to_string(kept, ' ') ELSE text END AS body FROM e),
+  x AS (SELECT conv_id, turn, nxt, {_CONTENT.format(t=_TOK.format(t="nxt"))} AS w, {_CONTENT.format(t=_TOK.format(t="body"))} AS src, regexp_extract_all(nxt, '[0-9]+(?:\\.[0-9]+)?') AS na, regexp_extract_all(body, '[0-9]+(?:\\.[0-9]+)?') AS ns FROM b)
+  SELECT conv_id, turn, NOT {_OVER.format(t="nxt")} AND len(w) > 0 AND len(src) > 0 AND len(list_intersect(w, src)) >= 0.6 * len(w) AND len(list_filter(na, lambda y: NOT list_contains(ns, y))) = 0 AS grounded FROM x""", base=False)
 def _(s, d):
     w = Window.partitionBy("conv_id").orderBy("turn", "role")
     c = table(s, d, "conversations").withColumn("nxt", F.lead("text").over(w)).filter("nxt IS NOT NULL AND text IS NOT NULL")
@@ -324,7 +425,7 @@ def _(s, d):
 
 # -- sampling ----------------------------------------------------------------------------------------
 
-_MS = "WITH mn AS (SELECT substr(pub_date, 1, 7) AS month, count(*) AS existing FROM works WHERE work_id % 3 = 0 GROUP BY 1)"
+_MS = "WITH mn AS (SELECT substr(pub_date, 1, 7) AS month, count(*) AS existing FROM works GROUP BY 1)"
 
 
 @query("month_spine", "SELECT strftime(m, '%Y-%m') AS month, strftime(m, '%Y-%m-%d') AS first_day, strftime(last_day(m), '%Y-%m-%d') AS last_day FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-08-01', INTERVAL 1 MONTH)) AS m)", base=False)
@@ -346,13 +447,13 @@ def _waterfill_sql(target: int) -> str:
 
 @query("waterfill_quotas", _waterfill_sql(777))
 def _(s, d):
-    m = works(s, d).filter("work_id % 3 = 0").groupBy(F.substring("pub_date", 1, 7).alias("month")).agg(F.count("*").alias("existing"))
+    m = works(s, d).groupBy(F.substring("pub_date", 1, 7).alias("month")).agg(F.count("*").alias("existing"))
     return sampling.waterfill(m, 777)
 
 
 _QUOTA = """WITH sz AS (SELECT country AS cluster, count(*) AS size FROM wc GROUP BY country), g AS (SELECT *, least(size, 20) AS want FROM sz),
   g2 AS (SELECT *, greatest(0, least(want, 600 - coalesce(sum(want) OVER (ORDER BY size DESC, cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS got FROM g),
-  g3 AS (SELECT *, size - got AS rest, greatest(0, least(600 - sum(got) OVER (), sum(size - got) OVER ())) AS free FROM g2), g4 AS (SELECT *, round(rest * free * 1.0::DOUBLE / sum(rest) OVER (), 9) AS x FROM g3),
+  g3 AS (SELECT *, size - got AS rest, greatest(0, least(600 - sum(got) OVER (), sum(size - got) OVER ())) AS free FROM g2), g4 AS (SELECT *, coalesce(round(rest * free * 1.0::DOUBLE / nullif(sum(rest) OVER (), 0), 9), 0.0) AS x FROM g3),
   g5 AS (SELECT *, floor(x) AS base, x - floor(x) AS rem FROM g4), quotas AS (SELECT cluster, size, CAST(got + base + CASE WHEN row_number() OVER (ORDER BY rem DESC, cluster) <= free - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM g5)"""
 
 
@@ -372,8 +473,14 @@ def _(s, d):
     return sampling.stratified_sample(rows, _quotas(s, d))
 
 
-@query("closed_links", _E + " SELECT a, b, papers, country_a FROM e WHERE a < 'Supplier#000000060' AND b < 'Supplier#000000060'")
+def _kept_sql() -> str:
+    """Of each country's authors a floor of one and a share of 40, by number of papers."""
+    return _QUOTA.replace("FROM wc GROUP BY country", "FROM (SELECT DISTINCT author, country FROM wa) GROUP BY country").replace("least(size, 20)", "least(size, 1)").replace("600 ", "40 ")
+
+
+@query("closed_links", _kept_sql() + """, r AS (SELECT author AS id, country AS cluster, row_number() OVER (PARTITION BY country ORDER BY count(*) DESC, md5('0:' || author), author) AS rn FROM wa GROUP BY author, country),
+  kp AS MATERIALIZED (SELECT id FROM r JOIN quotas USING (cluster) WHERE rn <= quota)""" + _E.replace("WITH ", ", ", 1) + " SELECT * FROM e WHERE a IN (SELECT id FROM kp) AND b IN (SELECT id FROM kp)")
 def _(s, d):
-    e = _edges(s, d)
-    kept = authors(s, d).filter("author < 'Supplier#000000060'").select(F.col("author").alias("id"))
-    return sampling.closed_links(e, kept)
+    rows = work_authors(s, d).groupBy(F.col("author").alias("id"), F.col("country").alias("cluster")).agg(F.count("*").alias("support")).withColumn("year", F.lit(0))
+    quotas = sampling.stratified_quotas(rows.groupBy("cluster").agg(F.count("*").alias("size")), 40, 1)
+    return sampling.closed_links(_edges(s, d), sampling.stratified_sample(rows, quotas))

@@ -28,9 +28,13 @@ def patterns_sql(groups: str = "window_start, window_end", support: float = SUPP
   l2 AS (SELECT {g}x.topic AS a, y.topic AS b, count(*) AS c FROM it x JOIN it y {on} WHERE x.topic < y.topic GROUP BY ALL),
   f2 AS MATERIALIZED (SELECT l2.*, n_tx FROM l2 JOIN n {using} WHERE c >= least)"""
     parts = [f"SELECT {g}a AS itemset, 1 AS k, c AS support_count, n_tx FROM f1", f"SELECT {g}a || ' | ' || b, 2, c, n_tx FROM f2"]
-    if max_len == 3:
-        out += f""", l3 AS (SELECT {g}x.topic AS a, y.topic AS b, z.topic AS cc, count(*) AS c FROM it x JOIN it y {on} JOIN it z {on} WHERE x.topic < y.topic AND y.topic < z.topic GROUP BY ALL)"""
-        parts.append(f"SELECT {g}a || ' | ' || b || ' | ' || cc, 3, c, n_tx FROM l3 JOIN n {using} WHERE c >= least")
+    for k in range(3, max_len + 1):
+        xs = [f"x{i}" for i in range(k)]
+        joined = "it x0 " + " ".join(f"JOIN it x{i} {on}" for i in range(1, k))
+        rising = " AND ".join(f"x{i}.topic < x{i + 1}.topic" for i in range(k - 1))
+        names = " || ' | ' || ".join(f"{x}.topic" for x in xs)
+        out += f""", l{k} AS (SELECT {g}{names} AS itemset, count(*) AS c FROM {joined} WHERE {rising} GROUP BY ALL)"""
+        parts.append(f"SELECT {g}itemset, {k}, c, n_tx FROM l{k} JOIN n {using} WHERE c >= least")
     return out + f", p AS MATERIALIZED (SELECT *, support_count / n_tx AS support FROM ({' UNION ALL '.join(parts)}))"
 
 
@@ -76,6 +80,17 @@ def _(s, d):
     return _rounded(mining.frequent(mining.multiset(whole(s, d), []), [], SUPPORT))
 
 
+@query("fp_itemsets_len5", patterns_sql(**_WHOLE | {"support": 0.0004, "max_len": 5}) + f" SELECT {OUT} FROM p")
+def _(s, d):
+    return _rounded(mining.frequent(mining.multiset(whole(s, d), []), [], 0.0004, max_len=5))
+
+
+# With three baskets or more no set of more than seven items is frequent, so the SQL stops there.
+@query("fp_itemsets_any_length", patterns_sql(**_WHOLE | {"support": 0.0004, "max_len": 7, "min_count": 3}) + f" SELECT {OUT} FROM p")
+def _(s, d):
+    return _rounded(mining.frequent(mining.multiset(whole(s, d), []), [], 0.0004, max_len=None, min_count=3))
+
+
 @query("fp_itemsets_weighted", patterns_sql(**_WHOLE, max_len=2) + f" SELECT {OUT} FROM p")
 def _(s, d):
     halves = [mining.multiset(whole(s, d).filter(f"work_id % 2 = {k}"), []) for k in (0, 1)]
@@ -110,7 +125,7 @@ def _(s, d):
     return r.filter("lift >= 0.8").orderBy(F.desc("lift"), "antecedent", "consequent", "window_start").limit(25)
 
 
-@query("derive_rules", P + """, i AS (SELECT *, string_split(itemset, ' | ') AS items FROM p WHERE k = 2), e AS (SELECT *, unnest(items) AS consequent FROM i)
+@query("derive_rules", patterns_sql(max_len=2) + """, i AS (SELECT *, string_split(itemset, ' | ') AS items FROM p WHERE k = 2), e AS (SELECT *, unnest(items) AS consequent FROM i)
   SELECT e.window_start, a.itemset AS antecedent, consequent, round(e.support_count / a.support_count, 6) AS confidence, round(e.support_count / a.support_count / c.support, 6) AS lift
   FROM e JOIN p a ON a.window_start = e.window_start AND a.itemset = list_filter(items, lambda x: x <> consequent)[1] LEFT JOIN p c ON c.window_start = e.window_start AND c.itemset = consequent AND consequent <> 'Brand#4'
   WHERE e.support_count / a.support_count >= 0.05 AND a.itemset <> 'Brand#4'""")
@@ -131,6 +146,12 @@ def _(s, d):
     return mining.anchored_starts(works(s, d), 3, 2).select("work_id", "window_start")
 
 
+@query("complete_windows", "SELECT work_id, CAST(w AS INTEGER) AS window_start FROM works, range(1990, 2002) r(w) WHERE pub_year BETWEEN w AND w + 2 AND w + 2 <= 2000 AND w >= 1996")
+def _(s, d):
+    dealt = mining.anchored_starts(works(s, d)).withColumn("window_end", F.col("window_start") + 2)
+    return mining.complete_windows(dealt, 2000, 1996).select("work_id", "window_start")
+
+
 @query("patterns_for_window", P + " SELECT itemset, support_count FROM p WHERE window_start = 1997 AND k >= 2 ORDER BY support_count DESC, itemset LIMIT 30")
 def _(s, d):
     return mining.patterns_for_window(mined(s, d), 1997, 2, 30).select("itemset", "support_count")
@@ -185,14 +206,14 @@ def _(s, d):
 
 
 def _split_state(s, d):
+    """All works in two batches."""
     groups = ["window_start", "window_end"]
     b = mining.window_starts(mining.baskets(works(s, d), work_topics(s, d)), Y0, Y1)
-    old, new = (mining.multiset(b.filter(c), groups) for c in ("work_id % 10 <> 0", "work_id % 10 = 0 AND pub_year >= 1999"))
-    return groups, old, new
+    new = F.pmod(F.xxhash64("work_id"), F.lit(10)) == 0
+    return groups, mining.multiset(b.filter(~new), groups), mining.multiset(b.filter(new), groups)
 
 
-@query("incremental_equals_full", patterns_sql(tx=f"""SELECT work_id, CAST(w AS INTEGER) AS window_start, CAST(w + 2 AS INTEGER) AS window_end FROM bk JOIN works USING (work_id), range({Y0}, {Y1 - 1}) r(w)
-  WHERE pub_year BETWEEN w AND w + 2 AND (work_id % 10 <> 0 OR pub_year >= 1999)""", max_len=2) + f" SELECT window_start, window_end, {OUT} FROM p")
+@query("incremental_equals_full", patterns_sql(max_len=2) + f" SELECT window_start, window_end, {OUT} FROM p")
 def _(s, d):
     groups, old, new = _split_state(s, d)
     before = mining.frequent(old, groups, SUPPORT, 2, 20)
@@ -318,20 +339,49 @@ def _(s, d):
     return countries.growth_window(works(s, d))
 
 
-@query("country_growth", _N + _GW + _PER + """ SELECT country, CAST(cur AS DOUBLE) AS cur, CAST(prev AS DOUBLE) AS prev, CASE WHEN cur >= 30 AND prev >= 30 THEN round((cur - prev) * 100.0::DOUBLE / prev, 1) END AS growth_pct,
-  CASE WHEN NOT (cur >= 30 AND prev >= 30) THEN 'too_few' END AS reason FROM per""")
+# A window that touches a partial year is hidden, then one with fewer than 30 papers in a period.
+_WHY = "CASE WHEN CAST(substr(cur_start, 1, 4) AS INTEGER) IN ({years}) OR CAST(substr(prev_start, 1, 4) AS INTEGER) IN ({years}) THEN 'partial_year' WHEN NOT (cur >= 30 AND prev >= 30{more}) THEN 'too_few_papers' END"
+
+
+def _growth_sql(years: str) -> str:
+    return _N + _GW + _PER + f""", rs AS (SELECT per.*, {_WHY.format(years=years, more="")} AS reason FROM per, g)
+  SELECT country, CAST(cur AS DOUBLE) AS cur, CAST(prev AS DOUBLE) AS prev, CASE WHEN reason IS NULL THEN round((cur - prev) * 100.0::DOUBLE / prev, 1) END AS growth_pct, reason FROM rs"""
+
+
+@query("country_growth", _growth_sql("-1"))
 def _(s, d):
     w = works(s, d)
     return countries.country_growth(countries.country_date_counts(w, work_countries(s, d)), countries.growth_window(w))
 
 
-@query("country_share", _N + _GW + _PER + """, tot AS (SELECT count(*) FILTER (pub_date BETWEEN cur_start AND cur_end) AS tc, count(*) FILTER (pub_date BETWEEN prev_start AND prev_end) AS tp FROM works, g WHERE work_id IN (SELECT work_id FROM wc)),
-  sh AS (SELECT country, round(cur * 100.0::DOUBLE / tc, 2) AS share_pct, round(prev * 100.0::DOUBLE / tp, 2) AS prev_share_pct FROM per, tot) SELECT *, round(share_pct - prev_share_pct, 2) AS share_change_pp FROM sh""")
+@query("country_growth_partial", _growth_sql("2000"))
+def _(s, d):
+    w = works(s, d)
+    return countries.country_growth(countries.country_date_counts(w, work_countries(s, d)), countries.growth_window(w), partial_years=(2000,))
+
+
+@query("country_share", _N + _GW + _PER + f""", tot AS (SELECT count(*) FILTER (pub_date BETWEEN cur_start AND cur_end) AS tc, count(*) FILTER (pub_date BETWEEN prev_start AND prev_end) AS tp FROM works, g WHERE work_id IN (SELECT work_id FROM wc)),
+  rs AS (SELECT per.*, tc, tp, {_WHY.format(years="-1", more=" AND tc > 0 AND tp > 0")} AS reason FROM per, g, tot),
+  sh AS (SELECT country, CASE WHEN reason IS NULL THEN round(cur * 100.0::DOUBLE / tc, 2) END AS share_pct, CASE WHEN reason IS NULL THEN round(prev * 100.0::DOUBLE / tp, 2) END AS prev_share_pct, reason FROM rs) SELECT *, round(share_pct - prev_share_pct, 2) AS share_change_pp FROM sh""")
 def _(s, d):
     w, wc = works(s, d), work_countries(s, d)
     return countries.country_share(countries.country_date_counts(w, wc), countries.date_totals(w, wc), countries.growth_window(w))
 
 
+@query("cube_year_totals", CUBE_SQL + " SELECT country, year, CAST(sum(papers) AS BIGINT) AS papers, round(sum(fractional), 6) AS fractional FROM cube WHERE upper(country) = '{COUNTRY}' GROUP BY ALL".replace("{COUNTRY}", COUNTRY.upper()))
+def _(s, d):
+    return countries.cube_year_totals(cube(s, d), f" {COUNTRY.lower()} ")
+
+
+@query("country_dimension", """WITH c AS (SELECT DISTINCT country AS code FROM wc UNION ALL SELECT ' kenya ' UNION ALL SELECT '' UNION ALL SELECT NULL UNION ALL SELECT 'zz'), k AS (SELECT upper(n_name) AS code, 'The ' || lower(n_name) AS name, upper(substr(n_name, 1, 3)) AS iso3 FROM nation),
+  x AS (SELECT c.code AS raw, coalesce(upper(trim(c.code)), '') AS cl FROM c)
+  SELECT raw AS code, CASE WHEN cl = '' THEN 'Unknown' ELSE coalesce(name, cl) END AS name, coalesce(iso3, '') AS iso3, CASE WHEN cl = '' THEN 'Unknown' ELSE coalesce(name, cl) || ' (' || cl || ')' END AS label FROM x LEFT JOIN k ON k.code = cl""")
+def _(s, d):
+    odd = s.createDataFrame([(" kenya ",), ("",), (None,), ("zz",)], "code string")
+    known = table(s, d, "nation").select(F.upper("n_name").alias("code"), F.concat(F.lit("The "), F.lower("n_name")).alias("name"), F.upper(F.substring("n_name", 1, 3)).alias("iso3"))
+    return countries.country_dimension(work_countries(s, d).select(F.col("country").alias("code")).distinct().union(odd), known)
+
+
 _LQ = """, tc AS (SELECT topic, country, count(*) AS papers FROM (SELECT DISTINCT work_id, topic FROM wt) JOIN wc USING (work_id) GROUP BY ALL),
   nc AS (SELECT country, count(*) AS n_c FROM wc GROUP BY country), nt AS (SELECT topic, count(*) AS n_t FROM (SELECT DISTINCT work_id, topic FROM wt WHERE work_id IN (SELECT work_id FROM wc)) GROUP BY topic),
   lq AS (SELECT country, topic, papers, round((papers / n_c) / (n_t / (SELECT count(DISTINCT work_id) FROM wc)), 4) AS lq FROM tc JOIN nc USING (country) JOIN nt USING (topic) WHERE papers >= 10)"""
@@ -409,14 +459,21 @@ def _(s, d):
     return trends.pct_rank_avg(work_countries(s, d).groupBy("country").agg(F.expr("count(*) DIV 40").alias("papers")), "papers", "pct")
 
 
-@query("find_gaps", f"WITH ty AS (SELECT topic, pub_year AS year, papers FROM ({_TY}))" + growth_sql("ty", "topic", "papers") + """, ok AS (SELECT * FROM gr WHERE volume >= 20 AND last >= 5),
+GAPS_SQL = f"WITH ty AS (SELECT topic, pub_year AS year, papers FROM ({_TY}))" + growth_sql("ty", "topic", "papers") + """, ok AS (SELECT * FROM gr WHERE volume >= 20 AND last >= 5),
   pr AS (SELECT *, round((rank() OVER (ORDER BY growth) - 1 + (count(*) OVER (PARTITION BY growth) - 1) / 2.0::DOUBLE) / (count(*) OVER () - 1), 9) AS pg, round((rank() OVER (ORDER BY volume) - 1 + (count(*) OVER (PARTITION BY volume) - 1) / 2.0::DOUBLE) / (count(*) OVER () - 1), 9) AS pv FROM ok),
-  yt AS (SELECT year, sum(papers) AS t FROM ty WHERE year BETWEEN 1997 AND 2000 GROUP BY year)
-  SELECT topic, volume, growth, round(pg - pv, 6) AS score, (SELECT count(*) FROM yt WHERE t < 0.5 * (SELECT max(t) FROM yt)) AS thin_years FROM pr WHERE growth >= -0.05 AND round(pg - pv, 6) > 0 ORDER BY score DESC, growth DESC, topic LIMIT 20""")
-def _(s, d):
+  yt AS (SELECT year, sum(papers) AS t FROM ty WHERE year BETWEEN 1997 AND 2000 GROUP BY year),
+  gp AS MATERIALIZED (SELECT topic, volume, growth, round(pg - pv, 6) AS score, (SELECT count(*) FROM yt WHERE t < 0.5 * (SELECT max(t) FROM yt)) AS thin_years FROM pr WHERE growth >= -0.05 AND round(pg - pv, 6) > 0 ORDER BY score DESC, growth DESC, topic LIMIT 20)"""
+
+
+def growth_gaps(s, d):
     return trends.find_gaps(countries.topic_year_counts(works(s, d), work_topics(s, d), work_countries(s, d)), 2000, min_growth=-0.05)
 
 
+@query("find_gaps", GAPS_SQL + " SELECT * FROM gp")
+def _(s, d):
+    return growth_gaps(s, d)
+
+
 @query("gap_examples", """WITH t AS (SELECT DISTINCT work_id, topic FROM wt WHERE topic IN ('Brand#1', 'Brand#2', 'Brand#3')), r AS (
   SELECT topic, work_id, pub_date, CAST(row_number() OVER (PARTITION BY topic ORDER BY pub_date DESC, work_id DESC) AS INTEGER) AS rn FROM t JOIN works USING (work_id)) SELECT * FROM r ORDER BY rn, topic LIMIT 8""")
 def _(s, d):

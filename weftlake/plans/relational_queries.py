@@ -38,12 +38,14 @@ def _(s, d):
     return relational.last_passing(e, "user_id", "event_id", F.col("value") > 5)
 
 
-@query("dedup_append", """WITH n AS (SELECT user_id, event_id, event_type FROM events WHERE event_type IN ('click', 'view')),
-  h AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND event_id < 500)
-  SELECT * FROM n WHERE user_id NOT IN (SELECT user_id FROM h) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1""", base=False)
+# A user's day is the key: days with a purchase are held, clicks and views of other days are new.
+@query("dedup_append", """WITH e AS (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS day, event_id, event_type FROM events), n AS (SELECT * FROM e WHERE event_type IN ('click', 'view')),
+  h AS (SELECT DISTINCT day FROM e WHERE event_type = 'purchase')
+  SELECT * FROM n WHERE day NOT IN (SELECT day FROM h) QUALIFY row_number() OVER (PARTITION BY day ORDER BY event_id) = 1""", base=False)
 def _(s, d):
-    e = table(s, d, "events").select("user_id", "event_id", "event_type")
-    return relational.dedup_append(e.filter("event_type = 'purchase' AND event_id < 500"), e.filter("event_type IN ('click', 'view')"), "user_id", "event_id")
+    day = F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    e = table(s, d, "events").select(day.alias("day"), "event_id", "event_type")
+    return relational.dedup_append(e.filter("event_type = 'purchase'"), e.filter("event_type IN ('click', 'view')"), "day", "event_id")
 
 
 @query("upsert_latest", """SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""", base=False)
@@ -150,9 +152,9 @@ def _(s, d):
     return relational.papers_with_all_topics(work_topics(s, d), ["Brand#1", "Brand#2"])
 
 
-def _edges_sql(scope: str, least: int, limit: int) -> str:
+def _edges_sql(scope: str, least: int, limit: int | None) -> str:
     return f"""SELECT x.author AS a, y.author AS b, count(*) AS papers, max(x.country) AS country_a FROM wa x JOIN wa y ON x.work_id = y.work_id AND y.author_id > x.author_id
-  WHERE x.work_id IN (SELECT work_id FROM works WHERE pub_year BETWEEN 1995 AND 2001 {scope}) GROUP BY ALL HAVING count(*) >= {least} ORDER BY papers DESC, a, b LIMIT {limit}"""
+  WHERE x.work_id IN (SELECT work_id FROM works WHERE pub_year BETWEEN 1995 AND 2001 {scope}) GROUP BY ALL HAVING count(*) >= {least}{"" if limit is None else f" ORDER BY papers DESC, a, b LIMIT {limit}"}"""
 
 
 @query("coauthor_edges", _edges_sql("", 2, 600))

@@ -19,7 +19,7 @@ def touched(held: DataFrame, new: DataFrame, groups: list[str]) -> DataFrame:
     return held.join(F.broadcast(new.select(*groups).distinct()), groups, "left_semi")
 
 
-def update_patterns(patterns: DataFrame, held: DataFrame, new: DataFrame, groups: list[str], min_support: float, max_len: int = 3, min_baskets: int = 20) -> DataFrame:
+def update_patterns(patterns: DataFrame, held: DataFrame, new: DataFrame, groups: list[str], min_support: float, max_len: int | None = 3, min_baskets: int = 20) -> DataFrame:
     """Patterns after a batch: untouched windows keep theirs, touched ones are mined from the merged
     multiset. Equal to mining everything at once."""
     state = merge_multisets(held, new, groups)
@@ -48,18 +48,23 @@ def limited(hits: pd.DataFrame, window: float, most: int, held: list[float]) ->
 
 def rate_limit(events: DataFrame, key: str, ts: str, window: float, most: int) -> DataFrame:
     """X07 as a stateful operator, for streams and batches of events: key, ts, allowed. The state of a key is
-    its accepted times within the window: at most `most` numbers."""
+    its accepted times within the window: at most `most` numbers; it is dropped when the key stays away for a
+    window. Decisions of one key depend on those before, so a batch decides a key in one task."""
     rows = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
 
     def step(key_, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         hits = sorted(x for pdf in batches for x in pdf["at"])
         ok, held = limited(hits, window * 1e6, most, held)
         state.update((held,))
+        state.setTimeoutDuration(max(1, int(window * 1000)))  # an idle key's hits have left the window
         yield pd.DataFrame({"key": key_[0], "at": hits, "allowed": ok})
 
     if events.isStreaming:
-        return rows.groupBy("key").applyInPandasWithState(step, "key string, at long, allowed boolean", "held array<double>", "append", "NoTimeout")
+        return rows.groupBy("key").applyInPandasWithState(step, "key string, at long, allowed boolean", "held array<double>", "append", "ProcessingTimeTimeout")
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         hits = sorted(pdf["at"])
