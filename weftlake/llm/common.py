@@ -43,10 +43,10 @@ class Scratch:
         self.spark, self.root, self.held = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
         self.n = 0
 
-    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def write(self, df: DataFrame, name: str = "t", **options: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._weftlake_path = path
         self.held[path] = out

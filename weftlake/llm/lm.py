@@ -5,7 +5,9 @@
    at most about BLOCK_WORDS distinct words, and written to the shared folder.
 3. Every word of the training documents has an emission of its own. The expected counts by word and
    state are a distributed table with a row part for each block that holds the word, so what is
-   learned grows with the corpus, and memory is bounded by a block.
+   learned grows with the corpus, and memory is bounded by a block. A word's counts sum to its number
+   of occurrences, so the table holds its 16-bit shares of that. The documents are bucketed by block
+   once, and rounds shuffle the words alone.
 4. Baum-Welch: each block runs scaled forward-backward over its whole training documents with its
    words' emissions; of a batch that is too long, only the states at checkpoints are kept and the
    steps between are run again backward. Counts of words that several blocks share are summed by
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import gc
 import math
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -26,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlake.llm.common import Scratch, crc_mod, documents, idle, text_or_empty, text_runs
+from weftlake.llm.common import Scratch, crc_mod, documents, idle, partitions, text_or_empty, text_runs
 from weftlake.llm.near_dedup import _mixed, words_of
 
 STATES = 12
@@ -258,12 +261,31 @@ def first_totals(vocab: DataFrame, states: int) -> np.ndarray:
     return np.where(found > 0, found, 1.0)
 
 
-_STATE = "block long, at binary, wid binary, c binary, x binary"
+_STATE = "block long, at binary, wid binary, c binary, n binary, q binary, h binary"
+_COLUMNS = ["block", "at", "wid", "c", "n", "q", "h"]
 _ROUND = f"range int, {_STATE}, stats array<double>"
 
 
-def first_state(rows: DataFrame, vocab: DataFrame, states: int) -> DataFrame:
-    """A row for each block: its words' codes (at), ids (wid; -1 where no other block has the word), training counts (c) and weights (x)."""
+def shares(x: np.ndarray) -> np.ndarray:
+    """A word's weights over the states as 16-bit shares of their sum, which is a known count."""
+    total = x.sum(axis=1, keepdims=True)
+    return np.rint(x * (65_535 / np.where(total > 0, total, 1))).astype(np.uint16)
+
+
+def weights(q: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The weights of shares and their sums."""
+    whole = q.sum(axis=1, dtype=np.float64)
+    return q * (total / np.where(whole > 0, whole, 1))[:, None]
+
+
+def _packed(block, at: np.ndarray, wid: np.ndarray, c: np.ndarray, **more: np.ndarray) -> dict:
+    """Words of a block as a row, in the order of their codes (at); codes as steps, which compress."""
+    return {"block": block, "at": np.diff(at, prepend=0).astype(np.int32).tobytes(), "wid": wid.astype(np.int64).tobytes(), "c": c.astype(np.int64).tobytes()} | {k: v.tobytes() for k, v in more.items()}
+
+
+def first_state(rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    """A row for each block: its words' codes (at), ids (wid; -1 where no other block has the word), training counts (c)
+    and hashes (h), which give the weights at the start."""
     pairs = rows.filter("rid IS NULL").select("block", F.posexplode("words").alias("at", "word"))
     blocks = pairs.groupBy("word").agg(F.count("*").alias("blocks"))
     pairs = pairs.join(blocks.join(vocab, "word", "left"), "word")
@@ -271,18 +293,30 @@ def first_state(rows: DataFrame, vocab: DataFrame, states: int) -> DataFrame:
     pairs = pairs.select("block", F.col("at").cast("long").alias("at"), wid.alias("wid"), F.coalesce("c", F.lit(0)).cast("long").alias("c"), F.xxhash64("word").alias("h"))
 
     def pack(t: pa.Table) -> pa.Table:
-        at, wid, c, h = (t.column(x).to_numpy() for x in ("at", "wid", "c", "h"))
-        x = ((c + 0.5)[:, None] * noise(h, states)).astype(np.float32)
-        return pa.table({"block": [t.column("block")[0].as_py()], "at": [at.astype(np.int32).tobytes()], "wid": [wid.tobytes()], "c": [c.tobytes()], "x": [x.tobytes()]}, pa.schema([("block", pa.int64()), *[(n, pa.binary()) for n in ("at", "wid", "c", "x")]]))
+        order = np.argsort(t.column("at").to_numpy())
+        at, wid, c, h = (t.column(x).to_numpy()[order] for x in ("at", "wid", "c", "h"))
+        return pa.Table.from_pylist([_packed(t.column("block")[0].as_py(), at, wid, c, h=h)], _schema())
 
     return pairs.groupBy("block").applyInArrow(pack, _STATE)
 
 
+def _schema(*more: tuple) -> pa.Schema:
+    return pa.schema([("block", pa.int64()), *[(n, pa.binary()) for n in _COLUMNS[1:]], *more])
+
+
 def _unpacked(state: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """wid, c and x of a block's words in the order of their codes."""
-    joined = lambda n, kind: np.frombuffer(b"".join(state.column(n).to_pylist()), dtype=kind)
-    order = np.argsort(joined("at", np.int32))
-    return joined("wid", np.int64)[order], joined("c", np.int64)[order], joined("x", np.float32).reshape(-1, states)[order]
+    """wid, c and weights of a block's words in the order of their codes."""
+    ats, wids, cs, xs = [], [], [], []
+    for r in state.select(["at", "wid", "c", "q", "h"]).to_pylist():
+        ats.append(np.cumsum(np.frombuffer(r["at"], dtype=np.int32)))
+        wids.append(np.frombuffer(r["wid"], dtype=np.int64))
+        cs.append(np.frombuffer(r["c"], dtype=np.int64))
+        if r["q"] is None:
+            xs.append(((cs[-1] + 0.5)[:, None] * noise(np.frombuffer(r["h"], dtype=np.int64), states)).astype(np.float32))
+        else:
+            xs.append(weights(np.frombuffer(r["q"], dtype=np.uint16).reshape(-1, states), cs[-1]).astype(np.float32))
+    order = np.argsort(np.concatenate(ats))
+    return np.concatenate(wids)[order], np.concatenate(cs)[order], np.concatenate(xs)[order]
 
 
 def _emissions(c: np.ndarray, x: np.ndarray, prior: float, norm: np.ndarray) -> np.ndarray:
@@ -293,17 +327,19 @@ def _codes_of(column) -> list[np.ndarray]:
     return [np.frombuffer(b, dtype=np.int32) for b in column.to_pylist()]
 
 
-def baum_welch_round(rows: DataFrame, state: DataFrame, model: Hmm, prior: float, norm: np.ndarray, ranges: int) -> DataFrame:
+def baum_welch_round(docs: DataFrame, state: DataFrame, model: Hmm, prior: float, norm: np.ndarray, ranges: int) -> DataFrame:
     """Expected counts over all coded training documents: a row for each block and range of shared
-    words, one (range -1) for its other words and one (range -2) for its sums of moves, starts, states and log10 likelihood."""
+    words (with each word's count in the block, n), one (range -1) for its other words and one (range -2)
+    for its sums of moves, starts, states and log10 likelihood."""
     k = len(model.start)
     start_p, move_p, _ = model.arrays()
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         wid, c, x = _unpacked(words, k)
         params = (start_p, move_p, _emissions(c, x, prior, norm))
+        del x
         emit, move, start, log = np.zeros((len(c), k)), np.zeros((k, k)), np.zeros(k), 0.0
-        seqs = [s for s in _codes_of(docs.column("codes")) if len(s)]
+        seqs = [s for s, held in zip(_codes_of(docs.column("codes")), docs.column("held_out").to_pylist()) if not held]
         for batch in batches_by_length(seqs, HELD_TOKENS):
             log += expected_counts(params, [seqs[i] for i in batch], emit, move, start)
         block = docs.column("block")[0].as_py()
@@ -315,35 +351,51 @@ def baum_welch_round(rows: DataFrame, state: DataFrame, model: Hmm, prior: float
         lo = 0
         for hi in ends.tolist():
             at = order[lo:hi]
-            out.append({"range": int(part[at[0]]), "block": block, "at": at.astype(np.int32).tobytes(), "wid": wid[at].tobytes(), "c": c[at].tobytes(), "x": emit[at].astype(np.float32).tobytes()})
+            n = np.rint(emit[at].sum(axis=1)).astype(np.int32)
+            out.append({"range": int(part[at[0]])} | _packed(block, at, wid[at], c[at], n=n, q=shares(emit[at])))
             lo = hi
-        kinds = [("range", pa.int32()), ("block", pa.int64()), *[(n, pa.binary()) for n in ("at", "wid", "c", "x")], ("stats", pa.list_(pa.float64()))]
-        return pa.Table.from_pylist(out, pa.schema(kinds))
+        return pa.Table.from_pylist(out, pa.schema([("range", pa.int32()), *_schema(("stats", pa.list_(pa.float64())))]))
 
-    # Blocks without a training document keep their words: their rows have no codes left to count.
-    docs = rows.filter("rid IS NOT NULL").select("block", F.when(F.col("held_out"), F.lit(b"")).otherwise(F.col("codes")).alias("codes"))
+    docs = docs.select("block", "held_out", "codes")
     return docs.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(run, _ROUND)
 
 
 def next_state(counted: DataFrame, states: int) -> DataFrame:
-    """The blocks' words with their counts, summed over all blocks that share a word."""
-    names = ["block", "at", "wid", "c", "x"]
+    """The blocks' words with their weights, summed over all blocks that share a word."""
 
     def run(t: pa.Table) -> pa.Table:
-        wid = np.frombuffer(b"".join(t.column("wid").to_pylist()), dtype=np.int64)
-        x = np.frombuffer(b"".join(t.column("x").to_pylist()), dtype=np.float32).reshape(-1, states)
+        wids = [np.frombuffer(b, dtype=np.int64) for b in t.column("wid").to_pylist()]
+        ns = np.concatenate([np.frombuffer(b, dtype=np.int32) for b in t.column("n").to_pylist()])
+        q = np.frombuffer(b"".join(t.column("q").to_pylist()), dtype=np.uint16).reshape(-1, states)
+        wid = np.concatenate(wids)
         order = np.argsort(wid, kind="stable")
         new = np.diff(wid[order], prepend=-1) != 0
-        sums = np.add.reduceat(x[order].astype(np.float64), np.flatnonzero(new), axis=0).astype(np.float32)
-        total = np.empty_like(x)
-        total[order] = sums[np.cumsum(new) - 1]
-        sizes = [len(b) // 8 for b in t.column("wid").to_pylist()]
-        at = np.cumsum([0, *sizes])
-        xs = [total[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:])]
-        return pa.table([*[t.column(n) for n in names[:-1]], pa.array(xs, pa.binary())], names)
+        summed = shares(np.add.reduceat(weights(q, ns)[order], np.flatnonzero(new), axis=0))
+        total = np.empty_like(q)
+        total[order] = summed[np.cumsum(new) - 1]
+        at = np.cumsum([0, *map(len, wids)])
+        qs = [total[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:])]
+        cols = {n: t.column(n) for n in _COLUMNS} | {"n": pa.nulls(len(t), pa.binary()), "q": pa.array(qs, pa.binary())}
+        return pa.table([cols[n] for n in _COLUMNS], _COLUMNS)
+
+    shared = counted.filter("range >= 0").select("range", *_COLUMNS)
+    return counted.filter("range = -1").select(*_COLUMNS).union(shared.groupBy("range").applyInArrow(run, _STATE))
+
 
-    shared = counted.filter("range >= 0").select("range", *names)
-    return counted.filter("range = -1").select(*names).union(shared.groupBy("range").applyInArrow(run, _STATE))
+class Dealt:
+    """Coded documents as a table bucketed by block, in the shared folder: each round's cogroup reads a
+    block's documents where they are and shuffles the words alone."""
+
+    def __init__(self, rows: DataFrame, scratch: Scratch):
+        self.spark, self.name = rows.sparkSession, f"weftlake_lm_{uuid.uuid4().hex}"
+        path = f"{scratch.root}/dealt"
+        rows.write.option("path", path).option("compression", "zstd").bucketBy(partitions(self.spark), "block").saveAsTable(self.name)
+        self.rows = self.spark.table(self.name)
+        self.rows._weftlake_path = path
+        scratch.held[path] = self.rows
+
+    def forget(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def forward_scores(rows: DataFrame, state: DataFrame, model: Hmm, prior: float, norm: np.ndarray) -> DataFrame:
@@ -364,7 +416,7 @@ def forward_scores(rows: DataFrame, state: DataFrame, model: Hmm, prior: float,
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([*[docs.column(n) for n in names], *[pa.array(v, t) for v, t in zip(out, kinds)]], [*names, "n_tokens", "n_known", "base_log", "hmm_log"])
 
-    docs = rows.filter("rid IS NOT NULL").select("block", *names, "codes")
+    docs = rows.select("block", *names, "codes")
     schema = f"rid long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_log double, hmm_log double"
     return docs.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(run, schema)
 
@@ -384,17 +436,20 @@ def lm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block
     vocab = scratch.write(word_counts(docs.filter(crc_mod(7) != 2)).withColumn("wid", F.monotonically_increasing_id()), "vocab")
     total = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"], total["v"]
-    rows = scratch.write(coded(docs, block_words=block_words), "coded")
-    pairs = rows.filter("rid IS NULL").agg(F.sum(F.size("words"))).first()[0] or 0
+    raw = scratch.write(coded(docs, block_words=block_words), "coded", compression="zstd")
+    pairs = raw.filter("rid IS NULL").agg(F.sum(F.size("words"))).first()[0] or 0
     ranges = 1 + pairs // RANGE_PAIRS
 
     model, prior, norm = Hmm.first(np.zeros(0), states), 0.0, first_totals(vocab, states)
-    state = held = scratch.write(first_state(rows, vocab, states), "state")
+    state = held = scratch.write(first_state(raw, vocab), "state", compression="zstd")
     scratch.drop(vocab)
+    dealt = Dealt(raw.filter("rid IS NOT NULL").drop("words"), scratch)
+    rows = dealt.rows
+    scratch.drop(raw)
     for _ in range(rounds):
         gc.collect()
         spark.sparkContext._jvm.System.gc()  # lets the shuffle files of the steps before go
-        counted = scratch.write(baum_welch_round(rows, state, model, prior, norm, ranges), "counted")
+        counted = scratch.write(baum_welch_round(rows, state, model, prior, norm, ranges), "counted", compression="zstd")
         scratch.drop(held)
         sums = counted.filter("range = -2").select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
         values = np.zeros(states * states + 2 * states + 1)  # so many rows at most
@@ -406,7 +461,7 @@ def lm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block
         state, held = next_state(counted, states), counted
 
     scored = forward_scores(rows, state, model, prior, norm)
-    return scratch.result(scored.select(
+    out = scratch.result(scored.select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -415,6 +470,8 @@ def lm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block
         (F.col("base_log") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
         F.col("hmm_log").alias("score"),
     ))
+    dealt.forget()
+    return out
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
