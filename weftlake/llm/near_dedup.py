@@ -248,15 +248,14 @@ def _candidates(alive: DataFrame, round_no: int, link: tuple[int, int], total: i
     members are connected gives none. Leaders meet the members of each part of their bucket in a
     task of its own, and the sketches rule pairs out there.
     """
-    drawn = lambda *x: F.struct(F.xxhash64(*x, F.lit(round_no)).alias("h"), F.col("rep"), F.col("comp"))
-    stats = alive.groupBy("key").agg(
-        F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(drawn("rep", "key")).alias("lead")
-    ).filter("m > 1 AND lo <> hi")
-    stats = stats.select("key", "m", F.col("lead.rep").alias("lead"), F.col("lead.comp").alias("main"))
+    # By component first: a bucket's members outside that of its leader are counted without a join.
+    draw = F.min(F.struct(F.xxhash64("rep", "key", F.lit(round_no)).alias("h"), F.col("rep"))).alias("first")
+    parts = alive.groupBy("key", "comp").agg(F.count("*").alias("c"), draw)
+    lead = F.min(F.struct("first.h", "first.rep", "comp", "c")).alias("lead")
+    stats = parts.groupBy("key").agg(F.sum("c").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead).filter("m > 1 AND lo <> hi")
+    stats = stats.select("key", "m", F.col("lead.rep").alias("lead"), F.col("lead.comp").alias("main"), (F.col("m") - F.col("lead.c")).alias("out"))
     chosen = (F.col("m") <= SMALL) | (F.col("rep") == F.col("lead"))
     if round_no:
-        outside = join_groups(alive.select("key", "comp"), stats, ["key"], "m", total).filter("comp <> main").groupBy("key").agg(F.count("*").alias("out"))
-        stats = stats.join(outside, "key")
         draw = FIRST_DRAW * DRAW_GROWTH ** (round_no - 1)
         part = F.pmod(F.xxhash64("rep", "key", F.lit(-round_no)), F.greatest(F.lit(1), F.floor(F.col("out") / draw)))
         chosen = chosen | ((F.col("comp") != F.col("main")) & (part == 0))
