@@ -15,7 +15,7 @@ MIN_PERIOD = 30
 
 def clean_countries(column: str) -> Column:
     """Distinct upper-cased codes in first-seen order; null and blank ones are left out."""
-    return F.array_distinct(F.filter(F.transform(column, lambda c: F.upper(F.trim(c))), lambda c: c.isNotNull() & (c != "")))
+    return F.array_distinct(F.filter(F.transform(column, lambda c: F.upper(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))), lambda c: c.isNotNull() & (c != "")))
 
 
 def weighted(work_countries: DataFrame) -> DataFrame:

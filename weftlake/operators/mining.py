@@ -84,6 +84,7 @@ def frequent(weighted: DataFrame, groups: list[str], min_support: float, max_len
     """
     if max_len is not None and max_len < 1:
         raise ValueError("max_len must be at least 1")
+    weighted = cut(weighted.select(*groups, "items", "weight"), "weighted")
     n = n_tx if n_tx is not None else weighted.groupBy(*groups).agg(F.sum("weight").alias("n_tx"))
     n = n.filter(F.col("n_tx") >= min_baskets).withColumn("least", F.greatest(F.lit(min_count), F.ceil(F.round(F.lit(min_support) * F.col("n_tx"), 9))).cast("long"))
     n = counted(cut(n, "groups"))
@@ -102,7 +103,8 @@ def frequent(weighted: DataFrame, groups: list[str], min_support: float, max_len
         good = cut(one.groupBy(*groups).agg(F.collect_set("last").alias("good")), "good")
         held = w.join(counted(good), groups) if groups else w.crossJoin(F.broadcast(good))  # one row without groups
         held = held.withColumn("items", F.array_sort(F.array_intersect("items", "good"))).drop("good").filter(F.size("items") >= 2)
-        held = cut(held.groupBy(*groups, "items").agg(F.sum("weight").alias("weight")), "baskets")
+        held = held.groupBy(*groups, "items").agg(F.sum("weight").alias("weight"))
+        held = held if max_len == 2 else cut(held, "baskets")
         ends = F.transform("items", lambda x, i: F.struct(x.alias("itemset"), F.slice("items", i + 2, F.size("items")).alias("rest")))
         sets = held.select(*groups, F.inline(ends), "weight")
     while max_len is None or len(levels) < max_len:

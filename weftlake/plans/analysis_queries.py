@@ -28,12 +28,13 @@ _HEUR = _SPLIT + """, cm AS (SELECT ps.a, ps.b, count(*) AS cn, sum(CASE WHEN d.
 
 
 def _first(s, d):
-    return graph.first_collaborations(works(s, d), work_parts(s, d))
+    """Written once: splits, degrees and pairs all read it."""
+    return cut(graph.first_collaborations(works(s, d), work_parts(s, d)), "first_years")
 
 
 @query("first_collab_year", _FC + " SELECT * FROM fc")
 def _(s, d):
-    return _first(s, d)
+    return graph.first_collaborations(works(s, d), work_parts(s, d))
 
 
 @query("author_topics", _FC + f" SELECT author_id, string_agg(DISTINCT topic, ' | ' ORDER BY topic) AS topics FROM pa JOIN wt USING (work_id) JOIN works USING (work_id) WHERE pub_year <= {SPLIT} GROUP BY author_id")

@@ -26,11 +26,13 @@ def works(spark: SparkSession, d: str) -> DataFrame:
 
 
 def work_topics(spark: SparkSession, d: str) -> DataFrame:
-    """work_id, topic_id, topic (display name), field, score; one row for each work and topic id."""
+    """work_id, topic_id, topic (display name), field, score; one row for each work and topic id. Dealt by work
+    once: this aggregate, baskets by work and joins with works need no further exchange of it."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_discount")
     parts = table(spark, d, "part").select("p_partkey", "p_brand", "p_type")
     return (
         lines.join(parts, lines.l_partkey == parts.p_partkey)
+        .repartition("l_orderkey")
         .groupBy(F.col("l_orderkey").alias("work_id"), F.concat("p_brand", F.lit("#"), "p_type").alias("topic_id"), F.col("p_brand").alias("topic"), F.col("p_type").alias("field"))
         .agg(F.max(1 - F.col("l_discount")).alias("score"))
     )
