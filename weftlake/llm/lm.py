@@ -6,7 +6,7 @@
 3. Every word of the training documents has an emission of its own. The expected counts by word and
    state are a distributed table with a row part for each block that holds the word, so what is
    learned grows with the corpus, and memory is bounded by a block. A word's counts sum to its number
-   of occurrences, so the table holds its 16-bit shares of that. The documents are bucketed by block
+   of occurrences, so the table holds its 12-bit shares of that. The documents are bucketed by block
    once, and rounds shuffle the words alone.
 4. Baum-Welch: each block runs scaled forward-backward over its whole training documents with its
    words' emissions; of a batch that is too long, only the states at checkpoints are kept and the
@@ -193,43 +193,60 @@ def expected_counts(params: tuple, seqs: list[np.ndarray], emit_sum: np.ndarray,
         if at[t + 1] - at[cuts[-1]] > held:
             cuts.append(t)
 
-    def forward(lo: int, hi: int, a: np.ndarray | None):
+    ones = np.ones(len(start), dtype=np.float32)
+
+    def forward(lo: int, hi: int, before: np.ndarray | None):
+        """Emissions over the scale, scaled forward variables and scales of the steps lo..hi."""
         e = emit[flat[at[lo] : at[hi]]]
         alpha, scale = np.empty_like(e), np.empty(len(e), dtype=np.float32)
         for t in range(lo, hi):
-            here = slice(at[t] - at[lo], at[t + 1] - at[lo])
-            a = start * e[here] if a is None else (a[: alive[t]] @ move) * e[here]
-            c = a.sum(axis=1)
-            a = a / c[:, None]
-            scale[here], alpha[here] = c, a
-        return e, alpha, scale, a
+            i, j = at[t] - at[lo], at[t + 1] - at[lo]
+            a = alpha[i:j]
+            if before is None:
+                np.multiply(start, e[i:j], out=a)
+            else:
+                np.matmul(before[: j - i], move, out=a)
+                a *= e[i:j]
+            np.matmul(a, ones, out=scale[i:j])
+            a /= scale[i:j, None]
+            before = a
+        e /= scale[:, None]
+        return e, alpha, scale
 
     runs = list(zip(cuts, [*cuts[1:], len(alive)]))
     entering = [None]
     for lo, hi in runs[:-1]:
-        entering.append(forward(lo, hi, entering[-1])[3])
+        entering.append(forward(lo, hi, entering[-1])[1][at[hi - 1] - at[lo] :].copy())
     pairs = np.zeros_like(move, dtype=np.float64)
     moved = move.T.copy()
-    log, back = 0.0, np.ones((alive[-1], len(start)), dtype=np.float32)
+    log, after = 0.0, np.ones((alive[-1], len(start)), dtype=np.float32)
     for (lo, hi), before in zip(runs[::-1], entering[::-1]):
-        e, alpha, scale, _ = forward(lo, hi, before)
+        e, alpha, scale = forward(lo, hi, before)
         log += float(np.log10(scale, dtype=np.float64).sum())
-        for t in range(hi - 1, lo - 1, -1):
-            here = slice(at[t] - at[lo], at[t + 1] - at[lo])
-            if t:
-                e_back = e[here] * back / scale[here, None]
-                earlier = alpha[at[t - 1] - at[lo] : at[t] - at[lo]] if t > lo else before
-                pairs += earlier[: alive[t]].T @ e_back
-            alpha[here] *= back  # now the posterior of this step
-            if t:
-                back = e_back @ moved
-                if alive[t - 1] > alive[t]:
-                    back = np.concatenate([back, np.ones((alive[t - 1] - alive[t], len(start)), dtype=np.float32)])
+        back = np.ones_like(e)
+        back[at[hi - 1] - at[lo] :] = after
+        for t in range(hi - 1, lo, -1):
+            i, j = at[t] - at[lo], at[t + 1] - at[lo]
+            e[i:j] *= back[i:j]
+            h = at[t - 1] - at[lo]
+            np.matmul(e[i:j], moved, out=back[h : h + j - i])
+        first = at[lo + 1] - at[lo]
+        if lo:
+            e[:first] *= back[:first]
+            after = np.ones((alive[lo - 1], len(start)), dtype=np.float32)
+            after[:first] = e[:first] @ moved
+            pairs += before[:first].T @ e[:first]
+        # The row of the same sequence one step before, for all steps but the first.
+        here = np.arange(first, len(e))
+        step = np.repeat(np.arange(lo + 1, hi), alive[lo + 1 : hi])
+        pairs += alpha[here - at[step] + at[step - 1]].T @ e[first:]
+        alpha *= back  # now the posteriors
         if not lo:
             start_sum += alpha[: at[1]].sum(axis=0)
         codes = flat[at[lo] : at[hi]]
+        top = int(codes.max()) + 1
         for k in range(len(start)):
-            emit_sum[:, k] += np.bincount(codes, weights=alpha[:, k], minlength=len(emit))
+            emit_sum[:top, k] += np.bincount(codes, weights=alpha[:, k], minlength=top)
     move_sum += pairs * move
     return log
 
@@ -261,15 +278,18 @@ def first_totals(vocab: DataFrame, states: int) -> np.ndarray:
     return np.where(found > 0, found, 1.0)
 
 
-_STATE = "block long, at binary, wid binary, c binary, n binary, q binary, h binary"
-_COLUMNS = ["block", "at", "wid", "c", "n", "q", "h"]
+_STATE = "block long, size int, at binary, wid binary, c binary, n binary, q binary, h binary"
+_COLUMNS = ["block", "size", "at", "wid", "c", "n", "q", "h"]
+_KINDS = {"at": np.int32, "wid": np.int64, "c": np.int64, "n": np.int32, "q": np.uint16, "h": np.int64}
 _ROUND = f"range int, {_STATE}, stats array<double>"
+#: Steps into which a word's weight is shared out among the states.
+STEPS = 4095
 
 
 def shares(x: np.ndarray) -> np.ndarray:
-    """A word's weights over the states as 16-bit shares of their sum, which is a known count."""
+    """A word's weights over the states as 12-bit shares of their sum, which is a known count."""
     total = x.sum(axis=1, keepdims=True)
-    return np.rint(x * (65_535 / np.where(total > 0, total, 1))).astype(np.uint16)
+    return np.rint(x * (STEPS / np.where(total > 0, total, 1))).astype(np.uint16)
 
 
 def weights(q: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -278,9 +298,21 @@ def weights(q: np.ndarray, total: np.ndarray) -> np.ndarray:
     return q * (total / np.where(whole > 0, whole, 1))[:, None]
 
 
-def _packed(block, at: np.ndarray, wid: np.ndarray, c: np.ndarray, **more: np.ndarray) -> dict:
-    """Words of a block as a row, in the order of their codes (at); codes as steps, which compress."""
-    return {"block": block, "at": np.diff(at, prepend=0).astype(np.int32).tobytes(), "wid": wid.astype(np.int64).tobytes(), "c": c.astype(np.int64).tobytes()} | {k: v.tobytes() for k, v in more.items()}
+def _small(name: str, a: np.ndarray) -> bytes:
+    """Numbers compressed byte by byte: all lowest bytes first, all highest last."""
+    a = np.ascontiguousarray(a, dtype=_KINDS[name]).ravel()
+    return pa.Codec("zstd", 1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), asbytes=True)
+
+
+def _whole(name: str, b: bytes, n: int) -> np.ndarray:
+    kind = np.dtype(_KINDS[name])
+    flat = pa.Codec("zstd", 1).decompress(b, n * kind.itemsize, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(flat, dtype=np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel()
+
+
+def _packed(block, at: np.ndarray, **more: np.ndarray) -> dict:
+    """Words of a block as a row, in the order of their codes (at), which are kept as steps."""
+    return {"block": block, "size": len(at), "at": _small("at", np.diff(at, prepend=0))} | {k: _small(k, v) for k, v in more.items()}
 
 
 def first_state(rows: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -295,26 +327,27 @@ def first_state(rows: DataFrame, vocab: DataFrame) -> DataFrame:
     def pack(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("at").to_numpy())
         at, wid, c, h = (t.column(x).to_numpy()[order] for x in ("at", "wid", "c", "h"))
-        return pa.Table.from_pylist([_packed(t.column("block")[0].as_py(), at, wid, c, h=h)], _schema())
+        return pa.Table.from_pylist([_packed(t.column("block")[0].as_py(), at, wid=wid, c=c, h=h)], _schema())
 
     return pairs.groupBy("block").applyInArrow(pack, _STATE)
 
 
 def _schema(*more: tuple) -> pa.Schema:
-    return pa.schema([("block", pa.int64()), *[(n, pa.binary()) for n in _COLUMNS[1:]], *more])
+    return pa.schema([("block", pa.int64()), ("size", pa.int32()), *[(n, pa.binary()) for n in _KINDS], *more])
 
 
 def _unpacked(state: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """wid, c and weights of a block's words in the order of their codes."""
     ats, wids, cs, xs = [], [], [], []
-    for r in state.select(["at", "wid", "c", "q", "h"]).to_pylist():
-        ats.append(np.cumsum(np.frombuffer(r["at"], dtype=np.int32)))
-        wids.append(np.frombuffer(r["wid"], dtype=np.int64))
-        cs.append(np.frombuffer(r["c"], dtype=np.int64))
+    for r in state.select(["size", "at", "wid", "c", "q", "h"]).to_pylist():
+        m = r["size"]
+        ats.append(np.cumsum(_whole("at", r["at"], m)))
+        wids.append(_whole("wid", r["wid"], m))
+        cs.append(_whole("c", r["c"], m))
         if r["q"] is None:
-            xs.append(((cs[-1] + 0.5)[:, None] * noise(np.frombuffer(r["h"], dtype=np.int64), states)).astype(np.float32))
+            xs.append(((cs[-1] + 0.5)[:, None] * noise(_whole("h", r["h"], m), states)).astype(np.float32))
         else:
-            xs.append(weights(np.frombuffer(r["q"], dtype=np.uint16).reshape(-1, states), cs[-1]).astype(np.float32))
+            xs.append(weights(_whole("q", r["q"], m * states).reshape(-1, states), cs[-1]).astype(np.float32))
     order = np.argsort(np.concatenate(ats))
     return np.concatenate(wids)[order], np.concatenate(cs)[order], np.concatenate(xs)[order]
 
@@ -338,7 +371,7 @@ def baum_welch_round(docs: DataFrame, state: DataFrame, model: Hmm, prior: float
         wid, c, x = _unpacked(words, k)
         params = (start_p, move_p, _emissions(c, x, prior, norm))
         del x
-        emit, move, start, log = np.zeros((len(c), k)), np.zeros((k, k)), np.zeros(k), 0.0
+        emit, move, start, log = np.zeros((k, len(c))).T, np.zeros((k, k)), np.zeros(k), 0.0
         seqs = [s for s, held in zip(_codes_of(docs.column("codes")), docs.column("held_out").to_pylist()) if not held]
         for batch in batches_by_length(seqs, HELD_TOKENS):
             log += expected_counts(params, [seqs[i] for i in batch], emit, move, start)
@@ -352,7 +385,7 @@ def baum_welch_round(docs: DataFrame, state: DataFrame, model: Hmm, prior: float
         for hi in ends.tolist():
             at = order[lo:hi]
             n = np.rint(emit[at].sum(axis=1)).astype(np.int32)
-            out.append({"range": int(part[at[0]])} | _packed(block, at, wid[at], c[at], n=n, q=shares(emit[at])))
+            out.append({"range": int(part[at[0]])} | _packed(block, at, wid=wid[at], c=c[at], n=n, q=shares(emit[at])))
             lo = hi
         return pa.Table.from_pylist(out, pa.schema([("range", pa.int32()), *_schema(("stats", pa.list_(pa.float64())))]))
 
@@ -364,17 +397,16 @@ def next_state(counted: DataFrame, states: int) -> DataFrame:
     """The blocks' words with their weights, summed over all blocks that share a word."""
 
     def run(t: pa.Table) -> pa.Table:
-        wids = [np.frombuffer(b, dtype=np.int64) for b in t.column("wid").to_pylist()]
-        ns = np.concatenate([np.frombuffer(b, dtype=np.int32) for b in t.column("n").to_pylist()])
-        q = np.frombuffer(b"".join(t.column("q").to_pylist()), dtype=np.uint16).reshape(-1, states)
-        wid = np.concatenate(wids)
+        sizes = t.column("size").to_pylist()
+        each = lambda name, k=1: [_whole(name, b, k * m) for b, m in zip(t.column(name).to_pylist(), sizes)]
+        wid, ns, q = np.concatenate(each("wid")), np.concatenate(each("n")), np.concatenate(each("q", states)).reshape(-1, states)
         order = np.argsort(wid, kind="stable")
         new = np.diff(wid[order], prepend=-1) != 0
         summed = shares(np.add.reduceat(weights(q, ns)[order], np.flatnonzero(new), axis=0))
         total = np.empty_like(q)
         total[order] = summed[np.cumsum(new) - 1]
-        at = np.cumsum([0, *map(len, wids)])
-        qs = [total[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:])]
+        at = np.cumsum([0, *sizes])
+        qs = [_small("q", total[lo:hi]) for lo, hi in zip(at[:-1], at[1:])]
         cols = {n: t.column(n) for n in _COLUMNS} | {"n": pa.nulls(len(t), pa.binary()), "q": pa.array(qs, pa.binary())}
         return pa.table([cols[n] for n in _COLUMNS], _COLUMNS)
 
@@ -441,7 +473,7 @@ def lm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block
     ranges = 1 + pairs // RANGE_PAIRS
 
     model, prior, norm = Hmm.first(np.zeros(0), states), 0.0, first_totals(vocab, states)
-    state = held = scratch.write(first_state(raw, vocab), "state", compression="zstd")
+    state = held = scratch.write(first_state(raw, vocab), "state")
     scratch.drop(vocab)
     dealt = Dealt(raw.filter("rid IS NOT NULL").drop("words"), scratch)
     rows = dealt.rows
@@ -449,7 +481,7 @@ def lm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block
     for _ in range(rounds):
         gc.collect()
         spark.sparkContext._jvm.System.gc()  # lets the shuffle files of the steps before go
-        counted = scratch.write(baum_welch_round(rows, state, model, prior, norm, ranges), "counted", compression="zstd")
+        counted = scratch.write(baum_welch_round(rows, state, model, prior, norm, ranges), "counted")
         scratch.drop(held)
         sums = counted.filter("range = -2").select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
         values = np.zeros(states * states + 2 * states + 1)  # so many rows at most
