@@ -21,11 +21,11 @@ def allowed(rows: DataFrame, column: str, allow: DataFrame, deny: DataFrame) ->
     return rows if allow.isEmpty() else rows.join(counted(listed), column, "left_semi")
 
 
-def all_allowed(rows: DataFrame, column: str, allow: DataFrame, deny: DataFrame) -> DataFrame:
-    """Rows of which every item of an array column is allowed."""
-    items = rows.select(F.explode(column).alias("topic")).distinct()
-    bad = items.join(allowed(items, "topic", allow, deny), "topic", "left_anti").agg(F.collect_list("topic").alias("_bad"))  # one row a topic at most
-    return rows.crossJoin(F.broadcast(bad)).filter(~F.arrays_overlap(F.col(column), F.col("_bad"))).drop("_bad")
+def all_allowed(rows: DataFrame, key: str, column: str, allow: DataFrame, deny: DataFrame) -> DataFrame:
+    """Rows (by their key) of which every item of an array column is allowed."""
+    each = rows.select(key, F.explode(column).alias("topic"))
+    good = allowed(each.select("topic").distinct(), "topic", allow, deny)
+    return rows.join(each.join(good, "topic", "left_anti").select(key).distinct(), key, "left_anti")
 
 
 def serving_gaps(gaps: DataFrame, allow: DataFrame, deny: DataFrame, limit: int = 20, factor: int = 20) -> DataFrame:

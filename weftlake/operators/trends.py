@@ -80,7 +80,7 @@ def cluster_emerging_scores(growth: DataFrame, papers: DataFrame) -> DataFrame:
     """Per paper the largest growth of its topics, the mean by colour, over the peak colour,
     in [0, 1]. Colour -1 is left out, papers without a growing topic count 0."""
     g = growth.groupBy("topic").agg(F.max("growth").alias("g"))
-    per = papers.filter("colour >= 0").join(F.broadcast(g), "topic", "left").groupBy("paper", "colour").agg(F.coalesce(F.max("g"), F.lit(0.0)).alias("g"))
+    per = papers.filter("colour >= 0").join(g, "topic", "left").groupBy("paper", "colour").agg(F.coalesce(F.max("g"), F.lit(0.0)).alias("g"))
     mean = per.groupBy("colour").agg(F.avg("g").alias("m"))
     peak = F.max("m").over(Window.partitionBy())
     return mean.select("colour", F.when(peak > 0, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("m") / peak)), 6)).otherwise(0.0).alias("score"))
@@ -121,4 +121,4 @@ def series_top_other(rows: DataFrame, top: int) -> DataFrame:
     totals = rows.groupBy("name").agg(F.sum("value").alias("t"))
     rank = totals.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("t"), "name"))).select("name", "rank")
     label = F.when(F.col("rank") <= top, F.col("name")).otherwise("Other")
-    return rows.join(F.broadcast(rank), "name").groupBy("year", label.alias("name")).agg(F.sum("value").alias("value"))
+    return rows.join(rank, "name").groupBy("year", label.alias("name")).agg(F.sum("value").alias("value"))

@@ -28,7 +28,7 @@ def _(s, d):
 @query("allowed_baskets", f"SELECT work_id, string_agg(topic, ' | ' ORDER BY topic) AS items FROM (SELECT DISTINCT work_id, topic FROM wt) GROUP BY work_id HAVING bool_and(topic {_IN})")
 def _(s, d):
     baskets = work_topics(s, d).groupBy("work_id").agg(F.array_sort(F.collect_set("topic")).alias("items"))
-    return serving.all_allowed(baskets, "items", *_lists(s)).select("work_id", F.array_join("items", " | ").alias("items"))
+    return serving.all_allowed(baskets, "work_id", "items", *_lists(s)).select("work_id", F.array_join("items", " | ").alias("items"))
 
 
 @query("serving_gaps", GAPS_SQL + f" SELECT topic, score, growth FROM gp WHERE topic {_IN} ORDER BY score DESC, growth DESC, topic LIMIT 5")
