@@ -69,56 +69,72 @@ def multiset(grouped: DataFrame, groups: list[str]) -> DataFrame:
     return grouped.groupBy(*groups, "items").agg(F.count("*").alias("weight"))
 
 
-def summed(weighted: DataFrame, groups: list[str]) -> DataFrame:
-    """D5 from weighted baskets: those of each group once, with the sum of their weights."""
-    return weighted.groupBy(*groups, "items").agg(F.sum("weight").alias("weight"))
+class Windows:
+    """How baskets counted by year (beside the other group columns) make up windows."""
 
+    def __init__(self, lo: int, hi: int, width: int, step: int, others: list[str] = ()):
+        self.span, self.base, self.groups = (lo, hi, width, step), [*others, "pub_year"], [*others, "window_start", "window_end"]
 
-def frequent(weighted: DataFrame, groups: list[str], min_support: float, max_len: int | None = 3, min_baskets: int = 1, min_count: int = 1, n_tx: DataFrame | None = None) -> DataFrame:
+    def deal(self, rows: DataFrame) -> DataFrame:
+        return window_starts(rows, *self.span).drop("pub_year")
+
+    def years(self, rows: DataFrame, *cols: str) -> DataFrame:
+        """Of rows by window, cols by each year of the window, once."""
+        return rows.withColumn("pub_year", F.explode(F.sequence("window_start", "window_end"))).select(*self.base, *cols).distinct()
+
+
+def frequent(weighted: DataFrame, groups: list[str], min_support: float, max_len: int | None = 3, min_baskets: int = 1, min_count: int = 1, windows: Windows | None = None) -> DataFrame:
     """Groups, itemset, k, support_count, n_tx, support of all frequent sets of up to max_len items
     (None: of any length).
 
     weighted has the group columns, items (distinct, sorted) and weight. A set is frequent from
-    max(min_count, ceil(min_support * n_tx)) baskets; groups under min_baskets are skipped. The
-    result reads written tables, one a level.
+    max(min_count, ceil(min_support * n_tx)) baskets; groups under min_baskets are skipped. With windows,
+    weighted is by year: a basket is taken apart once, and only counts are dealt over the windows that
+    hold its year. The result reads written tables, one a level.
     """
     if max_len is not None and max_len < 1:
         raise ValueError("max_len must be at least 1")
-    weighted = cut(weighted.select(*groups, "items", "weight"), "weighted")
-    n = n_tx if n_tx is not None else weighted.groupBy(*groups).agg(F.sum("weight").alias("n_tx"))
+    base = windows.base if windows else groups
+    dealt = windows.deal if windows else lambda rows: rows
+    by_base = windows.years if windows else lambda rows, *cols: rows.select(*groups, *cols)
+    weighted = cut(weighted.select(*base, "items", "weight"), "weighted")
+    n = dealt(weighted.groupBy(*base).agg(F.sum("weight").alias("n_tx"))).groupBy(*groups).agg(F.sum("n_tx").alias("n_tx"))
     n = n.filter(F.col("n_tx") >= min_baskets).withColumn("least", F.greatest(F.lit(min_count), F.ceil(F.round(F.lit(min_support) * F.col("n_tx"), 9))).cast("long"))
     n = counted(cut(n, "groups"))
 
     def level(sets: DataFrame, k: int) -> DataFrame:
-        """The frequent ones of occurrences (groups, prefix, last, weight), written."""
-        counts = sets.groupBy(*groups, "prefix", "last").agg(F.sum("weight").alias("support_count"))
+        """The frequent ones of occurrences (base, prefix, last, weight), written."""
+        counts = sets.groupBy(*base, "prefix", "last").agg(F.sum("weight").alias("support_count"))
+        if windows:
+            counts = dealt(counts).groupBy(*groups, "prefix", "last").agg(F.sum("support_count").alias("support_count"))
         counts = counts.join(n, groups) if groups else counts.crossJoin(n)  # without groups n is one row
         return cut(counts.filter(F.col("support_count") >= F.col("least")).select(*groups, "prefix", "last", itemset("prefix", "last").alias("itemset"), F.lit(k).alias("k"), "support_count", "n_tx"), f"level{k}")
 
-    w = weighted.join(n.select(*groups), groups, "left_semi") if groups else weighted
-    one = level(w.select(*groups, F.lit(None).cast("string").alias("prefix"), F.explode("items").alias("last"), "weight"), 1)
+    one = level(weighted.select(*base, F.lit(None).cast("string").alias("prefix"), F.explode("items").alias("last"), "weight"), 1)
     levels = [one]
     if max_len is None or max_len >= 2:
         # The frequent items of each distinct basket; one with fewer than two is done with.
-        good = cut(one.groupBy(*groups).agg(F.collect_set("last").alias("good")), "good")
-        held = w.join(counted(good), groups) if groups else w.crossJoin(F.broadcast(good))  # one row without groups
+        good = cut(by_base(one, "last").groupBy(*base).agg(F.collect_set("last").alias("good")), "good")
+        held = weighted.join(counted(good), base) if base else weighted.crossJoin(F.broadcast(good))  # one row without groups
         held = held.withColumn("items", F.array_sort(F.array_intersect("items", "good"))).drop("good").filter(F.size("items") >= 2)
-        held = held.groupBy(*groups, "items").agg(F.sum("weight").alias("weight"))
+        held = held.groupBy(*base, "items").agg(F.sum("weight").alias("weight"))
         held = held if max_len == 2 else cut(held, "baskets")
         ends = F.transform("items", lambda x, i: F.struct(x.alias("itemset"), F.slice("items", i + 2, F.size("items")).alias("rest")))
-        sets = held.select(*groups, F.inline(ends), "weight")
+        sets = held.select(*base, F.inline(ends), "weight")
+    on = [*base, "prefix", "last"]
     while max_len is None or len(levels) < max_len:
         k = len(levels) + 1
         last = F.transform("rest", lambda x, i: F.struct(x.alias("last"), F.slice("rest", i + 2, F.size("rest")).alias("rest")))
-        grown = sets.filter(F.size("rest") > 0).select(*groups, F.col("itemset").alias("prefix"), F.inline(last), "weight")
+        grown = sets.filter(F.size("rest") > 0).select(*base, F.col("itemset").alias("prefix"), F.inline(last), "weight")
         if k > 2:
-            grown = grown.join(counted(cut(candidates(levels[-1], groups, k), f"candidates{k}")), [*groups, "prefix", "last"], "left_semi")
+            grown = grown.join(counted(cut(by_base(candidates(levels[-1], groups, k), "prefix", "last"), f"candidates{k}")), on, "left_semi")
         found = level(grown, k)
         if found.isEmpty():
             break
         levels.append(found)
-        sets = grown.join(counted(found.select(*groups, "prefix", "last")), [*groups, "prefix", "last"], "left_semi")
-        sets = sets.select(*groups, itemset("prefix", "last").alias("itemset"), "rest", "weight")
+        if len(levels) != max_len:
+            sets = grown.join(counted(cut(by_base(found, "prefix", "last"), f"found{k}")), on, "left_semi")
+            sets = sets.select(*base, itemset("prefix", "last").alias("itemset"), "rest", "weight")
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
@@ -154,9 +170,9 @@ def association_rules(patterns: DataFrame, groups: list[str], min_confidence: fl
 
 def mine_windows(works: DataFrame, work_topics: DataFrame, lo: int, hi: int, width: int = 3, step: int = 1, min_support: float = 0.02, max_len: int | None = 3, min_baskets: int = 20, include: str | None = None) -> DataFrame:
     """The sliding-window miner: every window's patterns, in one plan."""
-    by_year = multiset(baskets(works, work_topics, include), ["pub_year"])
-    groups = ["window_start", "window_end"]
-    return frequent(summed(window_starts(by_year, lo, hi, width, step), groups), groups, min_support, max_len, min_baskets)
+    windows = Windows(lo, hi, width, step)
+    by_year = multiset(baskets(works, work_topics, include), windows.base)
+    return frequent(by_year, windows.groups, min_support, max_len, min_baskets, windows=windows)
 
 
 def mine_countries(works: DataFrame, work_topics: DataFrame, work_countries: DataFrame, lo: int, hi: int, min_papers: int = 300, min_window: int = 50, width: int = 3, step: int = 1, min_support: float = 0.01, min_count: int = 5, max_len: int | None = 3) -> DataFrame:
@@ -164,9 +180,8 @@ def mine_countries(works: DataFrame, work_topics: DataFrame, work_countries: Dat
     b = baskets(works, work_topics)
     big = cut(work_countries.groupBy("country").agg(F.count("*").alias("n")).filter(F.col("n") >= min_papers).select("country"), "countries")
     b = b.join(work_countries.join(counted(big), "country", "left_semi"), "work_id")
-    by_year = multiset(b, ["country", "pub_year"])
-    groups = ["country", "window_start", "window_end"]
-    return frequent(summed(window_starts(by_year, lo, hi, width, step), groups), groups, min_support, max_len, min_window, min_count)
+    windows = Windows(lo, hi, width, step, ["country"])
+    return frequent(multiset(b, windows.base), windows.groups, min_support, max_len, min_window, min_count, windows)
 
 
 # -- reports on stored patterns ---------------------------------------------------------------
