@@ -1,7 +1,12 @@
 """The corpus pipeline: language ID, exact dedup, near dedup, secret scan, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; its result
-is written as Parquet and read again. All but the last return the columns of documents.
+is written as Parquet and read again. All but the last return the columns of documents, whatever
+other columns the table has.
+
+Odd rows, in every stage: an empty table stays empty; texts of any length are read whole; rows
+with a null doc_id are judged alone and never count as copies; repeated rows of a doc_id stay or go
+together; other null columns and clashing column names change nothing.
 """
 
 from __future__ import annotations
@@ -13,27 +18,32 @@ from weftlake.llm.common import Scratch, documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null texts and texts without a letter go."""
+    """Documents whose language can be told; null and empty texts and texts without a letter go. Of languages
+    with equal cosines the alphabetically first counts, which keeps the document either way."""
     return language.keep_known(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of equal texts."""
+    """The document with the smallest doc_id of each group of equal texts; a null text counts as empty, and
+    empty texts are equal."""
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
+    """The document with the smallest doc_id of each group of near copies (five words, similarity 0.8); texts
+    without words stay."""
     return near_dedup.drop_near_copies(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with the secrets in its text replaced by a mark and n_chars brought up to date."""
+    """Every document, with the secrets in its text replaced by a mark and n_chars brought up to date; null and
+    empty texts, and those without a secret, are unchanged. Overlapping secrets become one mark."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of 2048 tokens."""
+    """The pieces of all documents in windows of 2048 tokens; a null or empty text is the end id alone, repeated rows
+    are packed each, and fill levels that cost the same tie to the fullest."""
     return packing.pack(docs)
 
 
