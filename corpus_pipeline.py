@@ -44,7 +44,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 2048 tokens; a null or empty text is the end id alone, repeated rows
     are packed each, and fill levels that cost the same tie to the fullest."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache_mb=packing.STAGE_CACHE_MB)
 
 
 STAGES = [

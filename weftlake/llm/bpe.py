@@ -6,7 +6,7 @@ stand before t, and two tokens may stand together exactly if merging their joine
 them back. The distinct words of a batch are sorted, which is the order in which a depth-first
 walk of their trie visits them; the walk keeps the last token of each byte of the current path,
 so a prefix that many words share is encoded once. Encodings of words are kept between
-the batches of a task in a cache bounded by bytes. Texts are split, encoded and decoded whole, in Arrow batches.
+batches in a cache bounded by bytes. Texts are split, encoded and decoded whole, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\
 
 #: Bytes of a worker's word cache and entries of its cache of token pairs, about; beyond, a cache starts anew.
 #: Words longer than KEPT_CHARS are encoded each time.
-CACHED_BYTES = 48_000_000
-CACHED_PAIRS = 250_000
+CACHED_BYTES = 60_000_000
+CACHED_PAIRS = 500_000
 KEPT_CHARS = 64
 #: Bytes of a cache entry besides its strings, about.
 ENTRY = 200
@@ -68,12 +68,6 @@ class TrieBpe:
         self.words: dict[str, bytes] = {}
         self.held = 0
 
-    def forget(self) -> None:
-        """Empty the caches, as a task does at its end: an idle worker holds the vocabulary alone."""
-        self.pairs.clear()
-        self.words.clear()
-        self.held = 0
-
     def merged(self, data: bytes) -> list[int]:
         """Plain BPE: the lowest-ranked merge, leftmost first, until none is left."""
         ids = [self.token[data[i : i + 1]] for i in range(len(data))]
@@ -191,7 +185,6 @@ def encode_decode(docs: DataFrame, vocab_path: str | None = None) -> DataFrame:
                 [batch.column("doc_id"), pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string()), pa.array(out["n_bytes"], pa.int64())],
                 ["doc_id", *out],
             )
-        bpe.forget()
         idle()
 
     rows = docs.select("doc_id", text_or_empty().alias("text"))

@@ -34,10 +34,9 @@ END_ID = 1
 UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Marks that, at the end of a run and behind letters only, are one unit.
 MARKS = ".,;:!?"
-#: Bytes of a worker's caches of runs and of units, about; beyond, a cache starts anew. Runs and units
-#: longer than KEPT_CHARS are encoded each time.
-CACHED_RUNS = 48_000_000
-CACHED_UNITS = 32_000_000
+#: Megabytes of a worker's caches of runs and of units, about: larger ones save time, not results. A cache that
+#: is full starts anew. Runs and units longer than KEPT_CHARS are encoded each time.
+CACHE_MB, STAGE_CACHE_MB = 320, 80
 KEPT_CHARS = 64
 #: Bytes of a cache entry besides its strings, about.
 ENTRY = 200
@@ -63,13 +62,14 @@ class CachedTokenizer:
         suffix = spec["model"]["end_of_word_suffix"]
         self.closes = {i for w, i in spec["model"]["vocab"].items() if w.endswith(suffix)}
         self.split = regex.compile(UNITS)
-        self.forget()
-
-    def forget(self) -> None:
-        """Empty the caches, as a task does at its end: an idle worker holds the vocabulary alone."""
         self.known: dict[str, bytes] = {"": b""}
         self.units: dict[str, bytes] = {"": b""}
         self.known_bytes = self.unit_bytes = 0
+        self.limit(CACHE_MB)
+
+    def limit(self, megabytes: float) -> None:
+        """Bound the caches: three fifths for runs, the rest for units."""
+        self.most_known, self.most_units = megabytes * 600_000, megabytes * 400_000
 
     def _encode(self, units: list[str]) -> None:
         """Encode new units, joined by blanks, into the cache."""
@@ -108,7 +108,7 @@ class CachedTokenizer:
                 rest.append(w)
         need = {x for _, x, _ in words}.union({x for _, _, x in words}, *others.values())
         need.discard("")
-        if self.unit_bytes > CACHED_UNITS:
+        if self.unit_bytes > self.most_units:
             self.units, self.unit_bytes = {"": b""}, 0
         new = list(need.difference(self.units))
         self._encode(new)
@@ -126,7 +126,7 @@ class CachedTokenizer:
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if self.known_bytes > CACHED_RUNS:
+        if self.known_bytes > self.most_known:
             self.known, self.known_bytes = {"": b""}, 0
         new = list(set().union(*split).difference(self.known))
         self.learn(new)
@@ -223,12 +223,13 @@ class SumOfSquares:
             i += 1
 
 
-def pack(docs: DataFrame, window: int = WINDOW, vocab_path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, vocab_path: str | None = None, end_id: int = END_ID, cache_mb: float = CACHE_MB) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     docs needs doc_id and text; other columns are ignored, whatever their names. A null or
     empty text is the end id alone. Repeated rows are packed each. A document of any length
-    is packed whole. An empty table gives no piece.
+    is packed whole. An empty table gives no piece. cache_mb bounds a worker's caches; it changes
+    the time, not the result.
     """
     path = vocab_path or vocabulary("word_bpe_49k.json")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -237,6 +238,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocab_path: str | None = None, e
 
     def run(batches):
         tokens, end = loaded(path), array("I", [end_id]).tobytes()
+        tokens.limit(cache_mb)
         packer = SumOfSquares(window, TaskContext.get().partitionId() << 40)
         kind = None
 
@@ -257,7 +259,6 @@ def pack(docs: DataFrame, window: int = WINDOW, vocab_path: str | None = None, e
         if packer.rows:
             yield out()
         del packer
-        tokens.forget()
         idle()
 
     schema = f"doc_id {id_type.simpleString()}, " + ", ".join(f"`{n}` long" for n in names[1:])
