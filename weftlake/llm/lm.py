@@ -77,6 +77,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+class _Codes(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def coded(docs: DataFrame, train_mod=(7, 2), block_words: int = BLOCK_WORDS) -> DataFrame:
     """Each row as codes: rid (its place), doc_id, held_out, block, codes. A row without rid has the block's words in the order of their codes."""
     mod, held = train_mod
@@ -85,7 +93,7 @@ def coded(docs: DataFrame, train_mod=(7, 2), block_words: int = BLOCK_WORDS) ->
 
     def run(batches):
         rid = block = TaskContext.get().partitionId() << 40
-        code: dict[bytes, int] = {}
+        code = _Codes()
         tokens, ids_type = 0, None
 
         def dictionary():
@@ -96,20 +104,21 @@ def coded(docs: DataFrame, train_mod=(7, 2), block_words: int = BLOCK_WORDS) ->
             ids_type, n = batch.column("doc_id").type, batch.num_rows
             blocks, codes, full = [], [], []
             for text in (t for _, texts in text_runs(batch) for t in texts):
-                a = np.array([code.setdefault(w, len(code)) for w in tokens_of(text)], dtype=np.int32)
+                words = tokens_of(text)
+                a = np.fromiter(map(code.__getitem__, words), dtype=np.int32, count=len(words))
                 blocks.append(block)
                 codes.append(a.tobytes())
                 tokens += len(a)
                 if len(code) >= block_words or tokens >= BLOCK_TOKENS:
                     full.append(dictionary())
-                    code, tokens, block = {}, 0, block + 1
+                    code, tokens, block = _Codes(), 0, block + 1
             cols = [pa.array(np.arange(rid, rid + n)), batch.column("doc_id"), batch.column("held_out"), pa.array(blocks, pa.int64()), pa.array(codes, pa.binary()), pa.nulls(n, pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "held_out", "block", "codes", "words"])
             yield from full
             rid += n
         if code:
             yield dictionary()
-        code = {}
+        code = None
         idle()
 
     return rows.mapInArrow(run, f"rid long, doc_id {id_kind}, held_out boolean, block long, codes binary, words array<binary>")
@@ -149,22 +158,24 @@ def forward_log10(params: tuple, seqs: list[np.ndarray]) -> np.ndarray:
     """log10 likelihood of each sequence by the scaled forward recursion."""
     start, move, emit = params
     order = np.argsort([-len(s) for s in seqs], kind="stable")
-    total = np.zeros(len(seqs))
     flat, alive, at = _time_major([seqs[i] for i in order])
-    alpha, block = None, 0
-    emitted = np.empty((0, 0))
-    base = 0
-    for t in range(len(alive)):
-        if t == block:  # emissions of a run of steps at a time
-            block = t + 1
-            while block < len(alive) and at[block + 1] - at[t] <= 200_000:
-                block += 1
-            emitted, base = emit[flat[at[t] : at[block]]], at[t]
-        e = emitted[at[t] - base : at[t + 1] - base]
-        alpha = start * e if alpha is None else (alpha[: alive[t]] @ move) * e
-        scale = alpha.sum(axis=1)
-        alpha /= scale[:, None]
-        total[order[: alive[t]]] += np.log10(scale, dtype=np.float64)
+    scale, ones = np.empty(len(flat), dtype=np.float32), np.ones(len(start), dtype=np.float32)
+    before, lo = None, 0
+    while lo < len(alive):  # emissions of a run of steps at a time
+        hi = lo + 1
+        while hi < len(alive) and at[hi + 1] - at[lo] <= 200_000:
+            hi += 1
+        alpha = emit[flat[at[lo] : at[hi]]]
+        for t in range(lo, hi):
+            a = alpha[at[t] - at[lo] : at[t + 1] - at[lo]]
+            a *= start if before is None else before[: alive[t]] @ move
+            c = np.matmul(a, ones, out=scale[at[t] : at[t + 1]])
+            a /= c[:, None]
+            before = a
+        lo = hi
+    place = np.arange(len(flat)) - np.repeat(at[:-1], alive)
+    total = np.empty(len(seqs))
+    total[order] = np.bincount(place, weights=np.log10(scale, dtype=np.float64), minlength=len(seqs))
     return total
 
 
@@ -254,13 +265,15 @@ def expected_counts(params: tuple, seqs: list[np.ndarray], emit_sum: np.ndarray,
 def noise(hashes: np.ndarray, states: int, seed: int = SEED) -> np.ndarray:
     """Factors (words x states) that shake a word's emission at the start, by the word's hash."""
     h = hashes.astype(np.int64).view(np.uint64)
-    out = np.empty((len(h), states))
+    out = np.empty((len(h), states), dtype=np.float32)
     with np.errstate(over="ignore"):
-        for k in range(states):
+        for k in range(0, states, 2):
             a = _mixed(h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(seed + k + 1))
             b = _mixed(a ^ np.uint64(seed))
-            u, v = ((x >> np.uint64(11)).astype(np.float64) / (1 << 53) for x in (a, b))
-            out[:, k] = np.exp(0.5 * np.sqrt(-2 * np.log(1 - u)) * np.cos(2 * np.pi * v))
+            u, v = ((x >> np.uint64(40)).astype(np.float32) / (1 << 24) for x in (a, b))
+            far, angle = 0.5 * np.sqrt(-2 * np.log(1 - u)), np.float32(2 * np.pi) * v
+            for j, wave in enumerate((np.cos, np.sin)[: states - k]):
+                out[:, k + j] = np.exp(far * wave(angle))
     return out
 
 
@@ -288,14 +301,17 @@ STEPS = 4095
 
 def shares(x: np.ndarray) -> np.ndarray:
     """A word's weights over the states as 12-bit shares of their sum, which is a known count."""
+    x = x.astype(np.float32, copy=False)
     total = x.sum(axis=1, keepdims=True)
-    return np.rint(x * (STEPS / np.where(total > 0, total, 1))).astype(np.uint16)
+    x = x * (STEPS / np.where(total > 0, total, 1))
+    x += np.float32(0.5)
+    return x.astype(np.uint16)
 
 
 def weights(q: np.ndarray, total: np.ndarray) -> np.ndarray:
     """The weights of shares and their sums."""
-    whole = q.sum(axis=1, dtype=np.float64)
-    return q * (total / np.where(whole > 0, whole, 1))[:, None]
+    whole = q.sum(axis=1, dtype=np.int32)
+    return q * (total / np.where(whole > 0, whole, 1)).astype(np.float32)[:, None]
 
 
 def _small(name: str, a: np.ndarray) -> bytes:
@@ -345,15 +361,20 @@ def _unpacked(state: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray, np.
         wids.append(_whole("wid", r["wid"], m))
         cs.append(_whole("c", r["c"], m))
         if r["q"] is None:
-            xs.append(((cs[-1] + 0.5)[:, None] * noise(_whole("h", r["h"], m), states)).astype(np.float32))
+            xs.append((cs[-1] + 0.5).astype(np.float32)[:, None] * noise(_whole("h", r["h"], m), states))
         else:
-            xs.append(weights(_whole("q", r["q"], m * states).reshape(-1, states), cs[-1]).astype(np.float32))
-    order = np.argsort(np.concatenate(ats))
-    return np.concatenate(wids)[order], np.concatenate(cs)[order], np.concatenate(xs)[order]
+            xs.append(weights(_whole("q", r["q"], m * states).reshape(-1, states), cs[-1]))
+    whole = sum(map(len, ats))
+    wid, c, x = (np.empty((whole, *part[0].shape[1:]), part[0].dtype) for part in (wids, cs, xs))
+    for places, w, n, v in zip(ats, wids, cs, xs):  # every code is in one of the rows
+        wid[places], c[places], x[places] = w, n, v
+    return wid, c, x
 
 
 def _emissions(c: np.ndarray, x: np.ndarray, prior: float, norm: np.ndarray) -> np.ndarray:
-    return ((x + prior * (c + 1)[:, None]) / norm).astype(np.float32)
+    x = x + (prior * (c + 1)).astype(np.float32)[:, None]
+    x *= (1 / norm).astype(np.float32)
+    return x
 
 
 def _codes_of(column) -> list[np.ndarray]:
@@ -400,7 +421,7 @@ def next_state(counted: DataFrame, states: int) -> DataFrame:
         sizes = t.column("size").to_pylist()
         each = lambda name, k=1: [_whole(name, b, k * m) for b, m in zip(t.column(name).to_pylist(), sizes)]
         wid, ns, q = np.concatenate(each("wid")), np.concatenate(each("n")), np.concatenate(each("q", states)).reshape(-1, states)
-        order = np.argsort(wid, kind="stable")
+        order = np.argsort(wid)
         new = np.diff(wid[order], prepend=-1) != 0
         summed = shares(np.add.reduceat(weights(q, ns)[order], np.flatnonzero(new), axis=0))
         total = np.empty_like(q)
