@@ -27,7 +27,8 @@ def brute_scores(spark, texts, states, rounds):
     for _ in range(rounds):
         sums = np.zeros(emit.shape), np.zeros(move.shape), np.zeros(states)
         lm.expected_counts(lm.Hmm(start, move, emit).arrays(), train, *sums)
-        emit = (sums[0] + lm.PRIOR * (c + 1)[:, None] / (n + v + 1)) / (sums[0].sum(axis=0) + lm.PRIOR)
+        weight = lm.PRIOR * (sums[0].sum(axis=0) + 1)
+        emit = (sums[0] + weight * (c + 1)[:, None] / (n + v + 1)) / (sums[0].sum(axis=0) + weight)
         start, move = (sums[2] + 1) / (sums[2] + 1).sum(), (sums[1] + 1) / (sums[1] + 1).sum(axis=1, keepdims=True)
     return lm.forward_log10(lm.Hmm(start, move, emit).arrays(), seqs)
 

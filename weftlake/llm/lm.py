@@ -41,8 +41,9 @@ RANGE_PAIRS = 500_000
 #: Tokens whose forward and backward variables are held at a time.
 HELD_TOKENS = 500_000
 SEED = 88
-#: Chance of staying in a state at the start, and the weight of the corpus' own distribution in each state.
-STAY, PRIOR = 0.9, 200.0
+#: Chance of staying in a state at the start, and the weight of the corpus' own distribution in each state, as a
+#: share of what the state has gathered: words that were never seen keep their part at any size.
+STAY, PRIOR = 0.9, 0.5
 #: Distinct words a task holds before it hands on its counts.
 HELD_WORDS = 200_000
 END = b""
@@ -371,8 +372,8 @@ def _unpacked(state: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray, np.
     return wid, c, x
 
 
-def _emissions(c: np.ndarray, x: np.ndarray, prior: float, norm: np.ndarray) -> np.ndarray:
-    x = x + (prior * (c + 1)).astype(np.float32)[:, None]
+def _emissions(c: np.ndarray, x: np.ndarray, prior: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    x = x + (c + 1).astype(np.float32)[:, None] * prior.astype(np.float32)
     x *= (1 / norm).astype(np.float32)
     return x
 
@@ -381,7 +382,7 @@ def _codes_of(column) -> list[np.ndarray]:
     return [np.frombuffer(b, dtype=np.int32) for b in column.to_pylist()]
 
 
-def baum_welch_round(docs: DataFrame, state: DataFrame, model: Hmm, prior: float, norm: np.ndarray, ranges: int) -> DataFrame:
+def baum_welch_round(docs: DataFrame, state: DataFrame, model: Hmm, prior: np.ndarray, norm: np.ndarray, ranges: int) -> DataFrame:
     """Expected counts over all coded training documents: a row for each block and range of shared
     words (with each word's count in the block, n), one (range -1) for its other words and one (range -2)
     for its sums of moves, starts, states and log10 likelihood."""
@@ -451,7 +452,7 @@ class Dealt:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def forward_scores(rows: DataFrame, state: DataFrame, model: Hmm, prior: float, norm: np.ndarray) -> DataFrame:
+def forward_scores(rows: DataFrame, state: DataFrame, model: Hmm, prior: np.ndarray, norm: np.ndarray) -> DataFrame:
     """rid, n_tokens, n_known, base_log and hmm_log of every coded document."""
     k = len(model.start)
     start_p, move_p, _ = model.arrays()
@@ -493,7 +494,7 @@ def lm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block
     pairs = raw.filter("rid IS NULL").agg(F.sum(F.size("words"))).first()[0] or 0
     ranges = 1 + pairs // RANGE_PAIRS
 
-    model, prior, norm = Hmm.first(np.zeros(0), states), 0.0, first_totals(vocab, states)
+    model, prior, norm = Hmm.first(np.zeros(0), states), np.zeros(states), first_totals(vocab, states)
     state = held = scratch.write(first_state(raw, vocab), "state")
     scratch.drop(vocab)
     dealt = Dealt(raw.filter("rid IS NOT NULL").drop("words"), scratch)
@@ -510,7 +511,8 @@ def lm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block
             values[s["i"]] = s["x"]
         move, start, occupied = values[: states * states].reshape(states, states) + 1.0, values[states * states :][:states] + 1.0, values[states * states + states :][:states]
         model = Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), model.emit)
-        prior, norm = PRIOR / (n + v + 1), occupied + PRIOR
+        weight = PRIOR * (occupied + 1)
+        prior, norm = weight / (n + v + 1), occupied + weight
         state, held = next_state(counted, states), counted
 
     scored = forward_scores(rows, state, model, prior, norm)
