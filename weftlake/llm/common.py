@@ -106,18 +106,22 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, to
     return rows.join(F.broadcast(hot), on).unionByName(rest.join(groups.filter(F.col(size) <= HOT * total), on))
 
 
-def text_runs(batch: pa.RecordBatch, column: str = "text", chars: int = 2_000_000, rows: int = 256) -> Iterator[tuple[int, list[str]]]:
-    """(first row, whole texts) of runs of an Arrow batch, of bounded total length where no single text is longer.
-    Only one run at a time is turned into Python strings."""
-    col = batch.column(column)
+def array_runs(col: pa.Array, chars: int = 2_000_000, rows: int = 256) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of runs of an Arrow array, of bounded total length where no single text is longer."""
     at = held = 0
     for i, size in enumerate(pc.binary_length(col).to_pylist()):
         if i > at and (held + size > chars or i - at >= rows):
-            yield at, col.slice(at, i - at).to_pylist()
+            yield at, col.slice(at, i - at)
             at, held = i, 0
         held += size
     if at < len(col):
-        yield at, col.slice(at).to_pylist()
+        yield at, col.slice(at)
+
+
+def text_runs(batch: pa.RecordBatch, column: str = "text", chars: int = 2_000_000, rows: int = 256) -> Iterator[tuple[int, list[str]]]:
+    """(first row, whole texts) of runs of an Arrow batch. Only one run at a time is turned into Python strings."""
+    for at, texts in array_runs(batch.column(column), chars, rows):
+        yield at, texts.to_pylist()
 
 
 def idle() -> None:

@@ -1,8 +1,9 @@
 """Hidden Markov language model scores (operator 8).
 
-1. Count every training token (all partitions; words and one end a document).
-2. Every document is coded once by the words of its block, a run of documents of one task with
-   at most about BLOCK_WORDS distinct words, and written to the shared folder.
+1. Every document is coded once by the words of its block, a run of documents of one task with
+   at most about BLOCK_WORDS distinct words, and written to the shared folder, with each word's training
+   tokens in the block (words and one end a document).
+2. The blocks' words are brought together once, which gives each word's count over all training documents.
 3. Every word of the training documents has an emission of its own. The expected counts by word and
    state are a distributed table with a row part for each block that holds the word, so what is
    learned grows with the corpus, and memory is bounded by a block. A word's counts sum to its number
@@ -21,31 +22,33 @@ from __future__ import annotations
 import gc
 import math
 import uuid
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlake.llm.common import Scratch, crc_mod, documents, idle, partitions, text_or_empty, text_runs
+from weftlake.llm.common import Scratch, array_runs, crc_mod, documents, idle, partitions, text_or_empty
 from weftlake.llm.near_dedup import _mixed, words_of
 
 STATES = 12
 ROUNDS = 5
-#: A block ends with the document that brings it to so many distinct words or tokens.
+#: A block ends with the run of documents (256 or about 2 MB at most) that brings it to so many distinct words or tokens.
 BLOCK_WORDS, BLOCK_TOKENS = 400_000, 8_000_000
 #: Pairs of a word and a block in a range of words, about.
 RANGE_PAIRS = 500_000
 #: Tokens whose forward and backward variables are held at a time.
 HELD_TOKENS = 500_000
+#: Tokens whose emissions are held at a time where documents are scored only.
+STEP_ROWS = 200_000
+#: Forward variables are brought to sum 1 every so many steps, or sooner than a sum falls below FLOOR.
+STRIDE, FLOOR = 8, 1e-16
 SEED = 88
 #: Chance of staying in a state at the start, and the weight of the corpus' own distribution in each state, as a
 #: share of what the state has gathered: words that were never seen keep their part at any size.
 STAY, PRIOR = 0.9, 0.5
-#: Distinct words a task holds before it hands on its counts.
-HELD_WORDS = 200_000
 END = b""
 
 
@@ -53,31 +56,6 @@ def tokens_of(text: str) -> list[bytes]:
     return [*words_of(text), END]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over all tokens of docs; the end is the empty word."""
-
-    def run(batches):
-        held: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
-
-        for batch in batches:
-            for _, texts in text_runs(batch):
-                for text in texts:
-                    held.update(tokens_of(text))
-                    if len(held) >= HELD_WORDS:
-                        yield out()
-                        held.clear()
-        if held:
-            yield out()
-        held.clear()
-        idle()
-
-    rows = docs.select(text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
 class _Codes(dict):
     """Numbers words in the order in which they are first asked for."""
 
@@ -86,35 +64,60 @@ class _Codes(dict):
         return n
 
 
+def code_texts(texts: pa.Array, code: _Codes) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all tokens of texts (those of tokens_of), and where each text ends. Distinct words are coded once."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # white space of the contract, letters A-Z
+    words = split.flatten().dictionary_encode()
+    known = words.dictionary.cast(pa.binary() if pa.types.is_string(words.dictionary.type) else pa.large_binary()).to_numpy(zero_copy_only=False)
+    at = words.indices.to_numpy()
+    # White space at a text's ends and an empty text give empty words.
+    full = np.array([len(w) > 0 for w in known], dtype=bool)[at]
+    bounds = np.concatenate([[0], np.cumsum(full)])[split.offsets.to_numpy()]
+    codes = np.fromiter(map(code.__getitem__, known), dtype=np.int32, count=len(known))[at[full]]
+    out = np.full(len(codes) + len(texts), code[END], dtype=np.int32)
+    ends = bounds[1:] + np.arange(1, len(texts) + 1)
+    word = np.ones(len(out), dtype=bool)
+    word[ends - 1] = False
+    out[word] = codes
+    return out, ends
+
+
 def coded(docs: DataFrame, train_mod=(7, 2), block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Each row as codes: rid (its place), doc_id, held_out, block, codes. A row without rid has the block's words in the order of their codes."""
+    """Each row as codes: rid (its place), doc_id, held_out, block, codes. A row without rid has the block's words in the order of
+    their codes, with their training counts. A block's number is that of its first word among the words of all blocks."""
     mod, held = train_mod
     rows = docs.select("doc_id", (crc_mod(mod) == held).alias("held_out"), text_or_empty().alias("text"))
     id_kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["rid", "doc_id", "held_out", "block", "codes", "words", "counts"]
 
     def run(batches):
         rid = block = TaskContext.get().partitionId() << 40
         code = _Codes()
-        tokens, ids_type = 0, None
+        tokens, ids_type, counts = 0, None, np.zeros(0, dtype=np.int64)
 
         def dictionary():
-            cols = [pa.nulls(1, pa.int64()), pa.nulls(1, ids_type), pa.nulls(1, pa.bool_()), pa.array([block]), pa.nulls(1, pa.binary()), pa.array([list(code)], pa.list_(pa.binary()))]
-            return pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "held_out", "block", "codes", "words"])
+            cols = [pa.nulls(1, pa.int64()), pa.nulls(1, ids_type), pa.nulls(1, pa.bool_()), pa.array([block]), pa.nulls(1, pa.binary())]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([list(code)], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64()))], names)
 
         for batch in batches:
             ids_type, n = batch.column("doc_id").type, batch.num_rows
+            test = batch.column("held_out").to_numpy(zero_copy_only=False)
             blocks, codes, full = [], [], []
-            for text in (t for _, texts in text_runs(batch) for t in texts):
-                words = tokens_of(text)
-                a = np.fromiter(map(code.__getitem__, words), dtype=np.int32, count=len(words))
-                blocks.append(block)
-                codes.append(a.tobytes())
-                tokens += len(a)
+            for lo, texts in array_runs(batch.column("text"), chars=min(2_000_000, 5 * block_words)):
+                flat, ends = code_texts(texts, code)
+                sizes = np.diff(ends, prepend=0)
+                seen = np.bincount(flat[np.repeat(~test[lo : lo + len(texts)], sizes)], minlength=len(code))
+                seen[: len(counts)] += counts
+                counts = seen
+                blocks += [block] * len(texts)
+                codes += [a.tobytes() for a in np.split(flat, ends[:-1])]
+                tokens += len(flat)
                 if len(code) >= block_words or tokens >= BLOCK_TOKENS:
                     full.append(dictionary())
-                    code, tokens, block = _Codes(), 0, block + 1
-            cols = [pa.array(np.arange(rid, rid + n)), batch.column("doc_id"), batch.column("held_out"), pa.array(blocks, pa.int64()), pa.array(codes, pa.binary()), pa.nulls(n, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "held_out", "block", "codes", "words"])
+                    block += len(code)
+                    code, tokens, counts = _Codes(), 0, np.zeros(0, dtype=np.int64)
+            cols = [pa.array(np.arange(rid, rid + n)), batch.column("doc_id"), batch.column("held_out"), pa.array(blocks, pa.int64()), pa.array(codes, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.list_(pa.binary())), pa.nulls(n, pa.list_(pa.int64()))], names)
             yield from full
             rid += n
         if code:
@@ -122,7 +125,7 @@ def coded(docs: DataFrame, train_mod=(7, 2), block_words: int = BLOCK_WORDS) ->
         code = None
         idle()
 
-    return rows.mapInArrow(run, f"rid long, doc_id {id_kind}, held_out boolean, block long, codes binary, words array<binary>")
+    return rows.mapInArrow(run, f"rid long, doc_id {id_kind}, held_out boolean, block long, codes binary, words array<binary>, counts array<long>")
 
 
 class Hmm:
@@ -144,40 +147,88 @@ class Hmm:
         return self.start.astype(np.float32), self.move.astype(np.float32), self.emit.astype(np.float32)
 
 
-def _time_major(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of sequences (longest first) by time, the number alive at each time, and each time's place."""
-    sizes = np.array([len(s) for s in seqs])
-    alive = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
-    at = np.concatenate([[0], np.cumsum(alive)])
-    flat = np.empty(at[-1], dtype=np.int32)
-    for d, s in enumerate(seqs):
-        flat[at[: len(s)] + d] = s
-    return flat, alive, at
+def scaled(start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple:
+    """start, move, emissions that sum to 1 over the states (in place of emit) and the log10 of what they summed to."""
+    size = emit @ np.ones(emit.shape[1], dtype=emit.dtype)
+    emit /= size[:, None]
+    return start, move, emit, np.log10(size, dtype=np.float64)
+
+
+class _Steps:
+    """Codes of sequences (longest first) by time: alive counts those that reach a time, at is each time's
+    place, last the place of each sequence's last code."""
+
+    def __init__(self, seqs: list[np.ndarray]):
+        sizes = np.array([len(s) for s in seqs])
+        alive = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
+        at = np.concatenate([[0], np.cumsum(alive)])
+        self.codes = np.empty(at[-1], dtype=np.intp)
+        for d, s in enumerate(seqs):
+            self.codes[at[: len(s)] + d] = s
+        self.last = at[sizes - 1] + np.arange(len(sizes))
+        self.alive, self.at, self.total = [*alive.tolist(), 0], at.tolist(), np.zeros(len(seqs))
+
+    def runs(self, rows: int) -> list[tuple[int, int]]:
+        """Runs of times of at most so many codes where no single time has more."""
+        cuts = [0]
+        for t in range(1, len(self.at) - 1):
+            if self.at[t + 1] - self.at[cuts[-1]] > rows:
+                cuts.append(t)
+        return list(zip(cuts, [*cuts[1:], len(self.at) - 1]))
+
+    def forward(self, params: tuple, lo: int, hi: int, before: np.ndarray | None, e: np.ndarray, u: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Fill e with emissions and u with forward variables of the times lo..hi, so that u is (the row before it,
+        moved) * e. Rows are brought to sum 1 every few times, by a factor of both; fewer where FLOOR asks for it.
+        The logs of all factors and of the last rows' sums go to total, by sequence. Returns the sum of each
+        row that is a sequence's last, and the rows of the time before hi."""
+        start, move, emit = params[:3]
+        at, base = self.at, self.at[lo]
+        np.take(emit, self.codes[base : at[hi]], axis=0, mode="clip", out=e)
+        sums, ones = np.empty(len(e), dtype=np.float32), np.ones(len(start), dtype=np.float32)
+        t = lo
+        while t < hi:
+            end = min(t + STRIDE, hi)
+            while True:
+                a = before
+                for s in range(t, end):
+                    i, j = at[s] - base, at[s + 1] - base
+                    x = u[i:j]
+                    if a is None:
+                        np.multiply(start, e[i:j], out=x)
+                    else:
+                        np.dot(a[: j - i], move, out=x)
+                        np.multiply(x, e[i:j], out=x)
+                    a = x
+                c = np.matmul(u[at[t] - base : j], ones, out=sums[at[t] - base : j])
+                if end == t + 1 or c.min() >= FLOOR:
+                    break
+                end = (t + end) // 2
+            c = sums[i:j]
+            total[: j - i] += np.log10(c, dtype=np.float64)
+            a /= c[:, None]
+            e[i:j] /= c[:, None]
+            c[:] = 1
+            before, t = a, end
+        ended = sums[self.last[self.alive[hi] : self.alive[lo]] - base]
+        total[self.alive[hi] : self.alive[lo]] += np.log10(ended, dtype=np.float64)
+        return ended, before
 
 
 def forward_log10(params: tuple, seqs: list[np.ndarray]) -> np.ndarray:
-    """log10 likelihood of each sequence by the scaled forward recursion."""
-    start, move, emit = params
+    """log10 likelihood of each sequence by the scaled forward recursion. params: (start, move, emit), or what scaled
+    made of them."""
+    params = params if len(params) == 4 else scaled(*params[:2], params[2].copy())
     order = np.argsort([-len(s) for s in seqs], kind="stable")
-    flat, alive, at = _time_major([seqs[i] for i in order])
-    scale, ones = np.empty(len(flat), dtype=np.float32), np.ones(len(start), dtype=np.float32)
-    before, lo = None, 0
-    while lo < len(alive):  # emissions of a run of steps at a time
-        hi = lo + 1
-        while hi < len(alive) and at[hi + 1] - at[lo] <= 200_000:
-            hi += 1
-        alpha = emit[flat[at[lo] : at[hi]]]
-        for t in range(lo, hi):
-            a = alpha[at[t] - at[lo] : at[t + 1] - at[lo]]
-            a *= start if before is None else before[: alive[t]] @ move
-            c = np.matmul(a, ones, out=scale[at[t] : at[t + 1]])
-            a /= c[:, None]
-            before = a
-        lo = hi
-    place = np.arange(len(flat)) - np.repeat(at[:-1], alive)
+    steps = _Steps([seqs[i] for i in order])
+    runs = steps.runs(STEP_ROWS)
+    space = np.empty((2, max(steps.at[hi] - steps.at[lo] for lo, hi in runs), len(params[0])), dtype=np.float32)
+    before = None
+    for lo, hi in runs:
+        n = steps.at[hi] - steps.at[lo]
+        before = steps.forward(params, lo, hi, before, space[0, :n], space[1, :n], steps.total)[1].copy()
     total = np.empty(len(seqs))
-    total[order] = np.bincount(place, weights=np.log10(scale, dtype=np.float64), minlength=len(seqs))
-    return total
+    total[order] = steps.total
+    return total + [params[3][s].sum() for s in seqs]
 
 
 def batches_by_length(seqs: list[np.ndarray], tokens: int) -> list[np.ndarray]:
@@ -193,74 +244,74 @@ def batches_by_length(seqs: list[np.ndarray], tokens: int) -> list[np.ndarray]:
     return [*out, order[lo:]] if len(order) else []
 
 
-def expected_counts(params: tuple, seqs: list[np.ndarray], emit_sum: np.ndarray, move_sum: np.ndarray, start_sum: np.ndarray, held: int = HELD_TOKENS) -> float:
+def add_rows(sums: np.ndarray, codes: np.ndarray, rows: np.ndarray) -> None:
+    """sums[codes] += rows, counting repeated codes each."""
+    if rows.shape[1] % 2 or not sums.flags.c_contiguous:
+        for k in range(rows.shape[1]):
+            sums[:, k] += np.bincount(codes, weights=rows[:, k], minlength=len(sums))
+        return
+    # Two states at a time, as the parts of a complex number, which numpy adds up as fast as one.
+    sums = sums.view(np.complex128)
+    for lo in range(0, len(codes), 20_000):
+        at, two = codes[lo : lo + 20_000], rows[lo : lo + 20_000].view(np.complex64).astype(np.complex128)
+        for k in range(two.shape[1]):
+            np.add.at(sums[:, k], at, two[:, k])
+
+
+def expected_counts(params: tuple, seqs: list[np.ndarray], emit_sum: np.ndarray, move_sum: np.ndarray, start_sum: np.ndarray, held: int = HELD_TOKENS, space: np.ndarray | None = None) -> float:
     """Add the expected counts of whole sequences; return their log10 likelihood. Variables of about
-    held tokens are in memory: of longer runs of steps, only those at checkpoints, from which the
-    steps are run again on the way back."""
-    start, move, emit = params
-    order = np.argsort([-len(s) for s in seqs], kind="stable")
-    flat, alive, at = _time_major([seqs[i] for i in order])
-    cuts = [0]
-    for t in range(1, len(alive)):
-        if at[t + 1] - at[cuts[-1]] > held:
-            cuts.append(t)
-
-    ones = np.ones(len(start), dtype=np.float32)
-
-    def forward(lo: int, hi: int, before: np.ndarray | None):
-        """Emissions over the scale, scaled forward variables and scales of the steps lo..hi."""
-        e = emit[flat[at[lo] : at[hi]]]
-        alpha, scale = np.empty_like(e), np.empty(len(e), dtype=np.float32)
-        for t in range(lo, hi):
-            i, j = at[t] - at[lo], at[t + 1] - at[lo]
-            a = alpha[i:j]
-            if before is None:
-                np.multiply(start, e[i:j], out=a)
-            else:
-                np.matmul(before[: j - i], move, out=a)
-                a *= e[i:j]
-            np.matmul(a, ones, out=scale[i:j])
-            a /= scale[i:j, None]
-            before = a
-        e /= scale[:, None]
-        return e, alpha, scale
-
-    runs = list(zip(cuts, [*cuts[1:], len(alive)]))
+    held tokens are in memory (in space, 3 x tokens x states, if it is large enough): of longer runs of steps, only
+    those at checkpoints, from which the steps are run again on the way back. params as of forward_log10."""
+    params = params if len(params) == 4 else scaled(*params[:2], params[2].copy())
+    start, move = params[:2]
+    steps = _Steps(sorted(seqs, key=len, reverse=True))
+    at, alive, runs = steps.at, steps.alive, steps.runs(held)
+    most = max(at[hi] - at[lo] for lo, hi in runs)
+    if space is None or space.shape[1] < most:
+        space = np.empty((3, most, len(start)), dtype=np.float32)
     entering = [None]
     for lo, hi in runs[:-1]:
-        entering.append(forward(lo, hi, entering[-1])[1][at[hi - 1] - at[lo] :].copy())
+        n = at[hi] - at[lo]
+        entering.append(steps.forward(params, lo, hi, entering[-1], space[0, :n], space[1, :n], np.zeros(len(seqs)))[1].copy())
     pairs = np.zeros_like(move, dtype=np.float64)
     moved = move.T.copy()
-    log, after = 0.0, np.ones((alive[-1], len(start)), dtype=np.float32)
+    after = None
     for (lo, hi), before in zip(runs[::-1], entering[::-1]):
-        e, alpha, scale = forward(lo, hi, before)
-        log += float(np.log10(scale, dtype=np.float64).sum())
-        back = np.ones_like(e)
-        back[at[hi - 1] - at[lo] :] = after
+        base = at[lo]
+        e, u, w = space[:, : at[hi] - base]
+        ended, _ = steps.forward(params, lo, hi, before, e, u, steps.total)
+        # w times u sums to 1 in every row.
+        w[steps.last[alive[hi] : alive[lo]] - base] = (1 / ended)[:, None]
+        if after is not None:
+            w[at[hi - 1] - base :][: len(after)] = after
         for t in range(hi - 1, lo, -1):
-            i, j = at[t] - at[lo], at[t + 1] - at[lo]
-            e[i:j] *= back[i:j]
-            h = at[t - 1] - at[lo]
-            np.matmul(e[i:j], moved, out=back[h : h + j - i])
-        first = at[lo + 1] - at[lo]
+            i, j = at[t] - base, at[t + 1] - base
+            h = at[t - 1] - base
+            x = e[i:j]
+            np.multiply(x, w[i:j], out=x)
+            np.dot(x, moved, out=w[h : h + j - i])
         if lo:
-            e[:first] *= back[:first]
-            after = np.ones((alive[lo - 1], len(start)), dtype=np.float32)
-            after[:first] = e[:first] @ moved
+            first = at[lo + 1] - base
+            e[:first] *= w[:first]
+            after = e[:first] @ moved
             pairs += before[:first].T @ e[:first]
-        # The row of the same sequence one step before, for all steps but the first.
-        here = np.arange(first, len(e))
-        step = np.repeat(np.arange(lo + 1, hi), alive[lo + 1 : hi])
-        pairs += alpha[here - at[step] + at[step - 1]].T @ e[first:]
-        alpha *= back  # now the posteriors
+        # A row and the same sequence's next: for times with as many sequences, both lie in one piece.
+        t = lo + 1
+        while t < hi:
+            n, end = alive[t], t + 1
+            while end < hi and alive[end] == n:
+                end += 1
+            i, j, h = at[t] - base, at[end] - base, at[t - 1] - base
+            pairs += u[h : h + n].T @ e[i : i + n]
+            if j > i + n:
+                pairs += u[i : j - n].T @ e[i + n : j]
+            t = end
+        u *= w  # now the posteriors
         if not lo:
-            start_sum += alpha[: at[1]].sum(axis=0)
-        codes = flat[at[lo] : at[hi]]
-        top = int(codes.max()) + 1
-        for k in range(len(start)):
-            emit_sum[:top, k] += np.bincount(codes, weights=alpha[:, k], minlength=top)
+            start_sum += u[: at[1]].sum(axis=0)
+        add_rows(emit_sum, steps.codes[base : at[hi]], u)
     move_sum += pairs * move
-    return log
+    return float(steps.total.sum() + params[3][steps.codes].sum())
 
 
 def noise(hashes: np.ndarray, states: int, seed: int = SEED) -> np.ndarray:
@@ -278,20 +329,6 @@ def noise(hashes: np.ndarray, states: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
-def first_totals(vocab: DataFrame, states: int) -> np.ndarray:
-    """Of each state, the sum of all words' weights at the start."""
-
-    def run(batches):
-        total = np.zeros(states)
-        for batch in batches:
-            total += ((batch.column("c").to_numpy() + 0.5)[:, None] * noise(batch.column("h").to_numpy(), states)).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], [f"x{k}" for k in range(states)])
-
-    sums = vocab.select("c", F.xxhash64("word").alias("h")).mapInArrow(run, ", ".join(f"x{k} double" for k in range(states)))
-    found = np.array([x or 0.0 for x in sums.agg(*[F.sum(f"x{k}") for k in range(states)]).first()])
-    return np.where(found > 0, found, 1.0)
-
-
 _STATE = "block long, size int, at binary, wid binary, c binary, n binary, q binary, h binary"
 _COLUMNS = ["block", "size", "at", "wid", "c", "n", "q", "h"]
 _KINDS = {"at": np.int32, "wid": np.int64, "c": np.int64, "n": np.int32, "q": np.uint16, "h": np.int64}
@@ -332,21 +369,36 @@ def _packed(block, at: np.ndarray, **more: np.ndarray) -> dict:
     return {"block": block, "size": len(at), "at": _small("at", np.diff(at, prepend=0))} | {k: _small(k, v) for k, v in more.items()}
 
 
-def first_state(rows: DataFrame, vocab: DataFrame) -> DataFrame:
+def first_state(rows: DataFrame, states: int) -> DataFrame:
     """A row for each block: its words' codes (at), ids (wid; -1 where no other block has the word), training counts (c)
-    and hashes (h), which give the weights at the start."""
-    pairs = rows.filter("rid IS NULL").select("block", F.posexplode("words").alias("at", "word"))
-    blocks = pairs.groupBy("word").agg(F.count("*").alias("blocks"))
-    pairs = pairs.join(blocks.join(vocab, "word", "left"), "word")
-    wid = F.when((F.col("blocks") > 1) & F.col("wid").isNotNull(), F.col("wid")).otherwise(F.lit(-1)).cast("long")
-    pairs = pairs.select("block", F.col("at").cast("long").alias("at"), wid.alias("wid"), F.coalesce("c", F.lit(0)).cast("long").alias("c"), F.xxhash64("word").alias("h"))
+    and hashes (h), which give the weights at the start; and stats: the training tokens and distinct training
+    words that are counted in this block (a word in the first that has it) and the sums of their weights by state."""
+    pairs = rows.filter("rid IS NULL").select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
+    of_word = Window.partitionBy("word")
+    pairs = pairs.select("block", F.col("at").cast("long").alias("at"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    pairs = pairs.select(
+        "block", "at", F.sum("n").over(of_word).alias("c"), F.min(F.col("block") + F.col("at")).over(of_word).alias("wid"),
+        F.count("*").over(of_word).alias("blocks"), F.xxhash64("word").alias("h"),
+    )
 
     def pack(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("at").to_numpy())
-        at, wid, c, h = (t.column(x).to_numpy()[order] for x in ("at", "wid", "c", "h"))
-        return pa.Table.from_pylist([_packed(t.column("block")[0].as_py(), at, wid=wid, c=c, h=h)], _schema())
+        at, c, wid, blocks, h = (t.column(x).to_numpy()[order] for x in ("at", "c", "wid", "blocks", "h"))
+        block = t.column("block")[0].as_py()
+        first = (wid == block + at) & (c > 0)
+        total = ((c[first] + 0.5)[:, None] * noise(h[first], states)).sum(axis=0)
+        row = _packed(block, at, wid=np.where((blocks > 1) & (c > 0), wid, -1), c=c, h=h)
+        return pa.Table.from_pylist([row | {"stats": [float(c[first].sum()), float(first.sum()), *total.tolist()]}], _schema(("stats", pa.list_(pa.float64()))))
 
-    return pairs.groupBy("block").applyInArrow(pack, _STATE)
+    return pairs.groupBy("block").applyInArrow(pack, f"{_STATE}, stats array<double>")
+
+
+def summed(rows: DataFrame, n: int) -> np.ndarray:
+    """The sum of all rows' stats, n numbers each."""
+    out = np.zeros(n)
+    for s in rows.select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():  # n rows at most
+        out[s["i"]] = s["x"]
+    return out
 
 
 def _schema(*more: tuple) -> pa.Schema:
@@ -391,12 +443,14 @@ def baum_welch_round(docs: DataFrame, state: DataFrame, model: Hmm, prior: np.nd
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         wid, c, x = _unpacked(words, k)
-        params = (start_p, move_p, _emissions(c, x, prior, norm))
+        params = scaled(start_p, move_p, _emissions(c, x, prior, norm))
         del x
-        emit, move, start, log = np.zeros((k, len(c))).T, np.zeros((k, k)), np.zeros(k), 0.0
+        emit, move, start, log = np.zeros((len(c), k)), np.zeros((k, k)), np.zeros(k), 0.0
         seqs = [s for s, held in zip(_codes_of(docs.column("codes")), docs.column("held_out").to_pylist()) if not held]
+        space = np.empty((3, min(HELD_TOKENS, sum(map(len, seqs))), k), dtype=np.float32)
         for batch in batches_by_length(seqs, HELD_TOKENS):
-            log += expected_counts(params, [seqs[i] for i in batch], emit, move, start)
+            log += expected_counts(params, [seqs[i] for i in batch], emit, move, start, space=space)
+        del space
         block = docs.column("block")[0].as_py()
         stats = [*move.ravel().tolist(), *start.tolist(), *emit.sum(axis=0).tolist(), log]
         out = [{"range": -2, "block": block, "stats": stats}]
@@ -460,7 +514,7 @@ def forward_scores(rows: DataFrame, state: DataFrame, model: Hmm, prior: np.ndar
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         _, c, x = _unpacked(words, k)
-        params = (start_p, move_p, _emissions(c, x, prior, norm))
+        params = scaled(start_p, move_p, _emissions(c, x, prior, norm))
         base, known = np.log10(c + 1.0), c > 0
         codes = _codes_of(docs.column("codes"))
         logs = np.zeros(len(codes))
@@ -487,17 +541,15 @@ def lm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    vocab = scratch.write(word_counts(docs.filter(crc_mod(7) != 2)).withColumn("wid", F.monotonically_increasing_id()), "vocab")
-    total = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = total["n"], total["v"]
     raw = scratch.write(coded(docs, block_words=block_words), "coded", compression="zstd")
     pairs = raw.filter("rid IS NULL").agg(F.sum(F.size("words"))).first()[0] or 0
     ranges = 1 + pairs // RANGE_PAIRS
 
-    model, prior, norm = Hmm.first(np.zeros(0), states), np.zeros(states), first_totals(vocab, states)
-    state = held = scratch.write(first_state(raw, vocab), "state")
-    scratch.drop(vocab)
-    dealt = Dealt(raw.filter("rid IS NOT NULL").drop("words"), scratch)
+    held = scratch.write(first_state(raw, states), "state")
+    n, v, *norm = summed(held, states + 2)
+    n, v, norm = int(n), int(v), np.where(np.array(norm) > 0, norm, 1.0)
+    model, prior, state = Hmm.first(np.zeros(0), states), np.zeros(states), held.drop("stats")
+    dealt = Dealt(raw.filter("rid IS NOT NULL").drop("words", "counts"), scratch)
     rows = dealt.rows
     scratch.drop(raw)
     for _ in range(rounds):
@@ -505,10 +557,7 @@ def lm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block
         spark.sparkContext._jvm.System.gc()  # lets the shuffle files of the steps before go
         counted = scratch.write(baum_welch_round(rows, state, model, prior, norm, ranges), "counted")
         scratch.drop(held)
-        sums = counted.filter("range = -2").select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-        values = np.zeros(states * states + 2 * states + 1)  # so many rows at most
-        for s in sums:
-            values[s["i"]] = s["x"]
+        values = summed(counted.filter("range = -2"), states * states + 2 * states + 1)
         move, start, occupied = values[: states * states].reshape(states, states) + 1.0, values[states * states :][:states] + 1.0, values[states * states + states :][:states]
         model = Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), model.emit)
         weight = PRIOR * (occupied + 1)
